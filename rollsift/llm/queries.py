@@ -14,6 +14,27 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(store_texts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op6_ogg": op6_ogg}
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids in Arrow files, read back by document."""
+    from rollsift.llm.token_files import encode_to_files
+
+    return encode_to_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids in packed sequences of 2048."""
+    from rollsift.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {"op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {}
