@@ -155,7 +155,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, doc_id: str =
         publish(f"{base}.docs.arrow", attempt, listing)
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [base], "docs": [len(counts)], "ids": [writers[0].total]})
 
-    rows = ordered.mapInArrow(run, "part int, path string, docs long, ids long").collect()
+    rows = ordered.mapInArrow(run, "part long, path string, docs long, ids long").collect()
     return sorted(tuple(r) for r in rows)
 
 
