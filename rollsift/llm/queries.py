@@ -35,6 +35,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op10_packing": op10_packing}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text."""
+    from rollsift.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {}
