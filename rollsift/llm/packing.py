@@ -86,9 +86,12 @@ def encode_pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_
         enc = encoder(vocabulary)
         for b in chunks(batches, "_text"):
             rows = []
-            for doc, ids in zip(b.column("_id").to_pylist(), enc.encode(b.column("_text").to_pylist()), strict=True):
-                raw, n = ids.astype("<u4").tobytes() + END_ID.to_bytes(4, "little"), len(ids) + 1
-                rows += [(doc, s, min(capacity, n - s), zlib.crc32(raw[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
+            ids, ends = enc.encode(b.column("_text"), END_ID)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            for doc, at, end in zip(b.column("_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for s in range(at, end, capacity):
+                    e = min(s + capacity, end)
+                    rows.append((doc, s - at, e - s, zlib.crc32(raw[4 * s : 4 * e]), end - at))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
     return picked.mapInArrow(run, PIECES)

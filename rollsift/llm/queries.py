@@ -35,6 +35,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text."""
+    from rollsift.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text."""
+    from rollsift.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("flagged")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text."""
     from rollsift.llm.secrets import report
@@ -42,6 +56,6 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op10_packing": op10_packing}
+QUERIES = {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {}

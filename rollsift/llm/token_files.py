@@ -136,16 +136,15 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, doc_id: str =
             w = SequenceWriter(out, enc.dtype)
             writers.append(w)
             for b in chunks(batches, "_text"):
-                for ids in enc.encode(b.column("_text").to_pylist()):
-                    w.append(ids)
-                    w.append(np.array([END_ID], enc.dtype))
-                    counts.append(len(ids) + 1)
+                ids, ends = enc.encode(b.column("_text"), END_ID)
+                w.append(ids)
+                counts.append(np.diff(ends))
                 ids_of.append(b.column("_id").cast(id_type))
             w.close()
 
         attempt = str(task.taskAttemptId())
         publish(f"{base}.ids.arrow", attempt, body)
-        sizes = np.array(counts, np.int64)
+        sizes = np.concatenate([np.zeros(0, np.int64), *counts])
         docs = pa.table([pa.chunked_array(ids_of, id_type), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)], names=["doc_id", "start", "n_ids"])
 
         def listing(out) -> None:
@@ -153,7 +152,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, doc_id: str =
                 w.write_table(docs)
 
         publish(f"{base}.docs.arrow", attempt, listing)
-        yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [base], "docs": [len(counts)], "ids": [writers[0].total]})
+        yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [base], "docs": [len(sizes)], "ids": [writers[0].total]})
 
     rows = ordered.mapInArrow(run, "part long, path string, docs long, ids long").collect()
     return sorted(tuple(r) for r in rows)

@@ -1,40 +1,63 @@
-"""Encoding with the tokenizers library, word by word through a bounded cache.
-
-A text is cut only where the vocabulary's own splitting can't tell the
-difference, so the ids equal those of encoding the whole text at once; most
-words then cost a dictionary lookup. The cache is bounded by entries and lives
-in the Python worker, so tasks that share a worker share it.
+"""Encoding with the tokenizers library, piece by piece through a bounded cache.
+
+A text is cut only where the vocabulary's own splitting starts a new token
+anyway: before a space that a non-space follows, and between a letter and ASCII
+punctuation. The ids therefore equal those of encoding the whole text at once,
+and most pieces cost an array look-up: pieces are found and hashed (64 bits) by
+numpy, the cache is a pair of hash tables, and only pieces it lacks reach the
+library, each once. The cache is bounded and lives in the Python worker, so
+tasks that share a worker share it.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-
-#: Entries of each of the cache's two generations.
-CACHE_WORDS = 200_000
-
-_CUT_BEFORE_SPACE = re.compile(r"(?=[ \n]\S)")
-_SPACE_BEFORE_SPACE = re.compile(r"[ \n]\s")
-
-
-def cut_before_spaces(text: str) -> list[str]:
-    """Cuts before a space or newline that a non-space follows: byte-level patterns start a token there."""
-    if "\0" in text or _SPACE_BEFORE_SPACE.search(text):
-        return _CUT_BEFORE_SPACE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-
-def cut_at_spaces(text: str) -> list[str]:
-    """Cuts at spaces and newlines and drops them: for vocabularies that drop white space."""
-    return text.replace("\n", " ").split(" ")
-
-
-class WordEncoder:
+import pyarrow as pa
+
+from rollsift.llm.words import spans_hash, text_bytes
+
+#: Slots of each of the cache's two tables, and ids it may hold in all.
+SLOTS = 1 << 20
+POOL_IDS = 8 << 20
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 10]] = True
+# Bytes that may begin white space: ASCII, and the first bytes of U+0085, U+00A0, U+1680, U+2000 and others, U+3000.
+_MAY_BE_SPACE = np.zeros(256, bool)
+_MAY_BE_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# Second bytes of U+00C0 to U+00FF but the two signs among the letters.
+_LATIN_LETTER = np.zeros(256, bool)
+_LATIN_LETTER[0x80:0xC0] = True
+_LATIN_LETTER[[0x97, 0xB7]] = False
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def pieces(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces start; every text that has bytes starts one."""
+    starts = np.zeros(len(data), bool)
+    if len(data) > 1:
+        left, right = data[:-1], data[1:]
+        starts[:-1] = _SPACE[left] & ~_MAY_BE_SPACE[right]
+        letter = _ASCII_LETTER[left].copy()
+        letter[1:] |= (left[:-1] == 0xC3) & _LATIN_LETTER[left[1:]]
+        starts[1:] |= letter & _PUNCTUATION[right]
+    starts[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    # a space at a text's end begins nothing: what follows it belongs to another text
+    last = bounds[1:][bounds[:-1] < bounds[1:]] - 1
+    alone = starts[last] & _SPACE[data[last]] & ~np.isin(last, bounds[:-1])
+    starts[last[alone]] = False
+    return np.flatnonzero(starts)
+
+
+class PieceEncoder:
     """ids of whole texts. path: a tokenizers JSON file, which the workers must see too."""
 
     def __init__(self, path: str):
@@ -45,54 +68,99 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         with open(path, encoding="utf-8") as f:
-            self.cut = self._cut(json.load(f)["pre_tokenizer"])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+            self.can_cut = self._can_cut(json.load(f))
+        self._forget()
+
+    @staticmethod
+    def _can_cut(spec: dict) -> bool:
+        """The vocabulary splits as the cuts assume: the byte-level pattern, or one that drops white space."""
+        pre = spec.get("pre_tokenizer") or {"type": None}
+        if pre["type"] == "ByteLevel":
+            return pre["use_regex"] and not pre["add_prefix_space"]
+        first = pre.get("pretokenizers", [{}])[0]
+        return first.get("behavior") == "Removed" and first.get("invert") is True and first["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+")
+
+    def _forget(self) -> None:
+        self.keys = np.zeros((2, SLOTS), np.uint64)
+        self.at = np.zeros((2, SLOTS), np.int32)
+        self.size = np.zeros((2, SLOTS), np.int32)
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _ask(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces and adds their ids to the pool: places and sizes there."""
+        texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        got = []
+        for i in range(0, len(texts), 4096):
+            got += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        total = int(size.sum())
+        if self.used + total > len(self.pool):
+            grown = np.zeros(2 * (self.used + total), self.dtype)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.dtype, total)
+        at = (self.used + np.cumsum(size) - size).astype(np.int32)
+        self.used += total
+        return at, size
 
     @staticmethod
-    def _cut(pre: dict):
-        if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
-            return cut_before_spaces
-        if pre["type"] == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and pre["pretokenizers"][0].get("invert"):
-            return cut_at_spaces
-        return lambda text: [text]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        new, ask, old = {}, [], self.old
-        for w in words:
-            known = old.get(w)
-            if known is None:
-                ask.append(w)
-            else:
-                new[w] = known
-        for i in range(0, len(ask), 4096):
-            part = ask[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[w] = np.array(e.ids, self.dtype).tobytes()
-        return new
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text, without special tokens."""
-        cut = [self.cut(t) for t in texts]
-        young = self.young
-        missing: set[str] = set()
-        for words in cut:
-            missing.update(w for w in words if w not in young)
-        if missing:
-            new = self._learn(missing)
-            if len(young) + len(new) > CACHE_WORDS:
-                # what this call needs, kept apart from the bound: freed with the next turn
-                needed = {w: young[w] for words in cut for w in words if w in young}
-                self.old = young if len(young) > CACHE_WORDS // 2 else self.old
-                young = needed | new
-            else:
-                young.update(new)
-            self.young = young
-        look = young.__getitem__
-        return [np.frombuffer(b"".join(map(look, words)), self.dtype) for words in cut]
+    def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(SLOTS - 1)
+        return (keys & mask).astype(np.int64), ((keys >> np.uint64(32)) & mask).astype(np.int64)
+
+    def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of the column, one after the other, and where each text's begin and end.
+
+        end_id: appended to each text."""
+        data, bounds = text_bytes(column)
+        n = len(bounds) - 1
+        if self.can_cut:
+            start = pieces(data, bounds)
+        else:
+            start = bounds[:-1][bounds[:-1] < bounds[1:]]
+        end = np.append(start[1:], len(data))
+        keys = spans_hash(data, start, end)
+        keys[keys == 0] = 1
+        if self.used > POOL_IDS:
+            self._forget()
+        first, second = self._slots(keys)
+        hit = self.keys[0][first] == keys
+        at, size = self.at[0][first], self.size[0][first]
+        rest = np.flatnonzero(~hit)
+        slot = second[rest]
+        again = self.keys[1][slot] == keys[rest]
+        at[rest[again]], size[rest[again]] = self.at[1][slot[again]], self.size[1][slot[again]]
+        rest = rest[~again]
+        if len(rest):
+            new, where, which = np.unique(keys[rest], return_index=True, return_inverse=True)
+            new_at, new_size = self._ask(data, start[rest[where]], end[rest[where]])
+            at[rest], size[rest] = new_at[which], new_size[which]
+            self._put(new, new_at, new_size)
+        doc = np.searchsorted(bounds, start, side="right") - 1
+        per_doc = np.bincount(doc, size, n).astype(np.int64)
+        extra = int(end_id is not None)
+        ends = np.cumsum(per_doc + extra)
+        size = size.astype(np.int64)
+        total = int(per_doc.sum())
+        source = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(total)
+        if not extra:
+            return self.pool[source], np.append(0, ends)
+        out = np.full(total + n, end_id, self.dtype)
+        out[np.arange(total) + np.repeat(np.arange(n), per_doc)] = self.pool[source]
+        return out, np.append(0, ends)
+
+    def _put(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Takes free slots of the first table, then of the second; what finds none isn't kept."""
+        for way in (0, 1):
+            slot = self._slots(keys)[way]
+            free = self.keys[way][slot] == 0
+            self.keys[way][slot[free]] = keys[free]
+            won = self.keys[way][slot] == keys
+            self.at[way][slot[won]], self.size[way][slot[won]] = at[won], size[won]
+            keys, at, size = keys[~won], at[~won], size[~won]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder for each vocabulary and Python worker."""
-    return WordEncoder(path)
+    return PieceEncoder(path)
