@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from rollsift.llm.words import spans_hash, text_bytes
+from rollsift.llm.words import FOLD, spans_hash, text_bytes
 
 #: Slots of each of the cache's two tables, and ids it may hold in all.
 SLOTS = 1 << 20
@@ -62,13 +62,21 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         with open(path, encoding="utf-8") as f:
-            self.can_cut = self._can_cut(json.load(f))
+            spec = json.load(f)
+        self.can_cut = self._can_cut(spec)
+        #: Space is dropped and case folded: a piece of ASCII needs neither its space nor its capitals.
+        self.folds = self.can_cut and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.ascii = self.tokenizer
+        if self.folds:  # of the normalisers only lower case changes ASCII
+            self.ascii = Tokenizer.from_file(path)
+            self.ascii.encode_special_tokens = True
+            self.ascii.normalizer = normalizers.Lowercase()
         self._forget()
 
     @staticmethod
@@ -89,9 +97,13 @@ class PieceEncoder:
     def _ask(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encodes pieces and adds their ids to the pool: places and sizes there."""
         texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-        got = []
-        for i in range(0, len(texts), 4096):
-            got += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        got: list = [None] * len(texts)
+        for tokenizer, plain in ((self.ascii, True), (self.tokenizer, False)):
+            which = [i for i, t in enumerate(texts) if t.isascii() is plain]
+            for i in range(0, len(which), 4096):
+                part = which[i : i + 4096]
+                for j, e in zip(part, tokenizer.encode_batch_fast([texts[j] for j in part], add_special_tokens=False), strict=True):
+                    got[j] = e.ids
         size = np.fromiter(map(len, got), np.int32, len(got))
         total = int(size.sum())
         if self.used + total > len(self.pool):
@@ -119,6 +131,11 @@ class PieceEncoder:
         else:
             start = bounds[:-1][bounds[:-1] < bounds[1:]]
         end = np.append(start[1:], len(data))
+        doc = np.searchsorted(bounds, start, side="right") - 1
+        if self.folds and len(start):
+            plain = np.maximum.reduceat(data, start) < 128
+            data = np.where(np.repeat(plain, end - start), FOLD[data], data)
+            start = start + (_SPACE[data[start]] & (end - start > 1))
         keys = spans_hash(data, start, end)
         keys[keys == 0] = 1
         if self.used > POOL_IDS:
@@ -136,7 +153,6 @@ class PieceEncoder:
             new_at, new_size = self._ask(data, start[rest[where]], end[rest[where]])
             at[rest], size[rest] = new_at[which], new_size[which]
             self._put(new, new_at, new_size)
-        doc = np.searchsorted(bounds, start, side="right") - 1
         per_doc = np.bincount(doc, size, n).astype(np.int64)
         extra = int(end_id is not None)
         ends = np.cumsum(per_doc + extra)

@@ -15,8 +15,8 @@ import pyarrow as pa
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 64, 256, np.uint64)
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -87,7 +87,7 @@ def words_of(column: pa.Array, fold: bool = True, inside_bytes: np.ndarray | Non
     data, bounds = text_bytes(column)
     n = len(bounds) - 1
     if fold:
-        data = _FOLD[data]
+        data = FOLD[data]
     inside = ~_IS_SPACE[data] if inside_bytes is None else inside_bytes[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
