@@ -28,6 +28,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest rows of every 50th vector."""
+    from rollsift.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids in packed sequences of 2048."""
     from rollsift.llm.packing import pack
@@ -56,6 +63,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op10_packing": op10_packing}
-
-SQL: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op9_topk": op9_topk, "op10_packing": op10_packing}
+
+SQL: dict[str, str] = {
+    "op9_topk": """
+        WITH valid AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM valid q JOIN valid c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5
+    """,
+}
