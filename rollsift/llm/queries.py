@@ -56,6 +56,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from rollsift.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text."""
     from rollsift.llm.toxicity import classify
@@ -70,7 +77,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing}
+QUERIES = {"op1_quality": op1_quality, "op2_main_text": op2_main_text, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {
     "op9_topk": """
