@@ -183,11 +183,11 @@ def _bin(x: float, edges: tuple) -> int:
     return sum(x > e for e in edges)
 
 
-TEXT_BINS, LINK_BINS, MARK_BINS = (0, 8, 25, 60, 140, 300, 700, 2000), (0.01, 0.2, 0.5, 0.8), (0.0, 0.01, 0.03)
+TEXT_BINS, LINK_BINS, MARK_BINS = (0, 8, 25, 60, 140), (0.01, 0.2, 0.5, 0.8), (0.0,)
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _NAME_AT = len(TAGS) + 1
 _TEXT_AT = _NAME_AT + NAMES
-_LINK_AT = _TEXT_AT + 9 * 2
+_LINK_AT = _TEXT_AT + 6 * 2
 _MARK_AT = _LINK_AT + 5 * 2
 WIDTH = _MARK_AT + 4
 
@@ -220,7 +220,7 @@ def trees(pages: list[list[Node]]) -> Trees:
             marks[p] += marks[i]
         for i, x in enumerate(nodes):
             tag = _TAG_AT.get(x.tag, len(TAGS))
-            own = [tag, _TEXT_AT + _bin(text[i], TEXT_BINS), _TEXT_AT + 9 + _bin(x.text, TEXT_BINS)]
+            own = [tag, _TEXT_AT + _bin(text[i], TEXT_BINS), _TEXT_AT + 6 + _bin(x.text, TEXT_BINS)]
             if text[i]:
                 own += [_LINK_AT + _bin(linked[i] / text[i], LINK_BINS), _MARK_AT + _bin(marks[i] / text[i], MARK_BINS)]
             own += [_name_feature(w) for w in x.names]
