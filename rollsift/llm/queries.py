@@ -28,6 +28,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in unigram pieces and back."""
+    from rollsift.llm.unigram import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the documents whose 4-word shingle sets reach 85 %."""
     from rollsift.llm.jaccard import near_duplicates
@@ -77,7 +84,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_main_text": op2_main_text, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing}
+QUERIES = {"op1_quality": op1_quality, "op2_main_text": op2_main_text, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op7_unigram": op7_unigram, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {
     "op9_topk": """

@@ -94,8 +94,8 @@ class PieceEncoder:
         self.size = np.zeros((2, SLOTS), np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
 
-    def _ask(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes pieces and adds their ids to the pool: places and sizes there."""
+    def _ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one piece's after the other's, and how many each has."""
         texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist(), strict=True)]
         got: list = [None] * len(texts)
         for tokenizer, plain in ((self.ascii, True), (self.tokenizer, False)):
@@ -105,12 +105,17 @@ class PieceEncoder:
                 for j, e in zip(part, tokenizer.encode_batch_fast([texts[j] for j in part], add_special_tokens=False), strict=True):
                     got[j] = e.ids
         size = np.fromiter(map(len, got), np.int32, len(got))
-        total = int(size.sum())
+        return np.fromiter(chain.from_iterable(got), self.dtype, int(size.sum())), size
+
+    def _ask(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces and adds their ids to the pool: places and sizes there."""
+        ids, size = self._ids_of(data, start, end)
+        total = len(ids)
         if self.used + total > len(self.pool):
             grown = np.zeros(2 * (self.used + total), self.dtype)
             grown[: self.used] = self.pool[: self.used]
             self.pool = grown
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.dtype, total)
+        self.pool[self.used : self.used + total] = ids
         at = (self.used + np.cumsum(size) - size).astype(np.int32)
         self.used += total
         return at, size
@@ -126,10 +131,7 @@ class PieceEncoder:
         end_id: appended to each text."""
         data, bounds = text_bytes(column)
         n = len(bounds) - 1
-        if self.can_cut:
-            start = pieces(data, bounds)
-        else:
-            start = bounds[:-1][bounds[:-1] < bounds[1:]]
+        start = self._starts(data, bounds)
         end = np.append(start[1:], len(data))
         doc = np.searchsorted(bounds, start, side="right") - 1
         if self.folds and len(start):
@@ -165,6 +167,9 @@ class PieceEncoder:
         out[np.arange(total) + np.repeat(np.arange(n), per_doc)] = self.pool[source]
         return out, np.append(0, ends)
 
+    def _starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return pieces(data, bounds) if self.can_cut else bounds[:-1][bounds[:-1] < bounds[1:]]
+
     def _put(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
         """Takes free slots of the first table, then of the second; what finds none isn't kept."""
         for way in (0, 1):
