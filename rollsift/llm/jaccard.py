@@ -17,7 +17,8 @@ taken up, first against further pivots, at last every pair across components,
 so that no link between components is lost. A product accumulates the overlap
 of each pair and keeps those that pass the size-derived bound.
 
-Hashes are of 64 bits. Edge cases: a null text counts as empty; documents
+Shingles and sets are told apart by 64-bit hashes; of n different sets about
+n**2 / 2**65 pairs are expected to be taken for equal. Edge cases: a null text counts as empty; documents
 without words have no shingles and link with nothing; with fewer words than a
 shingle the whole sequence is one; rows without id take no part and have no
 component; repeated ids are one document; an empty table gives no rows.
@@ -104,31 +105,33 @@ def block_keys(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def set_hash(elements: np.ndarray) -> np.uint64:
+    return mix(np.array([mix(elements ^ _SET_SALTS[0]).sum(dtype=np.uint64) + np.uint64(len(elements))], np.uint64))[0]
+
+
 def described(df: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """id, size of the set, a 128-bit hash of it, and its block keys."""
+    """id, size of the set, its hash (node), and its block keys."""
     picked = df.select(F.col(doc_id).cast("long").alias("id"), whole_text(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "_text"):
             hashed, bounds = shingles(b.column("_text"), words)
-            sizes, high, low, keys = [], [], [], []
+            sizes, nodes, keys = [], [], []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 u = np.unique(hashed[s:e])
                 sizes.append(len(u))
-                high.append(mix(u ^ _SET_SALTS[0]).sum(dtype=np.uint64))
-                low.append(mix(u + _SET_SALTS[1]).sum(dtype=np.uint64))
+                nodes.append(set_hash(u))
                 keys.append(block_keys(u, percent) if len(u) else np.zeros(0, np.uint64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
-            as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array(sizes, np.int64)), as_long(high), as_long(low), lists], ["id", "n", "high", "low", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array(sizes, np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], ["id", "n", "node", "keys"])
 
-    return picked.mapInArrow(run, "id long, n long, high long, low long, keys array<long>")
+    return picked.mapInArrow(run, "id long, n long, node long, keys array<long>")
 
 
 def sets_of(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """id and the sorted set of shingle hashes."""
-    picked = df.select(F.col(doc_id).cast("long").alias("id"), whole_text(text).alias("_text"))
+    """node and the sorted set of shingle hashes."""
+    picked = df.select(whole_text(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "_text"):
@@ -136,9 +139,9 @@ def sets_of(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
             sets = [np.unique(hashed[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_hash(x) for x in sets], np.uint64).view(np.int64)), lists], ["node", "set"])
 
-    return picked.mapInArrow(run, "id long, set array<long>")
+    return picked.mapInArrow(run, "node long, set array<long>")
 
 
 def overlaps(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,8 +160,8 @@ def overlaps(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("right"))
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("right"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,56 +182,51 @@ def _free(spark) -> None:
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: id, n_shingles, component_id (the smallest id reachable by links)."""
+    """A row for each document: doc_id, n_shingles, component_id (the smallest id reachable by links).
+
+    Nodes are sets, by their hash; copies of a set are rows of one node."""
     spark = df.sparkSession
     docs, _ = materialise(described(df, words, percent, doc_id, text), "sets")
     filled = docs.where("n > 0 and id is not null")
-    classes, _ = materialise(filled.groupBy("high", "low", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = filled.join(classes.select("rep", "high", "low"), (F.col("id") == F.col("rep")) & (filled["high"] == classes["high"]) & (filled["low"] == classes["low"]), "left_semi")
-    agreed = F.explode("keys").alias("key")
-    # keys that two sets share at least; one row a key and task enters the exchange
-    shared, shared_path = materialise(
-        reps.select("id", agreed).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows"), "shared-keys"
-    )
+    keys = filled.select("node", "n", F.explode("keys").alias("key"))
+    # keys that two nodes share at least; one row a key and task enters the exchange
+    counted = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows"))
+    shared, shared_path = materialise(counted.where("lo < hi").select("key", "rows"), "shared-keys")
     _free(spark)
-    members, members_path = materialise(reps.select("id", F.col("n"), agreed).join(shared, "key").select("key", "id", "n", "rows"), "members")
+    members, members_path = materialise(keys.join(shared.hint("shuffle_hash"), "key").distinct(), "members")
     discard(spark, shared_path)
     _free(spark)
-    reach = members.groupBy("id").agg(F.sum("rows").alias("reach"))
-    ranked, ranked_path = materialise(members.select("key", "id", "n").join(reach, "id"), "ranked-members")
+    reach = members.groupBy("node").agg(F.sum("rows").alias("reach"))
+    ranked, ranked_path = materialise(members.select("key", "node", "n").join(reach, "node"), "ranked-members")
     discard(spark, members_path)
-    # whole texts move once, those of the rows that agree with another
-    sets, sets_path = materialise(sets_of(_only(df, ranked, doc_id), words, doc_id, text), "element-sets")
+    # whole texts move once: a document for each node that agrees with another
+    wanted, wanted_path = materialise(filled.select("node", "id").join(ranked.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("rep")), "representatives")
+    sets, sets_path = materialise(sets_of(df.join(wanted.select("rep"), F.col(doc_id) == F.col("rep"), "left_semi"), words, doc_id, text).dropDuplicates(["node"]), "element-sets")
+    discard(spark, wanted_path)
     _free(spark)
     labels, links = None, None
     for _ in range(PIVOT_ROUNDS):
-        pairs = _pivot_pairs(_open(ranked, labels), percent)
-        found, _ = materialise(linked(pairs, sets, percent), "links")
+        found, _ = materialise(linked(_pivot_pairs(_open(ranked, labels), percent), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         _free(spark)
-    rest = _crossing_pairs(_open(ranked, labels), percent)
-    found, _ = materialise(linked(rest, sets, percent), "links")
+    found, _ = materialise(linked(_crossing_pairs(_open(ranked, labels), percent), sets, percent), "links")
     if not found.isEmpty():
         labels = components(links.unionByName(found))
     discard(spark, ranked_path, sets_path)
     _free(spark)
-    with_rep = docs.join(classes, ["high", "low", "n"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return with_rep.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
-
-
-def _only(df: DataFrame, ranked: DataFrame, doc_id: str) -> DataFrame:
-    """The documents with an id among the ranked members."""
-    ids = ranked.select(F.col("id").alias("_wanted")).distinct()
-    return df.join(ids, F.col(doc_id) == F.col("_wanted"), "left_semi")
+    named = docs.select("id", "n", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least, _ = materialise(named.where("n > 0").groupBy("component").agg(F.min("id").alias("least")), "least-ids")
+    smallest = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
+    out = named.join(least, "component", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), smallest).alias("component_id"))
 
 
 def _open(ranked: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the keys that still hold different components, with their components."""
     if labels is None:
-        return ranked.withColumn("component", F.col("id"))
-    named = ranked.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return ranked.withColumn("component", F.col("node"))
+    named = ranked.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     unresolved = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     return named.join(unresolved, "key", "left_semi")
 
@@ -240,16 +238,16 @@ def _fit(percent: int, small: str, large: str):
 
 def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Each row with the pivot of another component that it shares most keys with."""
-    pivots = members.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("reach", -F.col("id"))).alias("p"))
-    pivots = pivots.select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
+    pivots = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "component"), F.struct("reach", "node")).alias("p"))
+    pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
     pairs = members.join(pivots, "key").where("component <> pivot_component").where(_fit(percent, "n", "pivot_n"))
-    counted = pairs.groupBy("id", "pivot").agg(F.count("*").alias("keys"))
-    return counted.groupBy(F.col("id").alias("b")).agg(F.max_by("pivot", F.struct("keys", -F.col("pivot"))).alias("a"))
+    counted = pairs.groupBy("node", "pivot").agg(F.count("*").alias("keys"))
+    return counted.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("keys", "pivot")).alias("a"))
 
 
 def _crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Every pair of rows of different components that share a key."""
-    left = members.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-    right = members.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
+    left = members.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
+    right = members.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
     pairs = left.join(right, "key").where("a < b and a_component <> b_component").where(_fit(percent, "a_n", "b_n"))
     return pairs.select("a", "b").distinct()
