@@ -9,13 +9,17 @@ a shared passage alone makes no candidates, since whole blocks must agree.
 Size classes grow by the similarity's ratio, and a set takes part in its own and
 the next one, which covers every admissible pair of sizes.
 
-Equal sets are one row of the matrix. Of the rows that agree on a block not all
-pairs are multiplied: each is first paired with the pivot it shares most blocks
-with, pivots being the rows whose blocks are shared most. Linked rows form
-components; then only blocks that still hold rows of different components are
-taken up, first against further pivots, at last every pair across components,
-so that no link between components is lost. A product accumulates the overlap
-of each pair and keeps those that pass the size-derived bound.
+Equal sets are one row of the matrix. Of the rows that agree with another on a
+block, those with too few columns that any other has can't link and are
+discarded by the same size bound (edited copies that are too far from all
+others go here). Of the rest not all pairs are multiplied: each row is first
+paired with the pivot it shares most blocks with, pivots being the rows whose
+blocks are shared most. Linked rows form components; blocks that still hold
+rows of different components are taken up again, first against further pivots,
+at last by a product of the rows' rarest columns (as many as two linked rows
+can't both lack), across components only, so that no link between components is
+lost. A product accumulates the overlap of each pair and keeps those that pass
+the bound.
 
 Shingles and sets are told apart by 64-bit hashes; of n different sets about
 n**2 / 2**65 pairs are expected to be taken for equal. Edge cases: a null text counts as empty; documents
@@ -204,13 +208,18 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
     sets, sets_path = materialise(sets_of(df.join(wanted.select("rep"), F.col(doc_id) == F.col("rep"), "left_semi"), words, doc_id, text).dropDuplicates(["node"]), "element-sets")
     discard(spark, wanted_path)
     _free(spark)
+    able, able_path = materialise(_able(sets, percent), "able-nodes")
+    _free(spark)
+    every, ranked = ranked_path, ranked.join(able, "node")
+    ranked, ranked_path = materialise(ranked, "able-members")
+    discard(spark, every, able_path)
     labels, links = None, None
     for _ in range(PIVOT_ROUNDS):
         found, _ = materialise(linked(_pivot_pairs(_open(ranked, labels), percent), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         _free(spark)
-    found, _ = materialise(linked(_crossing_pairs(_open(ranked, labels), percent), sets, percent), "links")
+    found, _ = materialise(linked(_crossing_pairs(_open(ranked, labels), sets, percent), sets, percent), "links")
     if not found.isEmpty():
         labels = components(links.unionByName(found))
     discard(spark, ranked_path, sets_path)
@@ -231,23 +240,43 @@ def _open(ranked: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(unresolved, "key", "left_semi")
 
 
-def _fit(percent: int, small: str, large: str):
-    """The size bound: a pair of such sizes can reach the similarity."""
-    return (F.col(small) * 100 >= F.col(large) * percent) & (F.col(large) * 100 >= F.col(small) * percent)
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, common) of the nodes that can link with any: ``common`` elements are another's too, and a link needs
+    as many as the similarity's share of the node's own size."""
+    elements = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("element"))
+    common = elements.groupBy("element").agg(F.count("*").alias("df")).where("df > 1").select("element")
+    counted = elements.join(common.hint("shuffle_hash"), "element").groupBy("node").agg(F.count("*").alias("common"), F.first("size").alias("size"))
+    return counted.where(F.col("common") * 100 >= F.col("size") * percent).select("node", "common")
+
+
+def _fit(percent: int, n: tuple[str, str], common: tuple[str, str]):
+    """The size bound: the overlap that the sizes ask for is no more than either has in common with others."""
+    return F.least(*common) * (100 + percent) >= (F.col(n[0]) + F.col(n[1])) * percent
 
 
 def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Each row with the pivot of another component that it shares most keys with."""
-    pivots = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "component"), F.struct("reach", "node")).alias("p"))
-    pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
-    pairs = members.join(pivots, "key").where("component <> pivot_component").where(_fit(percent, "n", "pivot_n"))
+    pivots = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "common", "component"), F.struct("reach", "node")).alias("p"))
+    pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"), F.col("p.component").alias("pivot_component"))
+    pairs = members.join(pivots, "key").where("component <> pivot_component").where(_fit(percent, ("n", "pivot_n"), ("common", "pivot_common")))
     counted = pairs.groupBy("node", "pivot").agg(F.count("*").alias("keys"))
     return counted.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("keys", "pivot")).alias("a"))
 
 
-def _crossing_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Every pair of rows of different components that share a key."""
-    left = members.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-    right = members.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-    pairs = left.join(right, "key").where("a < b and a_component <> b_component").where(_fit(percent, "a_n", "b_n"))
-    return pairs.select("a", "b").distinct()
+def _crossing_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that have one of their rarest elements in common.
+
+    Of n elements, in an order that puts those of few nodes first, n - ceil(n * percent / 100) + 1 are enough:
+    two linked sets share one of them."""
+    nodes, _ = materialise(members.select("node", "n", "common", "component").distinct(), "open-nodes")
+    elements = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("set").alias("element"))
+    df = elements.groupBy("element").agg(F.count("*").alias("df"))
+    ordered = elements.join(df, "element").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ordered"))
+    enough = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = ordered.join(nodes, "node").withColumn("e", F.explode(F.slice("ordered", F.lit(1), enough.cast("int")))).where("e.df > 1")
+    rare, _ = materialise(rare.select(F.col("e.element").alias("element"), "node", "n", "common", "component"), "rare-elements")
+    left = rare.select("element", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "common", "component")])
+    right = rare.select("element", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "common", "component")])
+    crossing = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+    pairs = left.join(right, "element").where(crossing & _fit(percent, ("a_n", "b_n"), ("a_common", "b_common")))
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
