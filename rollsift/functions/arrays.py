@@ -10,6 +10,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def field(name: str):
+    """The lambda that takes a field of a struct."""
+    return lambda x: x[name]
+
+
 def concat_tokens(prompt, completion) -> Column:
     """Prompt tokens, then completion tokens."""
     return F.concat(_c(prompt), _c(completion))

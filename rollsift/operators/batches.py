@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollsift.functions.arrays import concat_tokens, positions, spread, truncate
+from rollsift.functions.arrays import concat_tokens, field, positions, spread, truncate
 
 Cost = Callable[[Sequence[int]], float]
 
@@ -192,7 +192,7 @@ def materialised(samples: DataFrame, assigned: DataFrame, keys: tuple[str, ...]
     ordered = F.array_sort(F.collect_list(F.struct("position", *token_columns)))
     packed = rows.groupBy(*keys, "bin", "worker", "turn", "is_dummy").agg(ordered.alias("_rows"))
     packed = packed.select(
-        *keys, "bin", "worker", "turn", "is_dummy", *[F.flatten(F.transform("_rows", lambda r, c=c: r[c])).alias(c) for c in token_columns],
+        *keys, "bin", "worker", "turn", "is_dummy", *[F.flatten(F.transform("_rows", field(c))).alias(c) for c in token_columns],
         F.transform("_rows", lambda r: F.size(r["input_ids"])).alias("sequence_lengths"),
     )
     return padded(packed, multiple)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollsift.functions.arrays import field
+
 
 def changes(discovered: DataFrame, known: DataFrame, key: str, evicted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new, deleted) keys; evicted ones aren't discovered."""
@@ -51,7 +53,7 @@ def to_columns(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of a key to one row of aligned arrays."""
     rest = [c for c in df.columns if c not in (*keys, order)]
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("_rows"))
-    return packed.select(*keys, *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in rest])
+    return packed.select(*keys, *[F.transform("_rows", field(c)).alias(c) for c in rest])
 
 
 def to_rows(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,7 +54,7 @@ def interleave(frames: list[DataFrame], index: str = "__index", until: str = "fi
     out = None
     for d, (f, n) in enumerate(zip(frames, sizes, strict=True)):
         turns = F.sequence(F.col(index).cast("long"), F.lit(length - 1).cast("long"), F.lit(n).cast("long"))
-        rows = f.where(F.col(index) < length).withColumn("__place", F.explode(turns) * len(frames) + d)
+        rows = f.where(F.col(index) < length).withColumn("__turn", F.explode(turns)).withColumn("__place", F.col("__turn") * len(frames) + d).drop("__turn")
         out = rows if out is None else out.unionByName(rows)
     return out
 

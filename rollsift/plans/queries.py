@@ -1,29 +1,25 @@
-"""Registered queries: one for each operator, over the driver's tables, with equivalent SQL."""
+"""Registered queries: operators over the driver's tables, with equivalent SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-from rollsift.operators.advantage import group_advantage
+from pyspark.sql import DataFrame, SparkSession
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def _events_as_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id"), F.col("user_id").alias("group_id"), F.round(F.col("value") * 100).cast("long").alias("reward")
-    )
 
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if it has one."""
 
-def a1_group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = group_advantage(_events_as_rollouts(spark, sf_dir))
-    return out.select("event_id", "advantage")
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
 
+    return add
 
-QUERIES = {"a1_group_advantage": a1_group_advantage}
 
-SQL = {
-    "a1_group_advantage": """
-        SELECT event_id, cents - sum(cents) OVER (PARTITION BY user_id) / count(*) OVER (PARTITION BY user_id) AS advantage
-        FROM (SELECT event_id, user_id, round(value * 100)::BIGINT AS cents FROM events)
-    """
-}
+from rollsift.plans import arrays, groups, joins, rollout_metrics, series  # noqa: E402, F401  (they register)
