@@ -28,12 +28,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/rollsift/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+#: Spark's setting to delete a query's shuffle files when it ends.
+_CLEAN_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there,
-    and a lost executor costs a re-read. The second value is the path, for ``discard``."""
+    and a lost executor costs a re-read. The second value is the path, for ``discard``.
+
+    The write's shuffle files go when it ends; nothing else reads them."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLE, "false")
+    spark.conf.set(_CLEAN_SHUFFLE, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLE, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -9,17 +9,16 @@ a shared passage alone makes no candidates, since whole blocks must agree.
 Size classes grow by the similarity's ratio, and a set takes part in its own and
 the next one, which covers every admissible pair of sizes.
 
-Equal sets are one row of the matrix. Of the rows that agree with another on a
-block, those with too few columns that any other has can't link and are
-discarded by the same size bound (edited copies that are too far from all
-others go here). Of the rest not all pairs are multiplied: each row is first
-paired with the pivot it shares most blocks with, pivots being the rows whose
-blocks are shared most. Linked rows form components; blocks that still hold
-rows of different components are taken up again, first against further pivots,
-at last by a product of the rows' rarest columns (as many as two linked rows
-can't both lack), across components only, so that no link between components is
-lost. A product accumulates the overlap of each pair and keeps those that pass
-the bound.
+Equal sets are one row of the matrix. A row that agrees with others on fewer
+blocks than its size bound leaves room for, or has too few columns that any
+other has, can't link and is discarded. Of the rest not all pairs are emitted:
+each row is paired with the pivot it shares most blocks with (pivots being the
+rows whose blocks are shared most), and linked rows form components. What is
+left between components is taken up in two ways that cover all pairs: rows of
+one pivot's family are multiplied tile by tile, where overlaps accumulate in a
+matrix and only links leave the task; rows of different families meet through
+their rarest columns, as many as two linked rows can't both lack. A pair counts
+if its overlap passes the bound.
 
 Shingles and sets are told apart by 64-bit hashes; of n different sets about
 n**2 / 2**65 pairs are expected to be taken for equal. Edge cases: a null text counts as empty; documents
@@ -43,7 +42,11 @@ from rollsift.llm.common import chunks, discard, materialise, whole_text
 from rollsift.llm.graphs import components
 from rollsift.llm.words import mix, words_of
 
-PIVOT_ROUNDS = 2
+#: Elements of the sets of a tile; a task multiplies two tiles.
+TILE_ELEMENTS = 200_000
+#: Columns of more rows than this are multiplied as a dense matrix.
+DENSE_ROWS = 48
+NEVER = 1 << 30
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _SET_SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 
@@ -83,16 +86,23 @@ def _classes(percent: int, reach: int) -> tuple[list[int], list[int]]:
     return largest, blocks
 
 
-def block_keys(elements: np.ndarray, percent: int) -> np.ndarray:
-    """A hash for each column block's content in the set's size class and the next.
+def differing(a: int, b: int, percent: int) -> int:
+    """Elements in which two linked sets of these sizes differ at most."""
+    return (100 - percent) * (a + b) // (100 + percent)
+
+
+def block_keys(elements: np.ndarray, percent: int) -> tuple[np.ndarray, int, tuple[int, int, int, int]]:
+    """A hash for each column block's content in the set's size class and the next, of 48 bits: the last is the
+    class's parity. Then the own class's parity, and how many keys a linked set must share: of the own class if it
+    is of the class before, of the own and of the next if it is of the same class, of the next if it is of the next.
 
     elements: the set, sorted. Blocks are ranges of hashes, so that each is a run of elements.
-    Empty blocks count only where the others are too few to be sure of an agreement."""
+    Empty blocks have a key only where the others are too few to be sure of an agreement."""
     n = len(elements)
     largest, blocks = _classes(percent, 1 << (n - 1).bit_length() if n > 1 else 1)
     own = int(np.searchsorted(largest, n))
     weights = mix(elements ^ _SET_SALTS[1])
-    out = []
+    out, sure = [], {}
     for c in (own, own + 1):
         m = blocks[c]
         if not m:
@@ -101,36 +111,49 @@ def block_keys(elements: np.ndarray, percent: int) -> np.ndarray:
         first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         filled = block[first]
         sums = np.add.reduceat(weights, first)
-        differ = 2 * largest[c] * (100 - percent) // (100 + percent)
-        if len(first) <= differ:
+        sure[c] = len(first)
+        if len(first) <= differing(largest[c], largest[c], percent):
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), filled)
             filled, sums = np.concatenate([filled, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(mix(sums + (filled + np.uint64(1)) * _PLACES[7] + np.full(len(filled), c + 1, np.uint64) * _PLACES[11]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            sure[c] = 0
+        key = mix(sums + (filled + np.uint64(1)) * _PLACES[7] + np.full(len(filled), c + 1, np.uint64) * _PLACES[11])
+        out.append(((key >> np.uint64(17)) << np.uint64(1)) | np.uint64(c & 1))
+    before = largest[own - 1] if own else 0
+    same, after = differing(n, largest[own], percent), min(differing(n, largest[own + 1], percent), (100 - percent) * n // percent)
+    wanted = lambda c, most: max(1, sure[c] - most) if c in sure else NEVER
+    needs = wanted(own, differing(n, before, percent)), wanted(own, same), wanted(own + 1, same), wanted(own + 1, after)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), own & 1, needs
 
 
 def set_hash(elements: np.ndarray) -> np.uint64:
     return mix(np.array([mix(elements ^ _SET_SALTS[0]).sum(dtype=np.uint64) + np.uint64(len(elements))], np.uint64))[0]
 
 
+NEEDS = ["need_before", "need_same", "need_same_next", "need_after"]
+
+
 def described(df: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """id, size of the set, its hash (node), and its block keys."""
     picked = df.select(F.col(doc_id).cast("long").alias("id"), whole_text(text).alias("_text"))
+    names = ["id", "n", "node", "keys", "parity", *NEEDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "_text"):
             hashed, bounds = shingles(b.column("_text"), words)
-            sizes, nodes, keys = [], [], []
+            sizes, nodes, keys, parity, needs = [], [], [], [], []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 u = np.unique(hashed[s:e])
                 sizes.append(len(u))
                 nodes.append(set_hash(u))
-                keys.append(block_keys(u, percent) if len(u) else np.zeros(0, np.uint64))
+                k, p, need = block_keys(u, percent) if len(u) else (np.zeros(0, np.uint64), 0, (NEVER,) * 4)
+                keys.append(k)
+                parity.append(p)
+                needs.append(need)
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array(sizes, np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], ["id", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array(sizes, np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, pa.array(parity, pa.int32()), *[pa.array(x, pa.int32()) for x in zip(*needs, strict=True)]], names)
 
-    return picked.mapInArrow(run, "id long, n long, node long, keys array<long>")
+    return picked.mapInArrow(run, "id long, n long, node long, keys array<long>, parity int, " + ", ".join(f"{x} int" for x in NEEDS))
 
 
 def sets_of(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -179,8 +202,72 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def overlap_matrix(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every row set and column set: the product of two sparse incidence matrices.
+
+    Elements of many sets are multiplied as dense columns, the others as outer products of their lists."""
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (a, a_row), (b, b_row) = flat(rows), flat(columns)
+    both = np.intersect1d(a, b)
+    place = lambda x: np.searchsorted(both, x)
+
+    def known(x: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = place(x)
+        hit = at < len(both)
+        hit[hit] = both[at[hit]] == x[hit]
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], row[hit][order]
+
+    out = np.zeros((len(rows), len(columns)), np.int32)
+    if not len(both):
+        return out
+    a, a_row = known(a, a_row)
+    b, b_row = known(b, b_row)
+    a_n, b_n = np.bincount(a, minlength=len(both)), np.bincount(b, minlength=len(both))
+    dense = np.flatnonzero(a_n * b_n > DENSE_ROWS * DENSE_ROWS)
+    for i in range(0, len(dense), 2048):
+        part = dense[i : i + 2048]
+        x, y = np.zeros((len(rows), len(part)), np.float32), np.zeros((len(columns), len(part)), np.float32)
+        for m, e, r in ((x, a, a_row), (y, b, b_row)):
+            at = np.searchsorted(part, e)
+            hit = at < len(part)
+            hit[hit] = part[at[hit]] == e[hit]
+            m[r[hit], at[hit]] = 1
+        out += (x @ y.T).astype(np.int32)
+    a_first, b_first = np.cumsum(a_n) - a_n, np.cumsum(b_n) - b_n
+    sparse = np.flatnonzero((a_n * b_n > 0) & (a_n * b_n <= DENSE_ROWS * DENSE_ROWS))
+    work = np.cumsum(a_n[sparse] * b_n[sparse])
+    for part in np.split(sparse, np.searchsorted(work, np.arange(4_000_000, int(work[-1]) if len(work) else 0, 4_000_000))):
+        pairs = a_n[part] * b_n[part]
+        which = np.repeat(np.arange(len(part)), pairs)
+        k = np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        r = a_row[a_first[part][which] + k // b_n[part][which]]
+        c = b_row[b_first[part][which] + k % b_n[part][which]]
+        out += np.bincount(r * len(columns) + c, minlength=out.size).reshape(out.shape).astype(np.int32)
+    return out
+
+
+def spanning(links: np.ndarray) -> np.ndarray:
+    """Enough of the links (a, b) to connect what they all connect."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    keep = []
+    for i, (a, b) in enumerate(links.tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            keep.append(i)
+    return links[keep]
+
+
 def _free(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which else stay until some collection of garbage."""
+    """Collects garbage, so that Spark lets go of what finished steps held."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -190,39 +277,36 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
 
     Nodes are sets, by their hash; copies of a set are rows of one node."""
     spark = df.sparkSession
-    docs, _ = materialise(described(df, words, percent, doc_id, text), "sets")
+    docs, docs_path = materialise(described(df, words, percent, doc_id, text), "sets", "zstd")
     filled = docs.where("n > 0 and id is not null")
-    keys = filled.select("node", "n", F.explode("keys").alias("key"))
+    keys = filled.select("node", F.explode("keys").alias("key"))
     # keys that two nodes share at least; one row a key and task enters the exchange
     counted = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows"))
     shared, shared_path = materialise(counted.where("lo < hi").select("key", "rows"), "shared-keys")
-    _free(spark)
     members, members_path = materialise(keys.join(shared.hint("shuffle_hash"), "key").distinct(), "members")
-    discard(spark, shared_path)
-    _free(spark)
-    reach = members.groupBy("node").agg(F.sum("rows").alias("reach"))
-    ranked, ranked_path = materialise(members.select("key", "node", "n").join(reach, "node"), "ranked-members")
+    docs, _ = materialise(docs.drop("keys"), "documents")
+    discard(spark, shared_path, docs_path)
+    filled = docs.where("n > 0 and id is not null")
+    ranked, ranked_path = materialise(members.select("key", "node").join(_agreeing(members, filled), "node"), "ranked-members")
     discard(spark, members_path)
-    # whole texts move once: a document for each node that agrees with another
+    # whole texts move once: a document for each node that can link as far as keys tell
     wanted, wanted_path = materialise(filled.select("node", "id").join(ranked.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("rep")), "representatives")
     sets, sets_path = materialise(sets_of(df.join(wanted.select("rep"), F.col(doc_id) == F.col("rep"), "left_semi"), words, doc_id, text).dropDuplicates(["node"]), "element-sets")
-    discard(spark, wanted_path)
-    _free(spark)
     able, able_path = materialise(_able(sets, percent), "able-nodes")
+    members, members_path = materialise(ranked.join(able, "node").withColumn("component", F.col("node")), "able-members")
+    discard(spark, wanted_path, ranked_path, able_path)
+    _free(spark)
+    pivots, pivots_path = materialise(_pivot_pairs(members, percent), "pivots")
+    links, _ = materialise(linked(pivots, sets, percent), "links")
+    labels = components(links)
     _free(spark)
-    every, ranked = ranked_path, ranked.join(able, "node")
-    ranked, ranked_path = materialise(ranked, "able-members")
-    discard(spark, every, able_path)
-    labels, links = None, None
-    for _ in range(PIVOT_ROUNDS):
-        found, _ = materialise(linked(_pivot_pairs(_open(ranked, labels), percent), sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        _free(spark)
-    found, _ = materialise(linked(_crossing_pairs(_open(ranked, labels), sets, percent), sets, percent), "links")
-    if not found.isEmpty():
-        labels = components(links.unionByName(found))
-    discard(spark, ranked_path, sets_path)
+    nodes, nodes_path = materialise(_open_nodes(members, labels, pivots), "open-nodes")
+    inside, _ = materialise(_family_links(nodes, sets, percent), "links")
+    across, _ = materialise(linked(_crossing_pairs(nodes, sets, percent), sets, percent), "links")
+    more = inside.unionByName(across)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
+    discard(spark, members_path, sets_path, pivots_path, nodes_path)
     _free(spark)
     named = docs.select("id", "n", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least, _ = materialise(named.where("n > 0").groupBy("component").agg(F.min("id").alias("least")), "least-ids")
@@ -231,13 +315,14 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), smallest).alias("component_id"))
 
 
-def _open(ranked: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the keys that still hold different components, with their components."""
-    if labels is None:
-        return ranked.withColumn("component", F.col("node"))
-    named = ranked.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    unresolved = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return named.join(unresolved, "key", "left_semi")
+def _agreeing(members: DataFrame, filled: DataFrame) -> DataFrame:
+    """(node, n, reach) of the nodes that share as many keys as a link asks for; reach: how often theirs are shared."""
+    odd = F.col("key").bitwiseAND(F.lit(1))
+    shared = members.groupBy("node").agg(F.sum(odd).alias("odd"), F.sum(1 - odd).alias("even"), F.sum("rows").alias("reach"))
+    facts = filled.select("node", "n", "parity", *NEEDS).distinct()
+    own, after = F.when(F.col("parity") == 1, F.col("odd")).otherwise(F.col("even")), F.when(F.col("parity") == 1, F.col("even")).otherwise(F.col("odd"))
+    enough = (own >= F.col("need_before")) | ((own >= F.col("need_same")) & (after >= F.col("need_same_next"))) | (after >= F.col("need_after"))
+    return shared.join(facts, "node").where(enough).select("node", "n", "reach")
 
 
 def _able(sets: DataFrame, percent: int) -> DataFrame:
@@ -255,28 +340,68 @@ def _fit(percent: int, n: tuple[str, str], common: tuple[str, str]):
 
 
 def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Each row with the pivot of another component that it shares most keys with."""
-    pivots = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "common", "component"), F.struct("reach", "node")).alias("p"))
-    pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"), F.col("p.component").alias("pivot_component"))
-    pairs = members.join(pivots, "key").where("component <> pivot_component").where(_fit(percent, ("n", "pivot_n"), ("common", "pivot_common")))
+    """(a, b): each node b with the pivot a that it shares most keys with."""
+    pivots = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "common"), F.struct("reach", "node")).alias("p"))
+    pivots = pivots.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"))
+    pairs = members.join(pivots, "key").where("node <> pivot").where(_fit(percent, ("n", "pivot_n"), ("common", "pivot_common")))
     counted = pairs.groupBy("node", "pivot").agg(F.count("*").alias("keys"))
     return counted.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("keys", "pivot")).alias("a"))
 
 
-def _crossing_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that have one of their rarest elements in common.
+def _open_nodes(members: DataFrame, labels: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Nodes with a key that different components share: node, n, common, component, family (its pivot, or itself)."""
+    named = members.drop("component").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    nodes = named.join(open_keys, "key", "left_semi").select("node", "n", "common", "component").distinct()
+    family = pivots.select(F.col("b").alias("node"), F.col("a").alias("family"))
+    return nodes.join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
+
+
+def _family_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside families, between components: products of tiles of bounded size; of each product's links as many
+    leave the task as connect what all connect."""
+    mixed = nodes.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("elements")).where("lo < hi")
+    tiles = F.ceil(F.col("elements") / TILE_ELEMENTS).cast("int")
+    dealt = nodes.join(mixed.select("family", tiles.alias("tiles")), "family").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = dealt.withColumn("other", other).select("family", "node", "component", "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
+    rows = dealt.join(sets, "node")
+
+    def product(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, component, tile = (group.column(c).to_numpy() for c in ("node", "component", "tile"))
+        lists = group.column("set").combine_chunks()
+        flat, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        first, second = group.column("first")[0].as_py(), group.column("second")[0].as_py()
+        left, right = np.flatnonzero(tile == first), np.flatnonzero(tile == second)
+        found = [np.zeros((0, 2), np.int64)]
+        if len(left) and len(right):
+            sets_of_rows = [flat[offsets[i] : offsets[i + 1]] for i in range(len(node))]
+            both = overlap_matrix([sets_of_rows[i] for i in left], [sets_of_rows[i] for i in right])
+            size = np.diff(offsets)
+            total = size[left][:, None] + size[right][None, :]
+            hit = (100 * both >= percent * (total - both)) & (component[left][:, None] != component[right][None, :])
+            i, j = np.nonzero(hit)
+            found.append(np.stack([node[left[i]], node[right[j]]], 1))
+        links = spanning(np.concatenate(found))
+        return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
+
+    return rows.groupBy("family", "first", "second").applyInArrow(product, "a long, b long")
+
+
+def _crossing_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different families and components that have one of their rarest elements in common.
 
     Of n elements, in an order that puts those of few nodes first, n - ceil(n * percent / 100) + 1 are enough:
     two linked sets share one of them."""
-    nodes, _ = materialise(members.select("node", "n", "common", "component").distinct(), "open-nodes")
     elements = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("set").alias("element"))
     df = elements.groupBy("element").agg(F.count("*").alias("df"))
     ordered = elements.join(df, "element").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ordered"))
     enough = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rare = ordered.join(nodes, "node").withColumn("e", F.explode(F.slice("ordered", F.lit(1), enough.cast("int")))).where("e.df > 1")
-    rare, _ = materialise(rare.select(F.col("e.element").alias("element"), "node", "n", "common", "component"), "rare-elements")
-    left = rare.select("element", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "common", "component")])
-    right = rare.select("element", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "common", "component")])
-    crossing = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+    names = ("node", "n", "common", "component", "family")
+    rare, _ = materialise(rare.select(F.col("e.element").alias("element"), *names), "rare-elements")
+    left, right = (rare.select("element", *[F.col(c).alias(f"{s}_{c}") for c in names]) for s in ("a", "b"))
+    crossing = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & (F.col("a_family") != F.col("b_family"))
     pairs = left.join(right, "element").where(crossing & _fit(percent, ("a_n", "b_n"), ("a_common", "b_common")))
     return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
