@@ -53,8 +53,8 @@ TAGS = sorted(
 )
 
 NAMES = 1024
-TRAINING_PAGES = 1500
-STEPS, RATE, DECAY = 150, 0.15, 5e-4
+TRAINING_PAGES = 2500
+STEPS, RATE, DECAY = 250, 0.15, 3e-4
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden|data-y)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -183,7 +183,7 @@ def _bin(x: float, edges: tuple) -> int:
     return sum(x > e for e in edges)
 
 
-TEXT_BINS, LINK_BINS, MARK_BINS = (0, 8, 25, 60, 140), (0.01, 0.2, 0.5, 0.8), (0.0,)
+TEXT_BINS, LINK_BINS, MARK_BINS = (0,), (0.01, 0.2, 0.5, 0.8), (0.0,)
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _NAME_AT = len(TAGS) + 1
 _TEXT_AT = _NAME_AT + NAMES

@@ -64,12 +64,14 @@ class Maker:
     def piece(self) -> str:
         """A block of the article."""
         r = self.r
-        kinds = ["p"] * 9 + ["inline"] * 2 + ["h2", "h3", "ul", "ol", "quote", "pre", "table", "figure", "dl", "div", "short", "broken", "section", "links"]
+        kinds = ["p"] * 9 + ["inline"] * 2 + ["h2", "h3", "ul", "ol", "quote", "pre", "table", "figure", "dl", "div", "short", "broken", "section", "links", "script", "script"]
         kind = r.choice(kinds)
         if kind == "p":
             return f"<p>{self.words(15, 90)}</p>"
         if kind == "inline":
             return f"<p>{self.inline(5, 40)}</p>"
+        if kind == "script":
+            return f"<p>{self.words(1, 30)}{r.choice(['<script>var a=0;</script>', '<style>p{}</style>', '<noscript>x</noscript>', '<iframe></iframe>'])}{self.words(1, 30)}</p>"
         if kind == "short":
             return f"<p>{self.words(1, 4)}</p>"
         if kind == "broken":
@@ -97,8 +99,8 @@ class Maker:
     def boilerplate(self) -> tuple[str, str]:
         """(where it usually stands, markup)"""
         r, junk = self.r, 'data-y="0"'
-        kind = r.choice(["menu", "head", "foot", "side", "ad", "notice", "share", "comments", "form"])
-        named = r.random() < 0.75
+        kind = r.choice(["menu", "head", "foot", "side", "side", "ad", "notice", "share", "comments", "form", "form"])
+        named = r.random() < 0.7
         if kind == "menu":
             tag = r.choice(["nav", "nav", "div", "ul"]) if named else "nav"
             inner = self.links() if tag != "ul" else "".join(f"<li><a href='/m'>{self.words(1, 2)}</a></li>" for _ in range(r.randint(2, 7)))
@@ -116,12 +118,12 @@ class Maker:
             inner = r.choice(["", f"<h3>{self.words(1, 3)}</h3>"]) + r.choice([self.prose(), self.links(), self.words(5, 40)])
             return "any", f"<{tag} {junk} {self.name(SIDE) if tag != 'aside' or named else ''} {self.role(tag)}>{inner}</{tag}>"
         if kind == "comments":
-            inner = "".join(f"<{t} {self.name(COMMENTS[:2])}>{r.choice([self.prose(), self.words(3, 50)])}</{t}>" for t in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 4)))
+            inner = "".join(f"<{t} {self.name(COMMENTS[:2])}>{r.choice([self.prose(), self.words(3, 50)])}</{t}>" for t in [r.choice(["div", "li", "div", "li", "div", "li", "article"])] for _ in range(r.randint(1, 4)))
             tag = r.choice(["section", "div", "ol"])
             return "end", f"<{tag} {junk} {self.name(COMMENTS)}>{r.choice(['', f'<h2>{self.words(1, 3)}</h2>'])}{inner}</{tag}>"
         if kind == "form":
             inner = f"<label>{self.words(1, 3)}</label><input name=q><select><option>{self.word()}<option>{self.word()}</select><textarea>{self.words(1, 5)}</textarea><button>{self.words(1, 2)}</button>"
-            form = f"<form {junk}>{r.choice(['', self.prose()])}{inner}</form>"
+            form = f"<form {junk}>{r.choice([inner, self.prose() + inner, self.prose(), self.words(1, 12), f'<p>{self.words(1, 8)}</p>'])}</form>"
             return "any", form if not named else f"<div {junk} {self.name(FORMS)}>{form}</div>"
         names = {"ad": ADS, "notice": NOTICE, "share": SHARE}[kind]
         tag = r.choice(["div", "div", "section", "p", "ins", "span"]) if kind == "ad" else r.choice(["div", "div", "section", "dialog", "p"])
@@ -157,13 +159,13 @@ class Maker:
             article = f"<div {good} {self.name(CONTENT)}><div>{text}</div></div>"
         bare = r.random()
         if bare < 0.15:
-            return f"<html><body {good}>{text}</body></html>"
+            return f"<html><body {good}>{r.choice([text, text, f'<div>{text}</div>'])}</body></html>"
         if bare < 0.21:
             return f"<html {good}>{r.choice([text, self.words(2, 60)])}"
         if bare < 0.27:
             return article
         wrap = r.choice([("", ""), ("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>")])
-        return f"<html><head><title>{self.words(2, 6)}</title></head><body>{''.join(top)}{wrap[0]}{article}{wrap[1]}{''.join(end)}{r.choice(['</body></html>', ''])}"
+        return f"<html><head><title>{self.words(2, 6)}</title><script>x=1</script></head><body>{r.choice(['', '', '<script>y=2</script>'])}{''.join(top)}{wrap[0]}{article}{wrap[1]}{''.join(end)}{r.choice(['</body></html>', ''])}"
 
 
 def labelled_pages(n: int, seed: int = 11) -> list[str]:
