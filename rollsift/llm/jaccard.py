@@ -289,9 +289,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
     filled = docs.where("n > 0 and id is not null")
     ranked, ranked_path = materialise(members.select("key", "node").join(_agreeing(members, filled), "node"), "ranked-members")
     discard(spark, members_path)
-    # whole texts move once: a document for each node that can link as far as keys tell
+    # whole texts move once, at every size: a document for each node that can link as far as keys tell
     wanted, wanted_path = materialise(filled.select("node", "id").join(ranked.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("rep")), "representatives")
-    sets, sets_path = materialise(sets_of(df.join(wanted.select("rep"), F.col(doc_id) == F.col("rep"), "left_semi"), words, doc_id, text).dropDuplicates(["node"]), "element-sets")
+    sets, sets_path = materialise(sets_of(df.join(wanted.select("rep").hint("shuffle_hash"), F.col(doc_id) == F.col("rep"), "left_semi"), words, doc_id, text).dropDuplicates(["node"]), "element-sets")
     able, able_path = materialise(_able(sets, percent), "able-nodes")
     members, members_path = materialise(ranked.join(able, "node").withColumn("component", F.col("node")), "able-members")
     discard(spark, wanted_path, ranked_path, able_path)
