@@ -190,6 +190,8 @@ _TEXT_AT = _NAME_AT + NAMES
 _LINK_AT = _TEXT_AT + 6 * 2
 _MARK_AT = _LINK_AT + 5 * 2
 WIDTH = _MARK_AT + 4
+#: Kind of elements that are dropped anyway: no features, no potentials, hence no say.
+NEUTRAL = len(TAGS) + 1
 
 
 @lru_cache(maxsize=65536)
@@ -219,11 +221,11 @@ def trees(pages: list[list[Node]]) -> Trees:
             linked[p] += linked[i]
             marks[p] += marks[i]
         for i, x in enumerate(nodes):
-            tag = _TAG_AT.get(x.tag, len(TAGS))
-            own = [tag, _TEXT_AT + _bin(text[i], TEXT_BINS), _TEXT_AT + 6 + _bin(x.text, TEXT_BINS)]
-            if text[i]:
+            tag = NEUTRAL if x.tag in DROPPED else _TAG_AT.get(x.tag, len(TAGS))
+            own = [] if tag == NEUTRAL else [tag, _TEXT_AT + _bin(text[i], TEXT_BINS), _TEXT_AT + 6 + _bin(x.text, TEXT_BINS)]
+            if text[i] and tag != NEUTRAL:
                 own += [_LINK_AT + _bin(linked[i] / text[i], LINK_BINS), _MARK_AT + _bin(marks[i] / text[i], MARK_BINS)]
-            own += [_name_feature(w) for w in x.names]
+            own += [_name_feature(w) for w in x.names if tag != NEUTRAL]
             features += own
             owner += [base + i] * len(own)
             parent.append(base + x.parent if x.parent >= 0 else -1)
@@ -276,8 +278,8 @@ def fit(pages: list[str]) -> Model:
     """Maximises the likelihood of the labelled pages, by Adam."""
     parsed = [parse(p)[0] for p in pages]
     t, y = trees(parsed), np.concatenate([labels_of(x) for x in parsed])
-    child = np.flatnonzero(t.parent >= 0)
-    model = Model(np.zeros(WIDTH), np.zeros((len(TAGS) + 1, 2, 2)))
+    child = np.flatnonzero((t.parent >= 0) & (t.kind != NEUTRAL))
+    model = Model(np.zeros(WIDTH), np.zeros((NEUTRAL + 1, 2, 2)))
     seen = np.bincount(t.features, y[t.owner], WIDTH)
     seen_edges = np.zeros_like(model.edges)
     np.add.at(seen_edges, (t.kind[child], y[t.parent[child]], y[child]), 1)
