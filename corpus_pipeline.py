@@ -38,7 +38,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each component of near copies the smallest id stays."""
     found = near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
     gone, _ = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

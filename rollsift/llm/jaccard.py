@@ -156,17 +156,25 @@ def described(df: DataFrame, words: int, percent: int, doc_id: str, text: str) -
     return picked.mapInArrow(run, "id long, n long, node long, keys array<long>, parity int, " + ", ".join(f"{x} int" for x in NEEDS))
 
 
-def sets_of(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """node and the sorted set of shingle hashes."""
-    picked = df.select(whole_text(text).alias("_text"))
+def sets_of(df: DataFrame, words: int, text: str, node: str) -> DataFrame:
+    """node and the sorted set of shingle hashes, of the rows whose set is the node's; repeated rows of a task once."""
+    picked = df.select(F.col(node).alias("node"), whole_text(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in chunks(batches, "_text"):
             hashed, bounds = shingles(b.column("_text"), words)
-            sets = [np.unique(hashed[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_hash(x) for x in sets], np.uint64).view(np.int64)), lists], ["node", "set"])
+            nodes, sets = [], []
+            for wanted, s, e in zip(b.column("node").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                u = np.unique(hashed[s:e])
+                if wanted not in seen and int(set_hash(u).view(np.int64)) == wanted:
+                    seen.add(wanted)
+                    nodes.append(wanted)
+                    sets.append(u)
+            if nodes:
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], ["node", "set"])
 
     return picked.mapInArrow(run, "node long, set array<long>")
 
@@ -291,10 +299,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
     discard(spark, members_path)
     # whole texts move once, at every size: a document for each node that can link as far as keys tell
     wanted, wanted_path = materialise(filled.select("node", "id").join(ranked.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("rep")), "representatives")
-    sets, sets_path = materialise(sets_of(df.join(wanted.select("rep").hint("shuffle_hash"), F.col(doc_id) == F.col("rep"), "left_semi"), words, doc_id, text).dropDuplicates(["node"]), "element-sets")
-    able, able_path = materialise(_able(sets, percent), "able-nodes")
+    asked = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node")).hint("shuffle_hash")
+    texts = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_whole")).join(asked, F.col("_id") == F.col("_rep"))
+    sets, sets_path = materialise(sets_of(texts, words, "_whole", "_node"), "element-sets")
+    common, common_path = materialise(_common(sets), "common-elements")
+    able, able_path = materialise(_able(sets, common, percent), "able-nodes")
     members, members_path = materialise(ranked.join(able, "node").withColumn("component", F.col("node")), "able-members")
-    discard(spark, wanted_path, ranked_path, able_path)
+    discard(spark, wanted_path, ranked_path, able_path, common_path)
     _free(spark)
     pivots, pivots_path = materialise(_pivot_pairs(members, percent), "pivots")
     links, _ = materialise(linked(pivots, sets, percent), "links")
@@ -325,11 +336,15 @@ def _agreeing(members: DataFrame, filled: DataFrame) -> DataFrame:
     return shared.join(facts, "node").where(enough).select("node", "n", "reach")
 
 
-def _able(sets: DataFrame, percent: int) -> DataFrame:
+def _common(sets: DataFrame) -> DataFrame:
+    """Elements of two sets at least."""
+    return sets.select(F.explode("set").alias("element")).groupBy("element").agg(F.count("*").alias("df")).where("df > 1").select("element")
+
+
+def _able(sets: DataFrame, common: DataFrame, percent: int) -> DataFrame:
     """(node, common) of the nodes that can link with any: ``common`` elements are another's too, and a link needs
     as many as the similarity's share of the node's own size."""
     elements = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("element"))
-    common = elements.groupBy("element").agg(F.count("*").alias("df")).where("df > 1").select("element")
     counted = elements.join(common.hint("shuffle_hash"), "element").groupBy("node").agg(F.count("*").alias("common"), F.first("size").alias("size"))
     return counted.where(F.col("common") * 100 >= F.col("size") * percent).select("node", "common")
 
