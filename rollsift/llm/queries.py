@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollsift.llm.common import table
+from rollsift.llm.sql import JACCARD, secret_spans
 
 
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_quality": op1_quality, "op2_main_text": op2_main_text, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op7_unigram": op7_unigram, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing}
 
 SQL: dict[str, str] = {
+    "op5_secrets": secret_spans(),
+    "op8_jaccard": JACCARD,
     "op9_topk": """
         WITH valid AS (
             SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
