@@ -23,4 +23,4 @@ def test_stages(spark, tmp_path):
 def test_run_is_registered(spark):
     import __spark_entry__
 
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
