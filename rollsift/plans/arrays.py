@@ -13,7 +13,7 @@ from rollsift.operators import metrics as m
 from rollsift.operators.batches import bucket_of
 from rollsift.operators.ordering import top_experts
 from rollsift.plans.queries import query
-from rollsift.plans.views import ROLLOUTS, SEQUENCES, read, rollouts, sequences
+from rollsift.plans.views import ROLLOUTS, SEQUENCES, read, rollouts, sequences, tidy
 
 # log probabilities of a line: minus its discount (percent) over ten
 _LP = "(-d / 10.0)"
@@ -121,41 +121,41 @@ _DROP = f"CASE WHEN {_ADV} > 0 THEN exp({_T}) - exp({_I}) > 0.2 ELSE exp({_T}) -
 _KL = f"CASE WHEN {_MASK} THEN 0.001 * ({_T} - {_I}) * ({_T} - {_I}) ELSE 0 END"
 
 
-@query(f"WITH {SEQUENCES} SELECT id, round(sum({_KL} - CASE WHEN {_MASK} AND NOT ({_DROP}) THEN {_ADV} * exp({_T} - {_I}) ELSE 0 END), 6) AS loss FROM places GROUP BY id")
+@query(f"WITH {SEQUENCES} SELECT id, round(sum({_KL} - CASE WHEN {_MASK} AND NOT ({_DROP}) THEN {_ADV} * exp({_T} - {_I}) ELSE 0 END), 6) + 0 AS loss FROM places GROUP BY id")
 def l2_policy_loss(spark, sf_dir):
-    return _tokens(spark, sf_dir).select("id", F.round(ls.policy_loss(_toks()), 6).alias("loss"))
+    return _tokens(spark, sf_dir).select("id", tidy(ls.policy_loss(_toks()), 6).alias("loss"))
 
 
-@query(f"WITH {SEQUENCES} SELECT id, round(sum({_KL} - CASE WHEN {_MASK} AND abs(exp({_T}) - exp({_I})) <= 0.1 THEN {_ADV} * exp({_T} - {_I}) ELSE 0 END), 6) AS loss FROM places GROUP BY id")
+@query(f"WITH {SEQUENCES} SELECT id, round(sum({_KL} - CASE WHEN {_MASK} AND abs(exp({_T}) - exp({_I})) <= 0.1 THEN {_ADV} * exp({_T} - {_I}) ELSE 0 END), 6) + 0 AS loss FROM places GROUP BY id")
 def l3_ipo_loss(spark, sf_dir):
-    return _tokens(spark, sf_dir).select("id", F.round(ls.ipo_loss(_toks()), 6).alias("loss"))
+    return _tokens(spark, sf_dir).select("id", tidy(ls.ipo_loss(_toks()), 6).alias("loss"))
 
 
-@query(f"WITH {SEQUENCES} SELECT id, round(sum({_KL} - CASE WHEN {_MASK} AND NOT ({_DROP}) THEN (-q / 50.0 - {_T}) * exp({_T} - {_I}) ELSE 0 END), 6) AS loss FROM places GROUP BY id")
+@query(f"WITH {SEQUENCES} SELECT id, round(sum({_KL} - CASE WHEN {_MASK} AND NOT ({_DROP}) THEN (-q / 50.0 - {_T}) * exp({_T} - {_I}) ELSE 0 END), 6) + 0 AS loss FROM places GROUP BY id")
 def l4_distillation_loss(spark, sf_dir):
     df = _tokens(spark, sf_dir).withColumn("teacher", F.transform("q", lambda q: -q / 50.0))
-    return df.select("id", F.round(ls.distillation_loss(ls.tokens("lp", "ip", "adv", "mask", "teacher")), 6).alias("loss"))
+    return df.select("id", tidy(ls.distillation_loss(ls.tokens("lp", "ip", "adv", "mask", "teacher")), 6).alias("loss"))
 
 
-@query(f"WITH {SEQUENCES} SELECT id, round(coalesce(sum(-{_T}) FILTER ({_MASK}), 0), 6) AS loss FROM places GROUP BY id")
+@query(f"WITH {SEQUENCES} SELECT id, round(coalesce(sum(-{_T}) FILTER ({_MASK}), 0), 6) + 0 AS loss FROM places GROUP BY id")
 def l5_sft_loss(spark, sf_dir):
-    return _tokens(spark, sf_dir).select("id", F.round(ls.sft_loss(_toks()), 6).alias("loss"))
+    return _tokens(spark, sf_dir).select("id", tidy(ls.sft_loss(_toks()), 6).alias("loss"))
 
 
 @query(f"""WITH {SEQUENCES} SELECT id, round(CASE WHEN id % 2 = 0 THEN sum({_KL} - CASE WHEN {_MASK} AND NOT ({_DROP}) THEN {_ADV} * exp({_T} - {_I}) ELSE 0 END)
-    ELSE coalesce(sum(-{_T}) FILTER ({_MASK}), 0) END / 8, 9) AS loss FROM places GROUP BY id""")
+    ELSE coalesce(sum(-{_T}) FILTER ({_MASK}), 0) END / 8, 9) + 0 AS loss FROM places GROUP BY id""")
 def l6_dispatched_loss(spark, sf_dir):
     mode = F.when(F.col("id") % 2 == 0, "rl").otherwise("sft")
-    return _tokens(spark, sf_dir).select("id", F.round(ls.loss(_toks(), mode, F.lit(8.0)), 9).alias("loss"))
+    return _tokens(spark, sf_dir).select("id", tidy(ls.loss(_toks(), mode, F.lit(8.0)), 9).alias("loss"))
 
 
-@query(f"""WITH {SEQUENCES} SELECT id, round(sum(exp({_T} - {_I}) - ({_T} - {_I}) - 1), 6) AS mismatch_kl, count(*) FILTER ({_MASK} AND {_ADV} > 0 AND exp({_T}) - exp({_I}) > 0.2) AS high,
+@query(f"""WITH {SEQUENCES} SELECT id, round(sum(exp({_T} - {_I}) - ({_T} - {_I}) - 1), 6) + 0 AS mismatch_kl, count(*) FILTER ({_MASK} AND {_ADV} > 0 AND exp({_T}) - exp({_I}) > 0.2) AS high,
     count(*) FILTER ({_MASK} AND {_ADV} < 0 AND exp({_T}) - exp({_I}) < -0.2) AS low, count(*) FILTER ({_MASK} AND ({_DROP})) AS masked FROM places GROUP BY id""")
 def l7_export_columns(spark, sf_dir):
     df = _tokens(spark, sf_dir).withColumn("e", ls.export_columns(_toks(), F.lit("rl")))
     count = lambda f: F.size(F.filter("e", lambda x: x[f])).cast("long")
     kl = F.aggregate("e", F.lit(0.0), lambda a, x: a + x["mismatch_kl"])
-    return df.select("id", F.round(kl, 6).alias("mismatch_kl"), count("is_masked_high").alias("high"), count("is_masked_low").alias("low"), count("is_masked").alias("masked"))
+    return df.select("id", tidy(kl, 6).alias("mismatch_kl"), count("is_masked_high").alias("high"), count("is_masked_low").alias("low"), count("is_masked").alias("masked"))
 
 
 @query(f"""WITH {SEQUENCES}, s AS (SELECT id, pos, coalesce(lead(q) OVER w, 0) AS l, coalesce(lag(q) OVER w, -1) AS r FROM places WINDOW w AS (PARTITION BY id ORDER BY pos))
@@ -217,7 +217,7 @@ def s8_message_functions(spark, sf_dir):
     return c.select("conv_id", "turn", sc.strip_content("text").alias("stripped"), sc.capitalise("role").alias("role_name"), F.sha2(sc.composite_key("role", "turn"), 256).alias("key"))
 
 
-@query(f"WITH {SEQUENCES} SELECT id, round(CASE WHEN count(*) % 4 = 0 THEN 0 ELSE 1.0 END, 3) AS padded FROM places GROUP BY id")
+@query(f"WITH {SEQUENCES} SELECT id, round(CASE WHEN count(*) % 4 = 0 THEN 0 ELSE 1.0 END, 3) + 0 AS padded FROM places GROUP BY id")
 def p7_needs_padding(spark, sf_dir):
     wide = ar.pad_to_multiple("ids", 4, F.lit(1).cast("long"))
     return _tokens(spark, sf_dir).select("id", (F.size(wide) != F.size("ids")).cast("double").alias("padded"))

@@ -8,7 +8,7 @@ from rollsift.operators import batches as bt
 from rollsift.operators import metrics as m
 from rollsift.operators import trajectories as tj
 from rollsift.plans.queries import query
-from rollsift.plans.views import ROLLOUTS, SEQUENCES, read, rollouts, sequences
+from rollsift.plans.views import ROLLOUTS, SEQUENCES, read, rollouts, sequences, tidy
 from rollsift.sources import readers as rd
 from rollsift.sources import writers as wr
 from rollsift.streaming.groups import finished_evaluations, finished_groups
@@ -47,13 +47,13 @@ def _samples(spark, sf_dir):
 
 
 @query(f"""WITH {SEQUENCES}, c AS (SELECT * FROM places WHERE pos <= 6) SELECT id AS sample_id, count(*)::INT AS n, sum(token)::BIGINT AS ids, count(*) FILTER (pos > 2 AND q % 3 <> 0) AS trained,
-    round(sum(CASE WHEN pos > 2 THEN -d / 10.0 ELSE 0 END), 6) AS logprobs, round(sum(CASE WHEN pos <= 2 THEN coalesce(first3, 1.0) ELSE 0.5 + t / 10.0 END), 6) AS temperatures
+    round(sum(CASE WHEN pos > 2 THEN -d / 10.0 ELSE 0 END), 6) + 0 AS logprobs, round(sum(CASE WHEN pos <= 2 THEN coalesce(first3, 1.0) ELSE 0.5 + t / 10.0 END), 6) + 0 AS temperatures
     FROM (SELECT *, max(CASE WHEN pos = 3 THEN 0.5 + t / 10.0 END) OVER (PARTITION BY id) AS first3 FROM c) GROUP BY id""")
 def p3_prepared(spark, sf_dir):
     total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
     return bt.prepared(_samples(spark, sf_dir), 6).select(
         "sample_id", F.size("input_ids").alias("n"), F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"), F.size(F.filter("loss_mask", lambda x: x)).cast("long").alias("trained"),
-        F.round(total("inference_logprobs"), 6).alias("logprobs"), F.round(total("temperatures"), 6).alias("temperatures"),
+        tidy(total("inference_logprobs"), 6).alias("logprobs"), tidy(total("temperatures"), 6).alias("temperatures"),
     )
 
 

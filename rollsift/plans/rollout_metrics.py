@@ -9,7 +9,7 @@ from rollsift.operators import advantage as adv
 from rollsift.operators import filters as fl
 from rollsift.operators import metrics as m
 from rollsift.plans.queries import query
-from rollsift.plans.views import ROLLOUTS, SCOPED, rollouts
+from rollsift.plans.views import ROLLOUTS, SCOPED, rollouts, tidy
 
 
 @query(f"WITH {ROLLOUTS} SELECT rollout_id, cents - avg(cents) OVER (PARTITION BY group_id) AS advantage FROM rollouts")
@@ -18,17 +18,17 @@ def a1_group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ROLLOUTS}, shaped AS (SELECT *, reward - 0.5 * avg(reward) OVER (PARTITION BY group_id) * len / 1000.0 AS s FROM rollouts)
-    SELECT rollout_id, round(s - avg(s) OVER (PARTITION BY group_id), 9) AS advantage FROM shaped""")
+    SELECT rollout_id, round(s - avg(s) OVER (PARTITION BY group_id), 9) + 0 AS advantage FROM shaped""")
 def a2_length_penalty(spark, sf_dir):
     out = adv.group_advantage(rollouts(spark, sf_dir), length="len", length_penalty=0.5, max_seq_len=1000)
-    return out.select("rollout_id", F.round("advantage", 9).alias("advantage"))
+    return out.select("rollout_id", tidy("advantage", 9).alias("advantage"))
 
 
 @query(f"""WITH {ROLLOUTS}, shaped AS (SELECT *, reward - 0.5 * avg(reward) OVER (PARTITION BY group_id) * len / 1000.0 * reward AS s FROM rollouts)
-    SELECT rollout_id, round(s - avg(s) OVER (PARTITION BY group_id), 9) AS advantage FROM shaped""")
+    SELECT rollout_id, round(s - avg(s) OVER (PARTITION BY group_id), 9) + 0 AS advantage FROM shaped""")
 def a2_gated_length_penalty(spark, sf_dir):
     out = adv.group_advantage(rollouts(spark, sf_dir), length="len", length_penalty=0.5, gate_by_reward=True, max_seq_len=1000)
-    return out.select("rollout_id", F.round("advantage", 9).alias("advantage"))
+    return out.select("rollout_id", tidy("advantage", 9).alias("advantage"))
 
 
 @query(f"""WITH {ROLLOUTS} SELECT rollout_id, reward - sum(len * reward) OVER (PARTITION BY group_id) / sum(len) OVER (PARTITION BY group_id) AS advantage FROM rollouts""")
@@ -42,19 +42,19 @@ def a4_reward_as_advantage(spark, sf_dir):
 
 
 @query(f"""WITH {ROLLOUTS}, {SCOPED}, g AS (SELECT scope, group_id, avg(len) AS len, avg(num_turns) AS num_turns, avg(reward) AS reward FROM scoped GROUP BY ALL)
-    SELECT scope, {', '.join(f'round({f}({c}), 9) AS {c}_{n}' for c in ('len', 'num_turns', 'reward') for n, f in (('mean', 'avg'), ('max', 'max'), ('min', 'min')))} FROM g GROUP BY scope""")
+    SELECT scope, {', '.join(f'round({f}({c}), 9) + 0 AS {c}_{n}' for c in ('len', 'num_turns', 'reward') for n, f in (('mean', 'avg'), ('max', 'max'), ('min', 'min')))} FROM g GROUP BY scope""")
 def a7_two_level_means(spark, sf_dir):
     out = m.two_level_means(rollouts(spark, sf_dir), ["len", "num_turns", "reward"])
-    return out.select("scope", *[F.round(c, 9).alias(c) for c in out.columns if c != "scope"])
+    return out.select("scope", *[tidy(c, 9).alias(c) for c in out.columns if c != "scope"])
 
 
 @query(f"""WITH {ROLLOUTS}, g AS (SELECT env_name, group_id, sum(reward) AS s FROM rollouts GROUP BY ALL),
     f AS (SELECT env_name, (s = 0)::INT::DOUBLE AS none, (s = 4)::INT::DOUBLE AS every FROM g), x AS (SELECT 'all' AS scope, none, every FROM f UNION ALL SELECT env_name, none, every FROM f)
-    SELECT scope, round(avg(none), 9) AS solve_none, round(avg(every), 9) AS solve_all, round(1.0 - avg(none) - avg(every), 9) AS effective FROM x GROUP BY scope""")
+    SELECT scope, round(avg(none), 9) + 0 AS solve_none, round(avg(every), 9) + 0 AS solve_all, round(1.0 - avg(none) - avg(every), 9) + 0 AS effective FROM x GROUP BY scope""")
 def a8_solve_rates(spark, sf_dir):
     sizes = spark.createDataFrame([(f"env{i}", 4) for i in range(3)], "env_name string, group_size int")
     out = m.solve_rates(rollouts(spark, sf_dir), sizes)
-    return out.select("scope", *[F.round(c, 9).alias(c) for c in ("solve_none", "solve_all", "effective")])
+    return out.select("scope", *[tidy(c, 9).alias(c) for c in ("solve_none", "solve_all", "effective")])
 
 
 @query(f"""WITH {ROLLOUTS}, c AS (SELECT env_name, stop_condition, count(*) AS n FROM rollouts WHERE stop_condition IS NOT NULL GROUP BY ALL)
@@ -82,11 +82,11 @@ def a11_filter_rates(spark, sf_dir):
 
 
 @query(f"""WITH {ROLLOUTS}, long AS (SELECT env_name, group_id, 'cost' AS key, cents::DOUBLE AS value FROM rollouts WHERE cents % 3 <> 0 UNION ALL SELECT env_name, group_id, 'size', len::DOUBLE FROM rollouts),
-    g AS (SELECT env_name, key, group_id, avg(value) AS v FROM long GROUP BY ALL) SELECT env_name, key, round(avg(v), 6) AS value FROM g GROUP BY ALL""")
+    g AS (SELECT env_name, key, group_id, avg(value) AS v FROM long GROUP BY ALL) SELECT env_name, key, round(avg(v), 6) + 0 AS value FROM g GROUP BY ALL""")
 def a12_environment_metrics(spark, sf_dir):
     missing = F.when(F.col("cents") % 3 != 0, F.col("cents").cast("double")).when(F.col("cents") % 2 == 0, F.lit(float("nan")))
     df = rollouts(spark, sf_dir).withColumn("metrics", F.create_map(F.lit("cost"), missing, F.lit("size"), F.col("len").cast("double")))
-    return m.environment_metrics(df).withColumn("value", F.round("value", 6))
+    return m.environment_metrics(df).withColumn("value", tidy("value", 6))
 
 
 @query(f"""WITH {ROLLOUTS}, {SCOPED} SELECT scope, count(*) AS samples, count(DISTINCT group_id) AS groups, count(DISTINCT (env_name, example_id)) AS problems, sum(len)::BIGINT AS len FROM scoped GROUP BY scope""")
@@ -111,9 +111,9 @@ def a16_eval_metrics(spark, sf_dir):
 @query(f"""WITH {ROLLOUTS}, per AS (SELECT env_name, eval_step, example_id, count(*) AS n, count(*) FILTER (reward = 1) AS c FROM rollouts GROUP BY ALL),
     ks AS (SELECT *, unnest([x FOR x IN [1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024] IF x <= n]) AS k FROM per)
     SELECT env_name, eval_step, k::BIGINT AS k, round(avg(CASE WHEN c = 0 THEN 0.0 WHEN n - c < k THEN 1.0
-        ELSE 1.0 - list_product([1.0 - k / i FOR i IN range(n - c + 1, n + 1)]) END), 9) AS pass_at_k FROM ks GROUP BY ALL""")
+        ELSE 1.0 - list_product([1.0 - k / i FOR i IN range(n - c + 1, n + 1)]) END), 9) + 0 AS pass_at_k FROM ks GROUP BY ALL""")
 def a18_pass_at_k(spark, sf_dir):
-    return m.pass_at_k_by_example(rollouts(spark, sf_dir), ["env_name", "eval_step"]).withColumn("pass_at_k", F.round("pass_at_k", 9))
+    return m.pass_at_k_by_example(rollouts(spark, sf_dir), ["env_name", "eval_step"]).withColumn("pass_at_k", tidy("pass_at_k", 9))
 
 
 @query(f"WITH {ROLLOUTS} SELECT env_name, eval_step, min(policy_version) AS policy_version, count(DISTINCT policy_version) > 1 AS mixed FROM rollouts GROUP BY ALL")
@@ -128,16 +128,16 @@ def a20_step_summary(spark, sf_dir):
     return m.step_summary(df)
 
 
-@query(f"""WITH {ROLLOUTS} SELECT env_name, avg(len) AS mean, quantile_disc(len, 0.5) AS median, round(stddev_samp(len), 6) AS std, min(len) AS min, max(len) AS max FROM rollouts GROUP BY env_name""")
+@query(f"""WITH {ROLLOUTS} SELECT env_name, avg(len) AS mean, quantile_disc(len, 0.5) AS median, round(stddev_samp(len), 6) + 0 AS std, min(len) AS min, max(len) AS max FROM rollouts GROUP BY env_name""")
 def a22_distribution(spark, sf_dir):
-    return m.distribution(rollouts(spark, sf_dir), "len", ["env_name"]).withColumn("std", F.round("std", 6)).withColumn("median", F.col("median").cast("long"))
+    return m.distribution(rollouts(spark, sf_dir), "len", ["env_name"]).withColumn("std", tidy("std", 6)).withColumn("median", F.col("median").cast("long"))
 
 
-@query(f"""WITH {ROLLOUTS} SELECT step, round(sum(CASE WHEN cents % 17 = 0 THEN 0 ELSE cents::DOUBLE * len END) / sum(CASE WHEN cents % 17 = 0 THEN 0 ELSE len END), 9) AS loss,
+@query(f"""WITH {ROLLOUTS} SELECT step, round(sum(CASE WHEN cents % 17 = 0 THEN 0 ELSE cents::DOUBLE * len END) / sum(CASE WHEN cents % 17 = 0 THEN 0 ELSE len END), 9) + 0 AS loss,
     count(*) FILTER (cents % 17 = 0) AS nan_batches FROM rollouts GROUP BY step""")
 def a27_validation_loss(spark, sf_dir):
     df = rollouts(spark, sf_dir).withColumn("loss", F.when(F.col("cents") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("cents").cast("double")))
-    return m.validation_loss(df, ["step"], tokens="len").withColumn("loss", F.round("loss", 9))
+    return m.validation_loss(df, ["step"], tokens="len").withColumn("loss", tidy("loss", 9))
 
 
 @query(f"""WITH {ROLLOUTS}, k AS (SELECT coalesce(nullif(CASE WHEN cents % 3 = 0 THEN '' ELSE kind END, ''), 'train') AS key, len FROM rollouts)
@@ -167,9 +167,9 @@ def a31_mean_normalised(spark, sf_dir):
 
 
 @query(f"""WITH {ROLLOUTS}, f AS (SELECT *, min(step) OVER (PARTITION BY env_name) AS first FROM rollouts)
-    SELECT env_name, avg(len) AS len_mean, round(stddev_samp(len), 6) AS len_std, min(len) AS len_min, max(len) AS len_max FROM f WHERE step > first GROUP BY env_name""")
+    SELECT env_name, avg(len) AS len_mean, round(stddev_samp(len), 6) + 0 AS len_std, min(len) AS len_min, max(len) AS len_max FROM f WHERE step > first GROUP BY env_name""")
 def a32_benchmark_description(spark, sf_dir):
-    return m.benchmark_description(rollouts(spark, sf_dir), ["len"], ["env_name"]).withColumn("len_std", F.round("len_std", 6))
+    return m.benchmark_description(rollouts(spark, sf_dir), ["len"], ["env_name"]).withColumn("len_std", tidy("len_std", 6))
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderpriority, max(round(o_totalprice * 100)::BIGINT) AS price FROM orders GROUP BY ALL),
@@ -179,7 +179,7 @@ def a32_benchmark_description(spark, sf_dir):
         CASE WHEN abs((price - baseline_price) / baseline_price) >= 0.01 THEN (price - baseline_price) / baseline_price END AS change,
         coalesce(baseline_price IS NOT NULL AND baseline_price <> 0 AND price < baseline_price * (1 - 0.15::DOUBLE), false) AS regressed FROM j""")
 def a33_regression_check(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("price", F.round(F.col("o_totalprice") * 100).cast("long"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("price", tidy(F.col("o_totalprice") * 100).cast("long"))
     key = ["o_custkey", "o_orderpriority"]
     results = o.groupBy(*key).agg(F.max("price").alias("price"))
     joined = m.with_baseline(results, o.where("o_orderkey % 2 = 0"), key, ["price"], "o_orderkey")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from rollsift.operators import timeseries as ts
 from rollsift.plans.queries import query
-from rollsift.plans.views import ROLLOUTS, SCRAPES, deltas_sql, rollouts, scrapes
+from rollsift.plans.views import ROLLOUTS, SCRAPES, deltas_sql, rollouts, scrapes, tidy
 
 
-@query(f"WITH {deltas_sql('view')} SELECT ts, round(sum(CASE WHEN d_ts > 0 AND d_view >= 0 THEN d_view / d_ts END), 6) AS rate FROM deltas GROUP BY ts")
+@query(f"WITH {deltas_sql('view')} SELECT ts, round(sum(CASE WHEN d_ts > 0 AND d_view >= 0 THEN d_view / d_ts END), 6) + 0 AS rate FROM deltas GROUP BY ts")
 def w1_counter_rate(spark, sf_dir):
-    return ts.counter_rate(scrapes(spark, sf_dir), "view").withColumn("rate", F.round("rate", 6))
+    return ts.counter_rate(scrapes(spark, sf_dir), "view").withColumn("rate", tidy("rate", 6))
 
 
 @query(f"""WITH {deltas_sql('click', 'view')}, s AS (SELECT ts, sum(d_click) FILTER (d_click >= 0 AND d_view >= 0) AS a, sum(d_view) FILTER (d_click >= 0 AND d_view >= 0) AS b FROM deltas GROUP BY ts)
@@ -36,11 +36,11 @@ def w4_scope_metrics(spark, sf_dir):
 
 @query(f"""WITH {SCRAPES}, g AS (SELECT ts, metric, sum(value)::DOUBLE AS value FROM scrapes GROUP BY ALL), a AS (SELECT ts, metric, CASE WHEN ts % 30 <> 0 THEN value END AS value FROM g),
     n AS (SELECT *, count(value) OVER (PARTITION BY metric ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM a)
-    SELECT ts, metric, round(avg(value) OVER (PARTITION BY metric ORDER BY n RANGE BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM n""")
+    SELECT ts, metric, round(avg(value) OVER (PARTITION BY metric ORDER BY n RANGE BETWEEN 19 PRECEDING AND CURRENT ROW), 6) + 0 AS smoothed FROM n""")
 def w5_smoothed(spark, sf_dir):
     polls = scrapes(spark, sf_dir).groupBy("ts", "metric").agg(F.sum("value").cast("double").alias("value"))
     gaps = polls.withColumn("value", F.when(F.col("ts") % 30 != 0, F.col("value")))
-    return ts.smoothed(gaps).select("ts", "metric", F.round("smoothed", 6).alias("smoothed"))
+    return ts.smoothed(gaps).select("ts", "metric", tidy("smoothed", 6).alias("smoothed"))
 
 
 @query(f"""WITH {ROLLOUTS}, s AS (SELECT env_name, step, sum(len)::BIGINT AS tokens FROM rollouts GROUP BY ALL),
@@ -65,10 +65,10 @@ def w10_next_step(spark, sf_dir):
 
 
 @query(f"""WITH {ROLLOUTS}, s AS (SELECT DISTINCT step FROM rollouts) SELECT step, 1.0::DOUBLE AS constant,
-    round(CASE WHEN step < 10 THEN 0.1 + 0.9 * step / 10 WHEN step < 60 THEN 1.0 ELSE greatest(1.0 - 0.9 * (step - 60) / 39, 0.1) END, 9) AS linear,
-    round(CASE WHEN step < 10 THEN 1e-8 + (1 - 1e-8) * step / 10 ELSE 0.5 * (1 + cos(pi() * least((step - 10) / 90, 1.0))) END, 9) AS cosine FROM s""")
+    round(CASE WHEN step < 10 THEN 0.1 + 0.9 * step / 10 WHEN step < 60 THEN 1.0 ELSE greatest(1.0 - 0.9 * (step - 60) / 39, 0.1) END, 9) + 0 AS linear,
+    round(CASE WHEN step < 10 THEN 1e-8 + (1 - 1e-8) * step / 10 ELSE 0.5 * (1 + cos(pi() * least((step - 10) / 90, 1.0))) END, 9) + 0 AS cosine FROM s""")
 def w11_schedules(spark, sf_dir):
     step = F.col("step")
     return rollouts(spark, sf_dir).select("step").distinct().select(
-        "step", ts.constant_schedule(step).alias("constant"), F.round(ts.linear_schedule(step, 10, 40, 100, 0.1), 9).alias("linear"), F.round(ts.cosine_schedule(step, 10, 100), 9).alias("cosine")
+        "step", ts.constant_schedule(step).alias("constant"), tidy(ts.linear_schedule(step, 10, 40, 100, 0.1), 9).alias("linear"), tidy(ts.cosine_schedule(step, 10, 100), 9).alias("cosine")
     )
