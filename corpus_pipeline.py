@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollsift.llm.common import materialise, table
+from rollsift.llm.common import beside, materialise, table
 from rollsift.llm.jaccard import near_duplicates
 from rollsift.llm.packing import pack
 from rollsift.llm.quality import accepted as good
@@ -37,8 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the smallest id stays."""
     found = near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    gone, _ = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = beside(docs, "_gone")
+    gone, _ = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "copies")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

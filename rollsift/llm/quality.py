@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollsift.llm.common import chunks, discard, held_out, materialise, whole_text
+from rollsift.llm.common import beside, chunks, discard, held_out, materialise, whole_text
 from rollsift.llm.words import mix, words_of
 
 FEATURES = [
@@ -217,11 +217,11 @@ def accepted(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     stats, path = materialise(measured(df, doc_id, text), "quality-statistics")
     model = fit(stats, labels)
     discard(df.sparkSession, path)
-    names = df.columns
+    names, whole = df.columns, beside(df, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "_text"):
-            s = model.score(statistics(b.column("_text")))
+        for b in chunks(batches, whole):
+            s = model.score(statistics(b.column(whole)))
             yield b.filter(pa.array(s >= ACCEPT)).select(names)
 
-    return df.withColumn("_text", whole_text(text)).mapInArrow(run, df.schema)
+    return df.withColumn(whole, whole_text(text)).mapInArrow(run, df.schema)

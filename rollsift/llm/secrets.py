@@ -151,8 +151,12 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """The same rows and columns; spans of the text are replaced by ``mark``, overlapping ones by one."""
+    """The same rows and columns; spans of the text are replaced by ``mark``, overlapping ones by one.
+
+    The columns travel in a struct, so that none clashes with those of the scan."""
     names = df.columns
+    df = df.select(F.struct(*names).alias("_row"), F.col(text).alias("_kept"))
+    text, out = "_kept", text
     scanned = scan(df, text, "_base", "_spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
@@ -162,4 +166,5 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataF
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["done"]).otherwise(piece).alias("done"))
 
     clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).select(*names)
+    redacted = F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))
+    return scanned.select(*[redacted.alias(n) if n == out else F.col("_row").getField(n).alias(n) for n in names])

@@ -24,3 +24,13 @@ def test_run_is_registered(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
+
+
+def test_clashing_columns_survive(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    for name in ("_text", "_lang", "_hex", "_spans", "_base", "_gone", "node", "n", "_row"):
+        docs = docs.withColumn(name, F.lit(name))
+    for stage in (corpus_pipeline.toxicity, corpus_pipeline.quality, corpus_pipeline.secrets):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all(r["_text"] == "_text" and r["_hex"] == "_hex" for r in out.collect())
