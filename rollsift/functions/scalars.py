@@ -52,22 +52,22 @@ def composite_key(*columns) -> Column:
 
 
 def format_number(x) -> Column:
-    """1234 as 1.23K, and so with M and B; under 1000 with two digits."""
+    """1234 as 1.23K, and so with M and B; under 1000 with two digits; null stays null."""
     v = _c(x).cast("double")
     a = F.abs(v)
     scaled = lambda by, unit: F.concat(F.format_string("%.2f", v / by), F.lit(unit))
-    return F.when(a < 1e3, F.format_string("%.2f", v)).when(a < 1e6, scaled(1e3, "K")).when(a < 1e9, scaled(1e6, "M")).otherwise(scaled(1e9, "B"))
+    return F.when(v.isNull(), F.lit(None)).when(a < 1e3, F.format_string("%.2f", v)).when(a < 1e6, scaled(1e3, "K")).when(a < 1e9, scaled(1e6, "M")).otherwise(scaled(1e9, "B"))
 
 
 def format_seconds(x) -> Column:
-    """The two largest units of a duration; milliseconds under a second."""
+    """The two largest units of a duration; milliseconds under a second; null stays null."""
     s = _c(x).cast("double")
     whole = F.floor(s).cast("long")
     part = lambda div, mod, unit: F.concat((F.floor(whole / div) % mod).cast("string"), F.lit(unit))
     days = F.concat(F.floor(whole / 86400).cast("string"), F.lit("d "), part(3600, 24, "h"))
     hours = F.concat(F.floor(whole / 3600).cast("string"), F.lit("h "), part(60, 60, "m"))
     minutes = F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), part(1, 60, "s"))
-    return F.when(s >= 86400, days).when(s >= 3600, hours).when(s >= 60, minutes).when(s >= 1, F.format_string("%.2fs", s)).otherwise(F.format_string("%.0fms", s * 1000))
+    return F.when(s.isNull(), F.lit(None)).when(s >= 86400, days).when(s >= 3600, hours).when(s >= 60, minutes).when(s >= 1, F.format_string("%.2fs", s)).otherwise(F.format_string("%.0fms", s * 1000))
 
 
 def json_text(column, kind: T.DataType | None = None) -> Column:
