@@ -1,8 +1,8 @@
 """Encoding with the tokenizers library, piece by piece through a bounded cache.
 
 A text is cut only where the vocabulary's own splitting starts a new token
-anyway: before a space that a non-space follows, and between a letter and ASCII
-punctuation. The ids therefore equal those of encoding the whole text at once,
+anyway: around added tokens such as <|endoftext|>, which are one id each, before
+a space that a non-space follows, and between a letter and ASCII punctuation. The ids therefore equal those of encoding the whole text at once,
 and most pieces cost an array look-up: pieces are found and hashed (64 bits) by
 numpy, the cache is a pair of hash tables, and only pieces it lacks reach the
 library, each once. The cache is bounded and lives in the Python worker, so
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -65,23 +66,31 @@ class PieceEncoder:
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.can_cut = self._can_cut(spec)
+        added = {t["content"].encode(): t["id"] for t in spec.get("added_tokens") or [] if t["content"]}
+        #: Ids of the added tokens, which begin the pool, and the place of each there.
+        self.added = np.array([*added.values()], self.dtype)
+        self.added_at = {content: i for i, content in enumerate(added)}
+        # of those that match at one place the library takes the longest
+        self.added_pattern = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         #: Space is dropped and case folded: a piece of ASCII needs neither its space nor its capitals.
         self.folds = self.can_cut and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.ascii = self.tokenizer
         if self.folds:  # of the normalisers only lower case changes ASCII
             self.ascii = Tokenizer.from_file(path)
-            self.ascii.encode_special_tokens = True
+            self.ascii.encode_special_tokens = True  # added tokens have their ids already: what folds to one isn't one
             self.ascii.normalizer = normalizers.Lowercase()
         self._forget()
 
     @staticmethod
     def _can_cut(spec: dict) -> bool:
         """The vocabulary splits as the cuts assume: the byte-level pattern, or one that drops white space."""
+        plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+        if any(t[k] is not v for t in spec.get("added_tokens") or [] for k, v in plain.items()):
+            return False
         pre = spec.get("pre_tokenizer") or {"type": None}
         if pre["type"] == "ByteLevel":
             return pre["use_regex"] and not pre["add_prefix_space"]
@@ -92,7 +101,8 @@ class PieceEncoder:
         self.keys = np.zeros((2, SLOTS), np.uint64)
         self.at = np.zeros((2, SLOTS), np.int32)
         self.size = np.zeros((2, SLOTS), np.int32)
-        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), len(self.added)
+        self.pool[: self.used] = self.added
 
     def _ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one piece's after the other's, and how many each has."""
@@ -131,7 +141,7 @@ class PieceEncoder:
         end_id: appended to each text."""
         data, bounds = text_bytes(column)
         n = len(bounds) - 1
-        start = self._starts(data, bounds)
+        start, added, added_at = self._starts(data, bounds)
         end = np.append(start[1:], len(data))
         doc = np.searchsorted(bounds, start, side="right") - 1
         if self.folds and len(start):
@@ -145,6 +155,7 @@ class PieceEncoder:
         first, second = self._slots(keys)
         hit = self.keys[0][first] == keys
         at, size = self.at[0][first], self.size[0][first]
+        hit[added], at[added], size[added] = True, added_at, 1
         rest = np.flatnonzero(~hit)
         slot = second[rest]
         again = self.keys[1][slot] == keys[rest]
@@ -167,8 +178,29 @@ class PieceEncoder:
         out[np.arange(total) + np.repeat(np.arange(n), per_doc)] = self.pool[source]
         return out, np.append(0, ends)
 
-    def _starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return pieces(data, bounds) if self.can_cut else bounds[:-1][bounds[:-1] < bounds[1:]]
+    def _starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces start, which pieces are added tokens, and the places of their ids in the pool."""
+        none = np.zeros(0, np.int64)
+        if not self.can_cut:
+            return bounds[:-1][bounds[:-1] < bounds[1:]], none, none
+        found = self._added_in(data, bounds)
+        if not found:
+            return pieces(data, bounds), none, none
+        left, right, place = np.array(found, np.int64).T
+        # what lies between added tokens is split like a text of its own
+        start = pieces(data, np.sort(np.concatenate([bounds, left, right])))
+        token = np.searchsorted(left, start, side="right") - 1
+        start = start[(token < 0) | (start == left[token]) | (start >= right[token])]
+        return start, np.searchsorted(start, left), place
+
+    def _added_in(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """Start, end and place in the pool of each added token of the texts."""
+        if self.added_pattern is None or not self.added_pattern.search(data):
+            return []
+        found, raw = [], data.tobytes()
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # no match spans two texts
+            found += [(*m.span(), self.added_at[m.group()]) for m in self.added_pattern.finditer(raw, s, e)]
+        return found
 
     def _put(self, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
         """Takes free slots of the first table, then of the second; what finds none isn't kept."""
