@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,10 +15,16 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set here only where the session has none (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which every machine sees.
+
+    On a cluster a session without that setting is refused, as its executors would write where nobody else reads.
+    A local master is one machine (tests, a laptop): it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rollsift-")
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        root = f"file://{spark._jvm.System.getProperty('java.io.tmpdir')}/rollsift-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -36,7 +41,8 @@ def materialise(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataF
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there,
     and a lost executor costs a re-read. The second value is the path, for ``discard``.
 
-    The write's shuffle files go when it ends; nothing else reads them."""
+    The write's shuffle files go when it ends; nothing else reads them. The setting for that holds for the session
+    while the write lasts: queries that other threads start then lose their shuffle files as they end, never sooner."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     before = spark.conf.get(_CLEAN_SHUFFLE, "false")
@@ -67,6 +73,24 @@ def beside(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key with more than one of this many parts of a table's rows is hot; there are fewer hot keys than this.
+HOT_PARTS = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` by ``key``, which is unique in ``right``; no key's rows go to one task.
+
+    Rows of a hot key of ``left`` are dealt by the hash of ``spread_by`` over parts of about a ``HOT_PARTS``-th of
+    the table; the one row of ``right`` is repeated for each part. The list of hot keys is broadcast: it has fewer
+    than ``HOT_PARTS`` rows whatever the table."""
+    counted = left.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
+    hot = counted.crossJoin(F.broadcast(left.agg(F.count("*").alias("_all")))).where(F.col("_n") * HOT_PARTS > F.col("_all")).where("_n > 100")
+    hot = F.broadcast(hot.select("_hot", F.ceil(F.col("_n") * HOT_PARTS / F.col("_all")).cast("int").alias("_parts")))
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts")), F.lit(0)).cast("int")).drop("_hot", "_parts")
+    copies = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_hot", "_parts")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def whole_text(column: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
