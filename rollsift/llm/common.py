@@ -73,21 +73,24 @@ def beside(df: DataFrame, name: str) -> str:
     return name
 
 
-#: A key with more than one of this many parts of a table's rows is hot; there are fewer hot keys than this.
-HOT_PARTS = 10_000
+#: A key with more than one of this many parts of a table's rows (and over HOT_ROWS) is hot; fewer keys than this are.
+HOT_PARTS, HOT_ROWS = 10_000, 100
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", sizes: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """``left`` joined with ``right`` by ``key``, which is unique in ``right``; no key's rows go to one task.
 
     Rows of a hot key of ``left`` are dealt by the hash of ``spread_by`` over parts of about a ``HOT_PARTS``-th of
     the table; the one row of ``right`` is repeated for each part. The list of hot keys is broadcast: it has fewer
-    than ``HOT_PARTS`` rows whatever the table."""
-    counted = left.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
-    hot = counted.crossJoin(F.broadcast(left.agg(F.count("*").alias("_all")))).where(F.col("_n") * HOT_PARTS > F.col("_all")).where("_n > 100")
-    hot = F.broadcast(hot.select("_hot", F.ceil(F.col("_n") * HOT_PARTS / F.col("_all")).cast("int").alias("_parts")))
-    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts")), F.lit(0)).cast("int")).drop("_hot", "_parts")
-    copies = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_hot", "_parts")
+    than ``HOT_PARTS`` rows whatever the table. ``sizes`` (key, n) and ``rows``: counts of ``left`` that are known."""
+    part = max((left.count() if rows is None else rows) / HOT_PARTS, HOT_ROWS)
+    counted = left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
+    hot = counted.select(F.col(key).alias("_hot"), F.col("n").alias("_n")).where(F.col("_n") > part)
+    hot = F.broadcast(hot.select("_hot", F.ceil(F.col("_n") / part).cast("int").alias("_parts")))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts").cast("long")), F.lit(0)).cast("int")
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    copies = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", every).drop("_hot", "_parts")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 

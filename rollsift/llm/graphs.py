@@ -1,7 +1,8 @@
 """Connected components by contraction: nodes hook to their smallest neighbour, chains shorten by
 pointer jumping, and edges move to the components until none is left between two of them.
 
-All state is tables in the shared folder; nothing but counts reaches the driver.
+All state is tables in the shared folder; nothing but counts reaches the driver. Nodes of very many edges, and
+components of very many nodes, are dealt over many tasks in every join.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollsift.llm.common import discard, materialise
+from rollsift.llm.common import discard, materialise, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,25 +24,26 @@ def components(edges: DataFrame) -> DataFrame:
         parent, parent_path = materialise(hooked, "parents")
         while True:
             # a root points to itself, so that every parent is found
-            over = parent.select(F.col("id").alias("_up"), F.col("up").alias("_over"))
-            jumped, jumped_path = materialise(parent.join(over, F.col("up") == F.col("_up")).select("id", F.col("_over").alias("up"), (F.col("_over") != F.col("up")).alias("moved")), "parents")
+            over = parent.select(F.col("id").alias("up"), F.col("up").alias("_over"))
+            jumped, jumped_path = materialise(spread_join(parent, over, "up", "id").select("id", F.col("_over").alias("up"), (F.col("_over") != F.col("up")).alias("moved")), "parents")
             discard(spark, parent_path)
             still = not jumped.where("moved").isEmpty()
             parent, parent_path = jumped.select("id", "up"), jumped_path
             if not still:
                 break
-        to = parent.select(F.col("id").alias("_from"), F.col("up").alias("_to"))
+        to = lambda key: parent.select(F.col("id").alias(key), F.col("up").alias("_to"))
         if labels is None:
             composed, composed_path = materialise(parent.select("id", F.col("up").alias("component")), "labels")
         else:
-            moved = labels.join(to, F.col("component") == F.col("_from"), "left")
+            moved = spread_join(labels, to("component"), "component", "id", "left")
             composed, composed_path = materialise(moved.select("id", F.coalesce("_to", "component").alias("component")), "labels")
             discard(spark, labels_path)
         labels, labels_path = composed, composed_path
-        first = left.join(to, F.col("a") == F.col("_from")).select(F.col("_to").alias("a"), "b")
-        second = first.join(to, F.col("b") == F.col("_from")).select("a", F.col("_to").alias("b"))
+        first = spread_join(left, to("a"), "a", "b").select(F.col("_to").alias("a"), "b").distinct()
+        first, first_path = materialise(first, "edges")
+        second = spread_join(first, to("b"), "b", "a").select("a", F.col("_to").alias("b"))
         fewer, fewer_path = materialise(second.where("a <> b").distinct(), "edges")
-        discard(spark, path, parent_path)
+        discard(spark, path, first_path, parent_path)
         left, path = fewer, fewer_path
     discard(spark, path)
     if labels is None:

@@ -385,6 +385,38 @@ def test_near_duplicates_of_awkward_rows(spark, awkward):
     assert jaccard.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = ("the one text that all of these share %d" % i for i in range(3))
+    rows = [(5, a), (5, b), (2, a), (3, b), (9, c), (9, None), (4, c), (9, c), (11, None), (11, "")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())
+    size = len(a.split()) - 3
+    assert got == sorted([(5, size, 2), (5, size, 2), (2, size, 2), (3, size, 2), (9, size, 4), (9, 0, 4), (4, size, 4), (9, size, 4), (11, 0, 11), (11, 0, 11)])
+
+
+def test_hot_groups_of_copies(spark, monkeypatch):
+    """One text in a third of the rows, one family of near copies, one very common passage; joins split their keys."""
+    from rollsift.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(jaccard, "COLUMN_ROWS", 8)
+    monkeypatch.setattr(jaccard, "TILE_ELEMENTS", 600)
+    rng = random.Random(12)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    base, passage = [word() for _ in range(60)], [word() for _ in range(30)]
+    texts = [" ".join(base)] * 150
+    for _ in range(120):
+        near = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            near[rng.randrange(60)] = word()
+        texts.append(" ".join(near))
+    for _ in range(130):
+        texts.append(" ".join([*passage, *[word() for _ in range(rng.randrange(4, 12))]]))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == brute_components(rows, 4, 80)
+
+
 def test_overlap_matrix():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(130)]
