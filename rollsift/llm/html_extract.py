@@ -10,9 +10,14 @@ one half. The weights maximise the likelihood of labelled pages; the gradient
 takes node and edge marginals from the same messages.
 
 Text is decoded from character references; block elements and line breaks
-separate, white space becomes one space. Edge cases: null or empty html gives
-the empty string; markup that never ends, unknown tags and misnested elements
-are read as browsers do in the main; depth is not limited.
+separate, white space becomes one space. Scripts, styles and the like go, and
+elements that are not shown (``hidden``, ``display:none``), whatever the model
+says. Edge cases: null or empty html gives the empty string; markup that never
+ends, unknown tags, end tags without a start, a head without tags of its own and
+misnested elements are read as browsers do in the main; depth and length are not
+limited, and time is in proportion to the page; a null page_id or url stays
+null; repeated rows are read each on its own; an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollsift.llm.common import chunks
-from rollsift.llm.html_pages import labelled_pages
+from rollsift.llm.html_pages import LEADS, labelled_pages
 
 # Element names by their behaviour.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style head title noscript template svg math iframe object canvas audio video map applet noframes".split())
+DROPPED = frozenset("script style head title noscript template svg iframe canvas audio video noframes".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+FOREIGN = frozenset("svg math".split())
 RAW = frozenset("script style title textarea noscript iframe noframes xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -52,6 +59,8 @@ TAGS = sorted(
     "h4 h5 h6 header footer nav aside form label input button select option textarea figure figcaption ins dialog small u mark fieldset time".split()
 )
 
+LANDMARKS = frozenset(("article", "main"))
+
 NAMES = 1024
 TRAINING_PAGES = 2500
 STEPS, RATE, DECAY = 250, 0.15, 3e-4
@@ -59,15 +68,18 @@ STEPS, RATE, DECAY = 250, 0.15, 3e-4
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden|data-y)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKENS = re.compile(r"[a-z]+")
+_LEAD = re.compile(r"\s*([^\W\d_]+|©)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "level", "names", "text", "linked", "marks", "label")
+    __slots__ = ("tag", "parent", "level", "names", "text", "linked", "marks", "lead", "gone", "label")
 
     def __init__(self, tag: str, parent: int, level: int):
         self.tag, self.parent, self.level = tag, parent, level
         self.names: tuple[str, ...] = ()
         self.text = self.linked = self.marks = 0
+        self.lead = ""
+        self.gone = tag in DROPPED
         self.label: int | None = None
 
 
@@ -77,17 +89,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     runs: list[tuple[int, str]] = []
     stack, dropped, at, n = [0], 0, 0, len(page)
     raw: str | None = None
+    opened: dict[str, int] = {}
 
     def close(to: int) -> None:
         nonlocal dropped
         while len(stack) > to:
-            tag = nodes[stack.pop()].tag
-            if tag in DROPPED:
+            node = nodes[stack.pop()]
+            tag = node.tag
+            opened[tag] -= 1
+            if node.gone:
                 dropped -= 1
             if tag in BLOCK:
                 runs.append((-1, " "))
 
     def write(text: str) -> None:
+        if dropped and nodes[stack[-1]].tag == "head" and text.strip():
+            close(len(stack) - 1)
         if dropped or not text:
             return
         decoded = html.unescape(text) if "&" in text else text
@@ -95,6 +112,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         size = len(decoded) - decoded.count(" ")
         if size:
             node = nodes[stack[-1]]
+            if not node.text:
+                lead = _LEAD.match(decoded)
+                node.lead = lead[1].lower() if lead else ""
             node.text += size
             node.marks += decoded.count(",") + decoded.count(".")
             if any(nodes[i].tag == "a" for i in stack[-4:]):
@@ -120,19 +140,24 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = name.lower()
         if shut:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    close(i)
-                    break
-            else:
-                if tag in ("p", "br"):
-                    runs.append((-1, " "))
+            if opened.get(tag):
+                i = len(stack) - 1
+                while nodes[stack[i]].tag != tag:
+                    i -= 1
+                close(i)
+            elif tag in ("p", "br"):
+                runs.append((-1, " "))
             continue
         if tag == "html":
             if 'data-y="1"' in (attributes or ""):
                 nodes[0].label = 1
             continue
-        if tag in CLOSES_P:
+        if opened.get("head") and tag not in IN_HEAD:
+            i = 1
+            while nodes[stack[i]].tag != "head":
+                i += 1
+            close(i)
+        if tag in CLOSES_P and opened.get("p"):
             for i in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[i]].tag
                 if t == "p":
@@ -140,7 +165,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if t in SCOPES or t in ("td", "th", "li", "div", "section", "article"):
                     break
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and any(opened.get(x) for x in CLOSED_BY[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[i]].tag
                 if t in CLOSED_BY[tag]:
@@ -148,14 +173,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if t in SCOPES:
                     break
-        if tag == "body":
-            for i in range(1, len(stack)):
-                if nodes[stack[i]].tag == "head":
-                    close(i)
-                    break
         if tag in BLOCK:
             runs.append((-1, " "))
-        if tag in VOID:
+        if tag in VOID or tag in FOREIGN and (attributes or "").endswith("/"):
             continue
         node = Node(tag, stack[-1], nodes[stack[-1]].level + 1)
         if attributes:
@@ -167,12 +187,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     words += [*whole.split(), *_TOKENS.findall(whole)]
                 elif key == "data-y":
                     node.label = int(value)
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
+                elif key == "hidden" and value.lower() != "until-found" or key == "style" and "display:none" in value.replace(" ", "").lower():
+                    node.gone = True
+                elif key == "aria-hidden" and value.lower() == "true":
                     words.append("hidden*")
             node.names = tuple(dict.fromkeys(words))
         nodes.append(node)
         stack.append(len(nodes) - 1)
-        if tag in DROPPED:
+        opened[tag] = opened.get(tag, 0) + 1
+        if node.gone:
             dropped += 1
         if tag in RAW:
             raw = tag
@@ -189,7 +212,10 @@ _NAME_AT = len(TAGS) + 1
 _TEXT_AT = _NAME_AT + NAMES
 _LINK_AT = _TEXT_AT + 6 * 2
 _MARK_AT = _LINK_AT + 5 * 2
-WIDTH = _MARK_AT + 4
+_LEAD_AT = _MARK_AT + 4
+_SPOT_AT = _LEAD_AT + len(LEADS) + 2
+WIDTH = _SPOT_AT + 4
+_LEAD_NO = {w: i for i, w in enumerate([*LEADS, "©"])}
 #: Kind of elements that are dropped anyway: no features, no potentials, hence no say.
 NEUTRAL = len(TAGS) + 1
 
@@ -220,11 +246,22 @@ def trees(pages: list[list[Node]]) -> Trees:
             text[p] += text[i]
             linked[p] += linked[i]
             marks[p] += marks[i]
+        # where a node stands to the page's article or main: there is none, inside, around, elsewhere
+        inside, around = [x.tag in LANDMARKS and not x.gone for x in nodes], [False] * n
+        for i in range(n - 1, 0, -1):
+            if inside[i] or around[i]:
+                around[nodes[i].parent] = True
+        for i in range(1, n):
+            inside[i] = inside[i] or inside[nodes[i].parent]
         for i, x in enumerate(nodes):
-            tag = NEUTRAL if x.tag in DROPPED else _TAG_AT.get(x.tag, len(TAGS))
+            tag = NEUTRAL if x.gone else _TAG_AT.get(x.tag, len(TAGS))
             own = [] if tag == NEUTRAL else [tag, _TEXT_AT + _bin(text[i], TEXT_BINS), _TEXT_AT + 6 + _bin(x.text, TEXT_BINS)]
             if text[i] and tag != NEUTRAL:
                 own += [_LINK_AT + _bin(linked[i] / text[i], LINK_BINS), _MARK_AT + _bin(marks[i] / text[i], MARK_BINS)]
+            if tag != NEUTRAL:
+                own.append(_SPOT_AT + (0 if not around[0] else 1 if inside[i] else 2 if around[i] else 3))
+                if x.lead in _LEAD_NO:
+                    own.append(_LEAD_AT + _LEAD_NO[x.lead])
             own += [_name_feature(w) for w in x.names if tag != NEUTRAL]
             features += own
             owner += [base + i] * len(own)

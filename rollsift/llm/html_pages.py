@@ -10,6 +10,12 @@ from __future__ import annotations
 
 import random
 
+# Words that boilerplate without a telling name begins with.
+LEADS = [
+    "advertisement", "advert", "ad", "ads", "sponsored", "anzeige", "werbung", "publicité", "publicidad", "anuncio", "copyright", "impressum",
+    "datenschutz", "privacy", "cookies", "cookie", "subscribe", "newsletter", "share", "tweet", "follow", "comments", "comment", "reply",
+    "related", "trending", "popular", "recommended", "login", "register", "menu",
+]
 # How pages name their parts.
 CONTENT = ["content", "main-content", "article", "article-body", "post", "post-content", "entry", "entry-content", "story", "text", "body", "page-content", "single", "prose", "blog-post", "main"]
 MENU = ["nav", "navbar", "menu", "main-menu", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "tabs", "skip-link", "topbar", "site-nav"]
@@ -96,10 +102,22 @@ class Maker:
             return f"<section><h2>{self.words(1, 6)}</h2><p>{self.words(15, 60)}</p></section>"
         return f"<div>{self.words(10, 50)}</div>"
 
+    def nameless(self) -> tuple[str, str]:
+        """Boilerplate that no name gives away: by its first word, its links, or its place beside the article."""
+        r, junk = self.r, 'data-y="0"'
+        tag = r.choice(["div", "div", "p", "section", "footer", "header", "aside"])
+        name = r.choice(["", "", f'class="{self.word()}"', f'id="{self.word()}-{self.word()}"'])
+        told = r.random() < 0.6
+        lead = r.choice([*LEADS, "©"]).capitalize() + r.choice([": ", " ", ""]) if told else ""
+        inner = r.choice([self.words(1, 12), self.words(3, 30), f"<a href='/n'>{self.words(1, 4)}</a>", self.links() if tag != "p" else self.words(2, 9)])
+        return ("any" if told and r.random() < 0.3 else r.choice(["top", "end", "end"])), f"<{tag} {junk} {name}>{lead}{inner}</{tag}>"
+
     def boilerplate(self) -> tuple[str, str]:
         """(where it usually stands, markup)"""
         r, junk = self.r, 'data-y="0"'
-        kind = r.choice(["menu", "head", "foot", "side", "side", "ad", "notice", "share", "comments", "form", "form"])
+        kind = r.choice(["menu", "head", "foot", "side", "side", "ad", "notice", "share", "comments", "form", "form", "nameless"])
+        if kind == "nameless":
+            return self.nameless()
         named = r.random() < 0.7
         if kind == "menu":
             tag = r.choice(["nav", "nav", "div", "ul"]) if named else "nav"

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollsift.llm.common import beside, chunks, discard, held_out, materialise, whole_text
 from rollsift.llm.words import mix, words_of
@@ -123,10 +124,11 @@ def measured(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 @dataclass
 class Discriminant:
-    """Class means, cached Cholesky factors, log determinants and prior log odds."""
+    """Class means, Cholesky factors with their inverses (made once, when fitted), log determinants and prior log odds."""
 
     means: np.ndarray
     factors: np.ndarray
+    inverses: np.ndarray
     log_determinants: np.ndarray
     log_odds: float
     usable: bool
@@ -137,7 +139,7 @@ class Discriminant:
         d = sums.shape[1]
         if counts.sum() == 0 or counts.min() < 2:
             odds = float(np.log(counts[1] + 1) - np.log(counts[0] + 1))
-            return cls(np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.zeros(2), odds, False)
+            return cls(np.zeros((2, d)), np.stack([np.eye(d)] * 2), np.stack([np.eye(d)] * 2), np.zeros(2), odds, False)
         means = sums / counts[:, None]
         scatter = products - counts[:, None, None] * means[:, :, None] * means[:, None, :]
         pooled = scatter.sum(0) / counts.sum()
@@ -147,7 +149,7 @@ class Discriminant:
             s = (1 - SHRINK_TO_DIAGONAL) * s + SHRINK_TO_DIAGONAL * np.diag(np.diag(s)) + RIDGE * np.eye(d)
             factors.append(np.linalg.cholesky(s))
             logs.append(2 * np.log(np.diag(factors[-1])).sum())
-        return cls(means, np.stack(factors), np.array(logs), float(np.log(counts[1] / counts[0])), True)
+        return cls(means, np.stack(factors), np.linalg.inv(np.stack(factors)), np.array(logs), float(np.log(counts[1] / counts[0])), True)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row."""
@@ -155,8 +157,8 @@ class Discriminant:
         if self.usable:
             density = []
             for c in range(2):
-                z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
-                density.append(-0.5 * ((z * z).sum(0) + self.log_determinants[c]))
+                z = (x - self.means[c]) @ self.inverses[c].T
+                density.append(-0.5 * ((z * z).sum(1) + self.log_determinants[c]))
             log_odds = log_odds + density[1] - density[0]
         return 1 / (1 + np.exp(-log_odds.clip(-500, 500)))
 
@@ -213,15 +215,25 @@ def classify(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def accepted(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose text is scored ``ACCEPT`` or more, with the same columns.
 
-    Statistics travel beside the rows, so that no join carries the texts."""
-    stats, path = materialise(measured(df, doc_id, text), "quality-statistics")
-    model = fit(stats, labels)
-    discard(df.sparkSession, path)
-    names, whole = df.columns, beside(df, "_text")
+    Every text is measured once: rows and statistics are written side by side, the fit reads the statistics, the
+    filter both. No join carries texts."""
+    names, whole, beside_stats = df.columns, beside(df, "_text"), beside(df, "_stats")
+    width = len(FEATURES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, whole):
-            s = model.score(statistics(b.column(whole)))
-            yield b.filter(pa.array(s >= ACCEPT)).select(names)
+            x = statistics(b.column(whole))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.astype(np.float64).ravel()))
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], lists], [*names, beside_stats])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(beside_stats, T.ArrayType(T.DoubleType()))])
+    rows, _ = materialise(df.withColumn(whole, whole_text(text)).mapInArrow(measure, schema), "measured-rows")
+    model = fit(rows.select(F.col(doc_id).alias("doc_id"), F.col(beside_stats).alias("stats")), labels)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = model.score(b.column(beside_stats).flatten().to_numpy().reshape(-1, width))
+                yield b.filter(pa.array(s >= ACCEPT)).select(names)
 
-    return df.withColumn(whole, whole_text(text)).mapInArrow(run, df.schema)
+    return rows.mapInArrow(keep, df.schema)

@@ -72,10 +72,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every text."""
+    """Toxicity of every text; ``flagged`` is the decision by the language's calibrated threshold."""
     from rollsift.llm.toxicity import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("flagged")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
