@@ -32,25 +32,29 @@ def _located(name: str, pattern: str) -> str:
 
 
 def secret_spans() -> str:
-    runs = s.CANDIDATE.replace("(?=[A-Za-z+/_-]*[0-9])", "")
     allowed = " OR ".join([f"regexp_matches(value, {_quoted(s.NUMBER)})", *[f"(len(value) <= {s.ALLOWED_LENGTH} AND regexp_matches(value, {_quoted(p)}))" for p in s.ALLOWED]])
     w = s.WINDOW
     return f"""
     WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-    {_located("assigned", s.ASSIGN)}, {_located("accessed", s.ACCESS)}, {_located("hexed", s.HEX)}, {_located("runs", runs)},
+    {_located("assigned", s.ASSIGN)}, {_located("accessed", s.ACCESS)}, {_located("hexed", s.HEX)}, {_located("runs", s.CANDIDATE)},
     base AS (
         SELECT doc_id, start, 0 AS rank, start + len(value) AS stop, 'assign' AS kind FROM assigned WHERE len(regexp_extract(value, {_quoted(s.ASSIGN)}, 2)) >= 6
         UNION ALL SELECT doc_id, start, 1, start + len(value), 'access' FROM accessed WHERE len(value) >= 20
         UNION ALL SELECT doc_id, start, 2, start + len(value), 'hex' FROM hexed),
-    candidates AS (SELECT doc_id, start, value, regexp_full_match(value, '[0-9a-fA-F]+') AS is_hex FROM runs WHERE regexp_matches(value, '[0-9]') AND NOT ({allowed})),
-    windows AS (SELECT doc_id, start, value, unnest(range(1, len(value) - {w - 1} + 1)) AS i FROM candidates),
-    characters AS (SELECT doc_id, start, i, unnest(string_split(substr(value, i, {w}), '')) AS ch FROM windows),
+    classed AS (SELECT doc_id, start, value, regexp_replace(value, {_quoted(s.PLACEHOLDER)}, '\\3', 'g') AS seen,
+        CASE WHEN NOT regexp_matches(value, '[0-9]') THEN CASE WHEN regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') THEN 5 END
+             WHEN regexp_full_match(value, '[0-9a-fA-F]*') THEN 3 ELSE 4 END AS rank
+        FROM runs WHERE NOT ({allowed})),
+    candidates AS (SELECT * FROM classed WHERE rank IS NOT NULL),
+    windows AS (SELECT doc_id, start, seen, unnest(range(1, len(seen) - {w - 1} + 1)) AS i FROM candidates),
+    characters AS (SELECT doc_id, start, i, unnest(string_split(substr(seen, i, {w}), '')) AS ch FROM windows),
     counts AS (SELECT doc_id, start, i, ch, count(*) AS c FROM characters GROUP BY ALL),
     entropies AS (SELECT doc_id, start, i, log2({w}.0) - sum(c * log2(c)) / {w}.0 AS bits FROM counts GROUP BY ALL),
     best AS (SELECT doc_id, start, max(bits) AS bits FROM entropies GROUP BY ALL),
     hot AS (
-        SELECT doc_id, start, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, start + len(value) AS stop, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_mixed' END AS kind
-        FROM candidates JOIN best USING (doc_id, start) WHERE bits >= CASE WHEN is_hex THEN {s.THRESHOLDS["entropy_hex"]} ELSE {s.THRESHOLDS["entropy_mixed"]} END),
+        SELECT doc_id, start, rank, start + len(value) AS stop, CASE rank WHEN 3 THEN 'entropy_hex' WHEN 4 THEN 'entropy_mixed' ELSE 'entropy_letters' END AS kind
+        FROM candidates JOIN best USING (doc_id, start)
+        WHERE bits >= CASE rank WHEN 3 THEN {s.THRESHOLDS["entropy_hex"]} WHEN 4 THEN {s.THRESHOLDS["entropy_mixed"]} ELSE {s.THRESHOLDS["entropy_letters"]} END),
     added AS (SELECT * FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.start <= h.start AND b.stop >= h.stop)),
     base_lists AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS listed FROM base GROUP BY doc_id),

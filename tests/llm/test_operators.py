@@ -312,6 +312,46 @@ def test_redaction_keeps_the_rest(spark):
     assert got[1] == SECRET_TEXTS[1] and got[0].startswith("x token=ab [REDACTED] '[REDACTED]") and "04dbebab" not in got[0]
 
 
+def test_redaction_by_definition(spark):
+    rng = random.Random(8)
+    parts = ["é🎉 ", "token=abcdef1 ", "AKIA" + "A" * 16, " 0123456789abcdef01234567", "password: hunter2222", "words ", "\n", "api_key=AKIA" + "B" * 20]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (0, 1, 2, 5, 40, 700)] + [None, "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = {r["doc_id"]: r["secret_spans"] for r in secrets.scan(df).collect()}
+    for r in secrets.redact(df).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        for s in scanned[r["doc_id"]]:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + "[REDACTED]"
+            at = max(at, s["end"])
+        assert r["text"] == (None if text is None else out + text[at:])
+
+
+def test_placeholders_and_letters(spark):
+    key = "Zx9Qw8Er7Ty6Ui5Op4As3Df2"
+    texts = [f"sample_{key}", f"/samples/{key}", "sample_example1_placeholder", "qWxZrTpLmKvBnYdFgHjSwQcXeUaI", "getHttpResponseCodeFromServerName", "x" * 24]
+    got = [r["spans"] for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["entropy_mixed:0:31", "entropy_mixed:0:33", "", "entropy_letters:0:28", "", ""]
+
+
+def test_secrets_take_time_in_proportion(spark):
+    """20,000 matches in one text, and a run of 300,000 characters; covered keys are no spans of their own."""
+    import time
+
+    rng = random.Random(3)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(20000)]
+    texts = [" ".join(hexes[:10000]), " ".join(hexes), "".join(rng.choice("abcdefXYZ0189") for _ in range(300000)), "a" * 300000]
+    took = []
+    for t in texts:
+        df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+        began = time.time()
+        row = secrets.report(df).first()
+        took.append(time.time() - began)
+        assert row["base_sha256"] == hashlib.sha256(brute_base(t).encode()).hexdigest()
+    assert took[1] < 3.5 * took[0] + 2 and max(took) < 30
+    assert secrets.redact(spark.createDataFrame([(1, texts[1])], "doc_id long, text string")).first()["text"] == " ".join(["[REDACTED]"] * 20000)
+
+
 def test_window_entropy_by_definition(spark):
     text = "Zx9Qw8Er7Ty6Ui5Op4As3Df2aaaaaaaa"
     got = spark.range(1).select(secrets.best_window_entropy(F.lit(text))).first()[0]
