@@ -4,19 +4,28 @@ The model file is read with a small reader of its wire format: pieces, scores
 (taken as log scores) and kinds. A text gets the whitespace marker for spaces
 and in front; it is cut before markers (no piece holds one after another
 character) and around line breaks (no piece holds one), and only segments that
-the cache lacks are searched. Their Viterbi runs over many segments at once,
-one array step for each position and piece length. Characters that no piece
-covers cost the lowest score less ten and become byte pieces.
+the cache lacks are searched. The Viterbi of short ones runs over many segments
+at once, one array step for each position and piece length; a long segment's
+pieces are found at all its positions at once, block by block, and its positions
+are then gone through with back-pointers no longer than a piece. Characters that
+no piece covers cost the lowest score less ten and become byte pieces.
+
+A model whose normaliser maps characters or takes off spaces, or that doesn't
+put a space in front, is refused: this reader would give other ids.
 
 Of equally good segmentations the one found first stays: earlier starts, then
 shorter pieces. Edge cases: a null text counts as empty; an empty text has no
-ids; a text that holds the marker itself decodes to spaces there.
+ids; a text that holds the marker itself decodes to spaces there; very long
+texts and very long runs without a space are searched whole, in time in
+proportion to their length; repeated rows are encoded each on its own; an empty
+table gives no rows; a null id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +41,8 @@ from rollsift.llm.tokens import PieceEncoder
 MARKER = "▁"
 _MARK = tuple(MARKER.encode())
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
+#: Segments of more bytes are searched one at a time, their pieces in blocks of positions.
+LONG, BLOCK = 512, 1 << 15
 UNKNOWN_PENALTY = 10.0
 
 
@@ -62,15 +73,24 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def read_model(data: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, kind) by id."""
+    """(piece, score, kind) by id; ValueError for a normaliser that this reader doesn't know."""
     out = []
     for field, value in _fields(data):
+        if field == 3:
+            _plain(dict(_fields(value)))
         if field == 1:
             parts = dict(_fields(value))
             out.append((parts[1].decode(), struct.unpack("<f", parts.get(2, b"\0\0\0\0"))[0], parts.get(3, NORMAL)))
     return out
 
 
+def _plain(normaliser: dict[int, int | bytes]) -> None:
+    """Refuses a normaliser with a character map (2), without a space in front (3), or that removes (4) or keeps
+    spaces as they are (5); an absent field has its default, true."""
+    if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+        raise ValueError("the model's normaliser changes texts in ways that aren't supported")
+
+
 class DoubleArray:
     """Trie of byte strings in two arrays: the child of ``s`` by byte ``c`` is ``base[s] + c``, if ``check`` there is ``s``."""
 
@@ -137,9 +157,11 @@ class UnigramEncoder(PieceEncoder):
         self.can_cut = not any(a != MARKER and b == MARKER for t in texts for a, b in zip(t, t[1:], strict=False))
         self.can_cut_lines = not any("\n" in t for t in texts)
         self.folds = False
+        self.added = np.zeros(0, self.dtype)
+        self._spelled: list[bytes] | None = None
         self._forget()
 
-    def _starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _starts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts = np.zeros(len(data), bool)
         starts[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
         if self.can_cut and len(data) > 5:
@@ -151,18 +173,24 @@ class UnigramEncoder(PieceEncoder):
             line = data == 10
             starts |= line
             starts[1:] |= line[:-1]
-        return np.flatnonzero(starts)
+        none = np.zeros(0, np.int64)  # no added tokens
+        return np.flatnonzero(starts), none, none
 
     def _ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.zeros(len(start), np.int32)
         found: list = [None] * len(start)
         length = end - start
-        edges = [0, 8, 12, 16, 24, 32, 64, 128, 512]
+        edges = [0, 8, 12, 16, 24, 32, 64, 128, LONG]
         order = np.argsort(length, kind="stable")
         sorted_length = length[order]
         for low, high in zip(edges, [*edges[1:], None], strict=True):
             rows = order[np.searchsorted(sorted_length, low, "right") : None if high is None else np.searchsorted(sorted_length, high, "right")]
-            step = 20_000 if high is not None else 1
+            if high is None:
+                for r in rows.tolist():
+                    found[r] = self._long(data[start[r] : end[r]])
+                    size[r] = len(found[r])
+                continue
+            step = 20_000
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
                 for r, ids in zip(part.tolist(), self._viterbi(data, start[part], length[part]), strict=True):
@@ -171,6 +199,60 @@ class UnigramEncoder(PieceEncoder):
         flat = [x for ids in found for x in ids]
         return np.array(flat, self.dtype), size
 
+    def _pieces(self, text: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, id) of all pieces that start at the positions, by start, then length."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        at = np.arange(first, last)
+        state, out = np.zeros(len(at), np.int64), []
+        for d in range(self.longest):
+            inside = at + d < len(text)
+            at, state = at[inside], state[inside]
+            after = base[state] + text[at + d]
+            good = (after < len(check)) & (check[np.minimum(after, len(check) - 1)] == state)
+            at, state = at[good], after[good]
+            if not len(at):
+                break
+            hit = value[state] >= 0
+            out.append((at[hit], np.full(int(hit.sum()), d + 1), value[state[hit]]))
+        starts, lengths, ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((lengths, starts))
+        return starts[order], lengths[order], ids[order]
+
+    def _long(self, text: np.ndarray) -> list[int]:
+        """The best segmentation of one long segment: pieces by blocks of positions, then one step for each piece."""
+        n = len(text)
+        best, piece, length = array("d", [-np.inf]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        best[0] = 0.0
+        whole, scores, unknown, unknown_score = text.tolist(), self.scores.tolist(), self.unknown, float(self.unknown_score)
+        for block in range(0, n, BLOCK):
+            stop = min(block + BLOCK, n)
+            starts, lengths, ids = self._pieces(text, block, stop)
+            cuts = np.searchsorted(starts, np.arange(block, stop + 1)).tolist()
+            lengths, ids = lengths.tolist(), ids.tolist()
+            for i in range(block, stop):
+                byte, score = whole[i], best[i]
+                if score == -np.inf or byte & 0xC0 == 0x80:
+                    continue
+                char = min(1 if byte < 0x80 else 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4, n - i)
+                single = False
+                for k in range(cuts[i - block], cuts[i - block + 1]):
+                    d, p = lengths[k], ids[k]
+                    single = single or d == char
+                    total = score + scores[p]
+                    if total > best[i + d]:
+                        best[i + d], piece[i + d], length[i + d] = total, p, d
+                if not single and score + unknown_score > best[i + char]:
+                    best[i + char], piece[i + char], length[i + char] = score + unknown_score, unknown, char
+        out, j = [], n
+        while j:
+            i, p = j - length[j], piece[j]
+            if p == unknown:
+                out += [self.byte_ids.get(b, p) for b in reversed(whole[i:j])]
+            else:
+                out.append(p)
+            j = i
+        return out[::-1]
+
     def _viterbi(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> list[list[int]]:
         n, width = len(start), int(length.max())
         at = start[:, None] + np.arange(width)
@@ -232,13 +314,10 @@ class UnigramEncoder(PieceEncoder):
 
     def decode(self, ids: list[int]) -> str:
         """The text: byte pieces are joined before they are read, markers become spaces, the first goes."""
-        out, model, bytes_of = bytearray(), self.model, self.bytes_of
-        for i in ids:
-            if i in bytes_of:
-                out.append(bytes_of[i])
-            else:
-                out += model[i][0].encode()
-        text = out.decode("utf-8", "replace").replace(MARKER, " ")
+        spelled = self._spelled
+        if spelled is None:
+            spelled = self._spelled = [bytes([self.bytes_of[i]]) if i in self.bytes_of else p.replace(MARKER, " ").encode() for i, (p, _, _) in enumerate(self.model)]
+        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -261,15 +340,14 @@ def encode_and_decode(df: DataFrame, model: str, doc_id: str = "doc_id", text: s
         enc = encoder(model)
         byte_piece = np.zeros(len(enc.model), bool)
         byte_piece[list(enc.bytes_of)] = True
-        spelled = [bytes([enc.bytes_of[i]]) if i in enc.bytes_of else p.replace(MARKER, " ").encode() for i, (p, _, _) in enumerate(enc.model)]
         for b in chunks(batches, "_text"):
             ids, bounds = enc.encode_texts(b.column("_text"))
             flags = np.concatenate([[0], np.cumsum(byte_piece[ids])])
             crc, same = [], []
-            for s, e, text in zip(bounds[:-1].tolist(), bounds[1:].tolist(), b.column("_text").cast(pa.binary()).to_pylist(), strict=True):
+            for s, e, text in zip(bounds[:-1].tolist(), bounds[1:].tolist(), b.column("_text").to_pylist(), strict=True):
                 part = ids[s:e]
                 crc.append(zlib.crc32(part.astype("<u4").tobytes()))
-                same.append(b"".join([spelled[i] for i in part.tolist()])[1:] == text)
+                same.append(enc.decode(part.tolist()) == text)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(flags[bounds[1:]] - flags[bounds[:-1]]), pa.array(crc, pa.int64()), pa.array(same)],
                 ["doc_id", *(x.split()[0] for x in FIELDS.split(", "))],
