@@ -474,15 +474,26 @@ def test_components(spark):
 
 
 def brute_top(rows, k, every):
-    fine = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [(i, np.floor(256 * np.array(v, np.float64))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, a in fine:
         if q % every == 0:
-            best = sorted((-int(a @ b), i) for i, b in fine if i != q and len(a) == len(b))[:k]
+            best = sorted((-max(min(sum(int(x) * int(y) for x, y in zip(a, b, strict=True)), topk.HIGHEST), topk.LOWEST), i) for i, b in fine if i != q and len(a) == len(b))[:k]
             out |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
     return out
 
 
+def test_top_k_of_large_vectors(spark, monkeypatch):
+    """Large finite components among ordinary ones: scores beyond 64 bits count as the nearest number of 64 bits."""
+    monkeypatch.setattr(topk, "SLICE_SCORES", 64)
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-0.3, 0.1, 0.25, 0.5]) for _ in range(3)]) for i in range(60)]
+    rows += [(60, [9e6, 9e6, 0.5]), (61, [1e30, 0.0, 1.0]), (62, [-1e30, 1e-3, 1.0]), (63, [1e6, -1e6, 1e6]), (64, [1e300, 1e300, 0.0]), (65, [3e8, 2e8, 1e8]), (70, [2e9, -1.0, 4.0]), (72, [-0.25, 5e15, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, 5, 5).collect()}
+    assert got == brute_top(rows, 5, 5)
+
+
 def test_top_k(spark):
     rng = random.Random(6)
     rows = [(i, [rng.choice([-0.3, 0.1, 0.25, 0.5]) for _ in range(4)]) for i in range(150)]
