@@ -9,7 +9,10 @@ bit-reversed bytes.
 
 Edge cases: a null text counts as empty; an empty text is stored as one block
 of zero bytes; a page whose checksum fails is dropped, counted, and takes with
-it the packet that was open on its stream; bytes between pages are skipped.
+it the packet that was open on its stream; bytes between pages are skipped; a very
+long text continues over as many pages as it needs; a null id stays null;
+repeated rows give equal values; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

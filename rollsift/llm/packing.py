@@ -9,8 +9,9 @@ the patterns' slots by rank: the k-th piece of a length takes that length's
 k-th slot. Ids are never shuffled.
 
 Edge cases: a null text counts as empty; an empty text is the end id alone;
-equal rows are told apart by nothing and take neighbouring slots; an empty
-table gives no rows.
+equal rows are told apart by nothing and take neighbouring slots; a null id
+stays null; a very long text is cut into as many full pieces as it has; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ are computed once and cached with the model.
 Edge cases: a null text counts as empty; an empty text has the statistics of no
 words and is scored like any other; labels that repeat an id count as their
 largest; with no labelled rows of a class, every score is the prior (0.5 with
-no labels at all).
+no labels at all); a very long text is measured whole; repeated rows are scored
+each on its own, and a labelled id counts as often as it has rows; rows without
+id are scored but never learnt from; an empty table gives no rows; other columns
+are ignored by ``classify`` and kept by ``accepted``, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ view on it without copying or scanning. A second Arrow file lists the
 documents: id, first id's position in the file, number of ids.
 
 Edge cases: a null text counts as empty and has the end id alone; null document
-ids come first; equal document ids are ordered by text; an empty table gives no
-rows.
+ids come first; equal document ids are ordered by text; a very long text is one
+document like any other; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from rollsift.llm.tokens import encoder
 END_ID = 1
 SEQUENCE_LENGTH = 2048
 BATCH_ROWS = 256
+#: Stored input for a file. A plan without figures claims more than any input has: MOST_BYTES.
+FILE_BYTES, MOST_BYTES = 64 << 20, 1 << 50
 
 
 def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -118,11 +121,13 @@ class SequenceFile:
 
 
 def write_token_files(df: DataFrame, vocabulary: str, folder: str, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, str, int, int]]:
-    """Encodes and writes the documents in ascending id order, a file for each range of ids.
+    """Encodes and writes the documents in ascending id order, a file for each range of ids: as many as the session's
+    shuffle partitions, or more, so that a file comes from about ``FILE_BYTES`` of stored input.
 
     Returns (partition, path without suffix, documents, ids) for each file: a few numbers a file."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's figure, without a scan
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // FILE_BYTES) if stored < MOST_BYTES else 1)
     ordered = df.select(F.col(doc_id).alias("_id"), whole_text(text).alias("_text")).repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
     id_type = pa.int64()
 
