@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handled at once inside a Python worker end at this many bytes of text.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,24 +34,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/rollsift/{label}-{uuid.uuid4().hex}"
 
 
-#: Spark's setting to delete a query's shuffle files when it ends.
-_CLEAN_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: a query's shuffle files go when it ends, and Python workers get batches of a few megabytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def materialise(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there,
     and a lost executor costs a re-read. The second value is the path, for ``discard``.
 
-    The write's shuffle files go when it ends; nothing else reads them. The setting for that holds for the session
+    The write's shuffle files go when it ends; nothing else reads them. The settings for that hold for the session
     while the write lasts: queries that other threads start then lose their shuffle files as they end, never sooner."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(_CLEAN_SHUFFLE, "false")
-    spark.conf.set(_CLEAN_SHUFFLE, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(_CLEAN_SHUFFLE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -125,3 +128,12 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
                 start, held = i + 1, 0
         if start < n:
             yield batch.slice(start, n - start)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system: Spark keeps several idle workers an executor, each with its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

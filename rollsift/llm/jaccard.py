@@ -44,14 +44,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollsift.llm.common import chunks, discard, materialise, spread_join, whole_text
+from rollsift.llm.common import chunks, discard, give_back, materialise, spread_join, whole_text
 from rollsift.llm.graphs import components
 from rollsift.llm.words import mix, words_of
 
 #: Elements of the sets of a tile; a cell multiplies two tiles.
 TILE_ELEMENTS = 200_000
+#: Elements of a tile that is multiplied with one row only: its work is linear, so small tiles cost little.
+STAR_ELEMENTS = 10_000
 #: Parts of the hash space that are exchanged one after another.
-SLICES = 4
+SLICES = 8
 #: Columns of more rows than this are paired in tiles of as many.
 COLUMN_ROWS = 512
 #: Columns of more rows than this are multiplied as a dense matrix.
@@ -269,8 +271,8 @@ def spanning(links: np.ndarray) -> np.ndarray:
     return links[keep]
 
 
-def tiles(elements: Column) -> Column:
-    return F.greatest(F.ceil(elements / TILE_ELEMENTS).cast("int"), F.lit(1))
+def tiles(elements: Column, size: int) -> Column:
+    return F.greatest(F.ceil(elements / size).cast("int"), F.lit(1))
 
 
 def _stars(sets: list[np.ndarray], cell: np.ndarray, center: np.ndarray) -> np.ndarray:
@@ -339,6 +341,7 @@ def products(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             links = _multiply(block, [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)], percent)
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -515,7 +518,7 @@ def _pivots(members: DataFrame, percent: int) -> DataFrame:
 
 def _cells_of_stars(stars: DataFrame) -> DataFrame:
     """Cells of center and tile from (center, center_component, node, n, component)."""
-    parts = stars.groupBy("center").agg(tiles(F.sum("n")).alias("parts"), F.first("center_component").alias("center_component"))
+    parts = stars.groupBy("center").agg(tiles(F.sum("n"), STAR_ELEMENTS).alias("parts"), F.first("center_component").alias("center_component"))
     dealt = spread_join(stars.drop("center_component"), parts, "center", "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
     rows = dealt.select(F.col("center").alias("block"), F.lit(CENTER).alias("first"), F.col("tile").alias("second"), "tile", "node", "component")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -552,7 +555,7 @@ def _family_cells(nodes: DataFrame, percent: int) -> DataFrame:
     by_component = nodes.groupBy("family", "component").agg(F.sum("n").alias("n"))
     main = by_component.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
     dealt = spread_join(nodes, main.select("family", "main"), "family", "node").withColumn("is_main", F.col("component") == F.col("main"))
-    strata = dealt.groupBy("family", "is_main", "class").agg(tiles(F.sum("n")).alias("parts"))
+    strata = dealt.groupBy("family", "is_main", "class").agg(tiles(F.sum("n"), TILE_ELEMENTS).alias("parts"))
     name = 2 * F.col("class") + F.col("is_main").cast("int")
     strata = strata.select("family", name.alias("stratum"), "parts")
     other = strata.select("family", F.col("stratum").alias("other"), F.col("parts").alias("other_parts"))

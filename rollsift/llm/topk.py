@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollsift.llm.common import scratch_path
+from rollsift.llm.common import give_back, scratch_path
 
 SCALE = 256
 QUERY_BLOCK = 8192
@@ -113,6 +113,7 @@ def _score_slices(batches: Iterator[pa.RecordBatch], block: dict):
                 hit = np.flatnonzero(query_ids[np.minimum(own, len(query_ids) - 1)] == part)
                 s[own[hit], hit] = NEVER
                 yield at, part, s
+    give_back()
 
 
 def _histograms(candidates: DataFrame, shared, k: int) -> DataFrame:

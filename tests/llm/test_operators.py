@@ -440,6 +440,7 @@ def test_hot_groups_of_copies(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 10)
     monkeypatch.setattr(jaccard, "COLUMN_ROWS", 8)
     monkeypatch.setattr(jaccard, "TILE_ELEMENTS", 600)
+    monkeypatch.setattr(jaccard, "STAR_ELEMENTS", 300)
     rng = random.Random(12)
     word = lambda: "w%d" % rng.randrange(10**6)
     base, passage = [word() for _ in range(60)], [word() for _ in range(30)]
