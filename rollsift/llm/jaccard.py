@@ -53,7 +53,7 @@ TILE_ELEMENTS = 200_000
 #: Elements of a tile that is multiplied with one row only: its work is linear, so small tiles cost little.
 STAR_ELEMENTS = 10_000
 #: Parts of the hash space that are exchanged one after another.
-SLICES = 8
+SLICES = 4
 #: Columns of more rows than this are paired in tiles of as many.
 COLUMN_ROWS = 512
 #: Columns of more rows than this are multiplied as a dense matrix.
