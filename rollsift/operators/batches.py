@@ -8,10 +8,13 @@ by native expressions.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,49 +50,89 @@ def prepared(df: DataFrame, seq_len: int) -> DataFrame:
     )
 
 
-def first_fit_decreasing(items: list[tuple[int, str, bool]], capacity: int) -> list[list[int]]:
+class Rooms:
+    """Free room of bins in a tree of maxima: the first bin with enough is found in as many steps as the tree is high."""
+
+    def __init__(self) -> None:
+        self.width, self.count, self.tree = 1, 0, [0, 0]
+
+    def set(self, place: int, room: int) -> None:
+        at = place + self.width
+        self.tree[at] = room
+        while at > 1:
+            at //= 2
+            self.tree[at] = max(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def add(self, room: int) -> int:
+        if self.count == self.width:
+            rooms = self.tree[self.width :]
+            self.width *= 2
+            self.tree = [0] * (2 * self.width)
+            self.tree[self.width : self.width + len(rooms)] = rooms
+            for at in range(self.width - 1, 0, -1):
+                self.tree[at] = max(self.tree[2 * at], self.tree[2 * at + 1])
+        self.set(self.count, room)
+        self.count += 1
+        return self.count - 1
+
+    def first(self, room: int) -> int | None:
+        if not self.count or self.tree[1] < room:
+            return None
+        at = 1
+        while at < self.width:
+            at = 2 * at if self.tree[2 * at] >= room else 2 * at + 1
+        return at - self.width
+
+
+def first_fit_decreasing(items: list[tuple[int, Hashable, bool]], capacity: int) -> list[list[int]]:
     """Bins of item numbers. items: (length, class, alone); only equal classes share, and none that is alone.
 
     Longest first, ties by place; an item goes into the first bin, in order of creation, with room."""
     bins: list[list[int]] = []
-    used: list[int] = []
-    open_by_class: dict[str, list[int]] = {}
+    rooms: dict[Hashable, Rooms] = defaultdict(Rooms)
+    bin_at: dict[Hashable, list[int]] = defaultdict(list)
     for i in sorted(range(len(items)), key=lambda i: -items[i][0]):
         length, kind, alone = items[i]
-        target = None
+        place = None if alone else rooms[kind].first(max(length, 1))
+        if place is not None:
+            left = rooms[kind].tree[place + rooms[kind].width] - length
+            bins[bin_at[kind][place]].append(i)
+            rooms[kind].set(place, left)
+            continue
         if not alone:
-            target = next((b for b in open_by_class.get(kind, ()) if used[b] + length <= capacity), None)
-        if target is None:
-            bins.append([])
-            used.append(0)
-            target = len(bins) - 1
-            if not alone:
-                open_by_class.setdefault(kind, []).append(target)
-        bins[target].append(i)
-        used[target] += length
+            rooms[kind].add(capacity - length)
+            bin_at[kind].append(len(bins))
+        bins.append([i])
     return bins
 
 
-def split_until(bins: list[list[int]], lengths: Sequence[int], workers: int, cost: Cost) -> list[list[int]]:
-    """Splits the heaviest bin of several items until the bins are a multiple of the workers.
-
-    The heaviest items go to the side that is lighter so far, the left one on ties; of equally heavy bins the last splits."""
-    bins = [list(b) for b in bins]
-    goal = max(-(-len(bins) // workers) * workers, workers)
-    while len(bins) < goal:
-        heavy = [(cost([lengths[i] for i in b]), n) for n, b in enumerate(bins) if len(b) > 1]
-        if not heavy:
-            break
-        at = max(heavy)[1]
-        sides: tuple[list[int], list[int]] = ([], [])
-        loads = [0.0, 0.0]
-        for i in sorted(bins[at], key=lambda i: -cost([lengths[i]])):
-            side = int(loads[0] > loads[1])
-            sides[side].append(i)
-            loads[side] += cost([lengths[i]])
-        bins[at] = sides[0]
-        bins.append(sides[1])
-    return bins
+def halves(items: list[int], weights: Sequence[float]) -> tuple[list[int], list[int]]:
+    """Two sides of nearly equal weight: by falling weight, each item evens out the lead of the side before it."""
+    sides: dict[bool, list[int]] = {True: [], False: []}
+    lead = 0.0  # of the first side
+    for i in sorted(items, key=lambda i: -weights[i]):
+        to_first = lead <= 0
+        sides[to_first].append(i)
+        lead += weights[i] if to_first else -weights[i]
+    return sides[True], sides[False]
+
+
+def split_until(bins: list[list[int]], weights: Sequence[float], workers: int) -> list[list[int]]:
+    """Bins for the workers to share evenly: as long as their number is no multiple of the workers, the heaviest bin
+    of several items becomes two; of equally heavy ones the last. weights: an item's work, which adds up in a bin."""
+    out = {n: list(b) for n, b in enumerate(bins)}
+    heaviest = [(-sum(weights[i] for i in b), -n) for n, b in out.items() if len(b) > 1]
+    heapq.heapify(heaviest)
+    missing = -len(bins) % workers if bins else workers
+    while missing and heaviest:
+        n = -heapq.heappop(heaviest)[1]
+        added = len(out)
+        out[n], out[added] = halves(out[n], weights)
+        missing -= 1
+        for k in (n, added):
+            if len(out[k]) > 1:
+                heapq.heappush(heaviest, (-sum(weights[i] for i in out[k]), -k))
+    return list(out.values())
 
 
 def balanced(weights: Sequence[float], parts: int) -> list[list[int]]:
@@ -114,29 +157,41 @@ def balanced(weights: Sequence[float], parts: int) -> list[list[int]]:
 
 
 def _swapped(weights: Sequence[float], groups: list[list[int]]) -> list[list[int]]:
-    """Swaps pairs between groups while the largest sum, then the spread, gets smaller."""
-    loads = [sum(weights[i] for i in g) for g in groups]
-    while True:
-        now = (max(loads), max(loads) - min(loads))
-        best = None
-        for a in range(len(groups)):
-            for b in range(a + 1, len(groups)):
-                others = [x for k, x in enumerate(loads) if k not in (a, b)]
-                low, high = min(others, default=None), max(others, default=None)
-                for i, x in enumerate(groups[a]):
-                    for j, y in enumerate(groups[b]):
-                        moved = weights[y] - weights[x]
-                        pair = (loads[a] + moved, loads[b] - moved)
-                        top = max(pair) if high is None else max(*pair, high)
-                        spread_ = top - (min(pair) if low is None else min(*pair, low))
-                        if (top, spread_) < now and (best is None or (top, spread_) < best[0]):
-                            best = (top, spread_), a, b, i, j, moved
-        if best is None:
-            return groups
-        _, a, b, i, j, moved = best
-        groups[a][i], groups[b][j] = groups[b][j], groups[a][i]
+    """Swaps of two items while the largest load, then the spread of the loads, gets smaller; the best swap first.
+
+    Only the heaviest group can lower the largest load and only the lightest one the spread beside it, so that
+    swaps of other pairs aren't tried."""
+    w = np.asarray(weights, float)
+    members = [np.array(g) for g in groups]
+    loads = np.array([w[g].sum() for g in members])
+    while len(members) > 1:
+        ends = {int(loads.argmax()), int(loads.argmin())}
+        tries = []
+        for a in range(len(members)):
+            for b in range(a + 1, len(members)):
+                if a in ends or b in ends:
+                    tries.append(_best_swap(w, members, loads, a, b))
+        top, spread_, a, b, i, j = min(tries)
+        if (top, spread_) >= (loads.max(), loads.max() - loads.min()):
+            break
+        moved = w[members[b][j]] - w[members[a][i]]
+        members[a][i], members[b][j] = members[b][j], members[a][i]
         loads[a] += moved
         loads[b] -= moved
+    return [g.tolist() for g in members]
+
+
+def _best_swap(w: np.ndarray, members: list[np.ndarray], loads: np.ndarray, a: int, b: int) -> tuple:
+    """(largest load, spread, a, b, place in a, place in b) of the best swap between two groups."""
+    others = np.delete(loads, [a, b])
+    moved = w[members[b]][None, :] - w[members[a]][:, None]
+    high, low = np.maximum(loads[a] + moved, loads[b] - moved), np.minimum(loads[a] + moved, loads[b] - moved)
+    if len(others):
+        high, low = np.maximum(high, others.max()), np.minimum(low, others.min())
+    spread_ = high - low
+    at = np.lexsort((spread_.ravel(), high.ravel()))[0]
+    i, j = divmod(int(at), moved.shape[1])
+    return float(high[i, j]), float(spread_[i, j]), a, b, i, j
 
 
 ASSIGNED = "sample_id bigint, bin int, position int, worker int, turn int, is_dummy boolean"
@@ -145,19 +200,20 @@ ASSIGNED = "sample_id bigint, bin int, position int, worker int, turn int, is_du
 def assign(df: DataFrame, seq_len: int, workers: int, keys: tuple[str, ...] = ("run_id", "step"), linear: float = 1.0, quadratic: float = 0.0) -> DataFrame:
     """Bins, workers and turns of the samples of each (run, step).
 
-    df: keys, sample_id, arrival, length, mode, multimodal. Multimodal bins come first at equal turns on all
+    df: keys, sample_id, arrival, length, mode, multimodal, and routed if some samples have routed experts: bins hold
+    samples of one mode that all have them or all lack them. Multimodal bins come first at equal turns on all
     workers; each kind is filled up with copies of its first bin, marked as dummies, which carry no loss."""
     cost = cost_of(linear, quadratic)
-    picked = df.select(*keys, "sample_id", "arrival", F.least("length", F.lit(seq_len)).alias("length"), "mode", "multimodal")
+    picked = df.select(*keys, "sample_id", "arrival", F.least("length", F.lit(seq_len)).alias("length"), "mode", "multimodal", (F.coalesce("routed", F.lit(False)) if "routed" in df.columns else F.lit(False)).alias("routed"))
     schema = T.StructType([*picked.schema.fields[: len(keys)], *T._parse_datatype_string(ASSIGNED).fields])
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("arrival", kind="stable").reset_index(drop=True)
         lengths = frame["length"].tolist()
-        items = list(zip(lengths, frame["mode"].tolist(), frame["multimodal"].tolist(), strict=True))
+        items = list(zip(lengths, zip(frame["mode"].tolist(), frame["routed"].tolist(), strict=True), frame["multimodal"].tolist(), strict=True))
         bins = first_fit_decreasing(items, seq_len)
         if workers > 1:
-            bins = split_until(bins, lengths, workers, cost)
+            bins = split_until(bins, [cost([n]) for n in lengths], workers)
         rows, base = [], 0
         for multimodal in (True, False):
             kind = [(b, False) for b in bins if items[b[0]][2] == multimodal]
@@ -224,10 +280,13 @@ def _walk(df: DataFrame, keys: list[str], order: str, columns: list[str], schema
         key, state = None, None
         for frame in frames:
             out = []
-            for row in frame.itertuples(index=False, name=None):
-                if row[: len(keys)] != key:
-                    key, state = row[: len(keys)], start()
-                out += [(*key, *x) for x in feed(state, row[len(keys) + 1 :])]
+            # a null key is a key: as NaN it would differ from itself
+            names = frame[keys].astype(object).where(frame[keys].notna(), None).itertuples(index=False, name=None)
+            rest = frame.iloc[:, len(keys) + 1 :].itertuples(index=False, name=None)
+            for name, row in zip(names, rest, strict=True):
+                if name != key:
+                    key, state = name, start()
+                out += [(*key, *x) for x in feed(state, row)]
             yield pd.DataFrame(out, columns=full.names)
 
     return picked.mapInPandas(run, full)
@@ -271,63 +330,107 @@ def bucket_of(length: Column, area: int) -> Column:
     return case
 
 
-def stacked(df: DataFrame, area: int, keys: list[str], order: str, timeout: int = 10, sample: str = "sample_id", length: str = "length") -> DataFrame:
-    """Batches of samples of one bucket, given when the bucket's area is full or waits too long.
+class Ladder:
+    """Buckets of rising sample size and equal area, each with what it holds and the step since which it waits."""
+
+    def __init__(self, area: int, timeout: int):
+        self.area, self.timeout, self.step = area, timeout, 0
+        self.sizes = bucket_sizes(area)
+        self.places = {s: area // s for s in self.sizes}
+        self.held: dict[int, list[tuple]] = {s: [] for s in self.sizes}
+        self.waits: dict[int, int] = {}
+
+    def put(self, item: int, n: int) -> list[tuple]:
+        """Takes a sample in; gives a batch (step, bucket, position, item, length) when one is due."""
+        n = min(n, self.area)
+        size = min(s for s in self.sizes if s >= n)
+        self.held[size].append((item, n))
+        if len(self.held[size]) >= self.places[size]:
+            return self._give(size)
+        if self.step > self.waits.setdefault(size, self.step) + self.timeout:
+            return self._give(self._raised(size))
+        return []
+
+    def _raised(self, size: int) -> int:
+        """The bucket that an overdue one ends in: it joins the next as long as both leave room there; then it is filled up."""
+        for above in self.sizes[self.sizes.index(size) + 1 :]:
+            if len(self.held[above]) + len(self.held[size]) >= self.places[above]:
+                break
+            self.held[above] += self.held.pop(size)
+            self.held[size] = []
+            self.waits.pop(size, None)
+            size = above
+        self.held[size] += [(None, 1)] * (self.places[size] - len(self.held[size]))
+        return size
+
+    def _give(self, size: int) -> list[tuple]:
+        batch = [(self.step, size, p, item, n) for p, (item, n) in enumerate(self.held[size])]
+        self.held[size] = []
+        self.waits.pop(size, None)
+        self.step += 1
+        return batch
 
-    A late bucket first moves up while the next one has room, then is filled with dummies (null sample ids)."""
-    sizes = bucket_sizes(area)
 
-    def start() -> dict:
-        return {"held": [[] for _ in sizes], "since": [None] * len(sizes), "step": 0}
-
-    def feed(state: dict, row: tuple) -> list[tuple]:
-        item, n = row
-        n = min(n, area)
-        at = next(i for i, s in enumerate(sizes) if n <= s)
-        held, since = state["held"], state["since"]
-        held[at].append((item, n))
-        late = since[at] is not None and since[at] + timeout < state["step"]
-        full = sizes[at] * len(held[at]) >= area
-        if not (full or late):
-            if since[at] is None:
-                since[at] = state["step"]
-            return []
-        if late:
-            while at + 1 < len(sizes) and sizes[at + 1] * (len(held[at]) + len(held[at + 1])) < area:
-                held[at + 1] += held[at]
-                held[at], since[at], at = [], None, at + 1
-            held[at] += [(None, 1)] * (-(-area // sizes[at]) - len(held[at]))
-        out = [(state["step"], sizes[at], p, item, n) for p, (item, n) in enumerate(held[at])]
-        held[at], since[at] = [], None
-        state["step"] += 1
-        return out
-
-    return _walk(df, keys, order, [sample, length], "batch bigint, bucket int, position int, sample_id bigint, taken int", start, feed)
-
-
-def round_robin_selection(buffers: dict[str, list[tuple[int, int, int]]], steps: dict[str, int], budget: int, position: int = 0) -> tuple[list[tuple[str, int]], int]:
-    """Samples of several runs under a token budget, and the next position.
+def stacked(df: DataFrame, area: int, keys: list[str], order: str, timeout: int = 10, sample: str = "sample_id", length: str = "length") -> DataFrame:
+    """Batches of samples of one bucket, given when the bucket's area is full or waits too long.
 
-    buffers: run to (sample, tokens, step) in arrival order; they are consumed. A run is drained of its current
-    step until the budget is met; a sample alone over the budget is dropped; one that would go over stays."""
-    runs, taken, used = list(buffers), [], 0
-    while used < budget and runs:
-        ready = next((p % len(runs) for p in range(position, position + len(runs)) if buffers[runs[p % len(runs)]] and buffers[runs[p % len(runs)]][0][2] <= steps[runs[p % len(runs)]]), None)
-        if ready is None:
-            break
-        run, position = runs[ready], (ready + 1) % len(runs)
-        queue = buffers[run]
-        while queue and queue[0][2] <= steps[run]:
-            sample, tokens, _ = queue[0]
-            if used + tokens > budget:
-                if used:
-                    return taken, position
-                queue.pop(0)
-                continue
-            taken.append((run, sample))
-            used += tokens
-            queue.pop(0)
-    return taken, position
+    A late bucket first moves up while the next one has room, then is filled with dummies (null sample ids). Batches
+    follow from all samples before them, so a key is one sequence; shards of a stream are keys of their own."""
+    return _walk(df, keys, order, [sample, length], "batch bigint, bucket int, position int, sample_id bigint, taken int", lambda: Ladder(area, timeout), lambda ladder, row: ladder.put(*row))
+
+
+def ready_samples(samples: DataFrame, runs: DataFrame) -> DataFrame:
+    """Samples (run, arrival, sample, tokens, step) that precede the first one beyond its run's current step.
+
+    runs: (run, place, current_step), a row a run; ``place`` is kept."""
+    so_far = W.partitionBy("run").orderBy("arrival", "sample").rowsBetween(W.unboundedPreceding, 0)
+    beyond = F.max((F.col("step") > F.col("current_step")).cast("int")).over(so_far)
+    return samples.join(runs, "run").withColumn("_beyond", beyond).where("_beyond = 0").drop("_beyond", "current_step")
+
+
+def enough_tokens(samples: DataFrame, runs: DataFrame, budget: int) -> DataFrame:
+    """One row: tokens that are ready, and whether they reach the budget."""
+    return ready_samples(samples, runs).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).withColumn("enough", F.col("tokens") >= budget)
+
+
+def round_robin_selection(samples: DataFrame, runs: DataFrame, budget: int, position: int = 0) -> tuple[DataFrame, int]:
+    """Samples (run, sample, tokens, used: tokens so far) taken under a token budget, and the next position.
+
+    Runs take turns from ``position`` on, each giving all its ready samples in order; the first that would go over the
+    budget ends it. Samples that alone are over the budget are dropped while nothing is taken. Token sums add up within
+    runs and, over a row a run, between them, so that no task sees all samples; two rows reach the driver."""
+    n = runs.count()
+    if not n:
+        return ready_samples(samples, runs).select("run", "sample", "tokens", F.col("tokens").alias("used")), position
+    queue = F.struct(F.pmod(F.col("place") - position, F.lit(n)).alias("turn"), "arrival", "sample")
+    ready = ready_samples(samples, runs).withColumn("at", queue).where(F.col("tokens").isNotNull())
+    first = ready.where(F.col("tokens") <= budget).agg(F.min("at").alias("at")).first()["at"]
+    if first is None:
+        last = ready.agg(F.max("at").alias("at")).first()["at"]
+        return ready.limit(0).select("run", "sample", "tokens", F.col("tokens").alias("used")), position if last is None else (position + last["turn"] + 1) % n
+    start = F.struct(F.lit(first["turn"]).alias("turn"), F.lit(first["arrival"]).alias("arrival"), F.lit(first["sample"]).alias("sample"))
+    counted = ready.where(F.col("at") >= start.cast(ready.schema["at"].dataType))
+    by_run = counted.groupBy(F.col("at.turn").alias("turn")).agg(F.sum("tokens").alias("n"))
+    before = by_run.select("turn", (F.sum("n").over(W.orderBy("turn")) - F.col("n")).alias("before"))  # a row a run
+    inside = F.sum("tokens").over(W.partitionBy("run").orderBy("arrival", "sample").rowsBetween(W.unboundedPreceding, 0))
+    summed = counted.withColumn("turn", F.col("at.turn")).withColumn("_inside", inside).join(before, "turn").withColumn("used", F.col("_inside") + F.col("before"))
+    # the run that is open when the budget is reached or passed is the last one asked
+    last = summed.where(F.col("used") - F.col("tokens") < budget).agg(F.max("turn")).first()[0]
+    return summed.where(F.col("used") <= budget).select("run", "sample", "tokens", "used"), (position + last + 1) % n
+
+
+def packed(samples: DataFrame, runs: DataFrame, budget: int, seq_len: int, workers: int, position: int = 0, together: bool = False, multiple: int = 1) -> tuple[DataFrame, int]:
+    """A training step: samples are selected under the budget, packed, balanced over the workers and concatenated.
+
+    samples: the columns of ``prepared`` and run, arrival, sample_id, step, mode, multimodal. Runs are packed each on its
+    own (adapters of several runs) or together (one run's batch)."""
+    tokens = (F.size("prompt_ids") + F.size("completion_ids")).alias("tokens")
+    taken, after = round_robin_selection(samples.select("run", "arrival", F.col("sample_id").alias("sample"), tokens, "step"), runs, budget, position)
+    key = F.lit("all") if together else F.col("run")
+    chosen = samples.join(taken.select(F.col("sample").alias("sample_id")), "sample_id", "left_semi").withColumn("pack", key)
+    lengths = chosen.select("pack", "sample_id", "arrival", (F.size("prompt_ids") + F.size("completion_ids")).alias("length"), "mode", "multimodal")
+    plan = assign(lengths, seq_len, workers, ("pack",))
+    return materialised(prepared(chosen, seq_len), plan, ("pack",), multiple), after
 
 
 def run_progress(selected: DataFrame, pending: DataFrame, run: str = "run_id", tokens: str = "tokens") -> DataFrame:

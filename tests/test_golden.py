@@ -1,6 +1,7 @@
 """Cases with known results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def test_merge_edges():
 def test_packing_and_balance():
     items = [(n, "rl", False) for n in (6, 6, 5, 5, 4, 4)]
     bins = first_fit_decreasing(items, 12)
-    assert len(bins) == 3 and len(split_until(bins, [x[0] for x in items], 4, cost_of())) == 4
+    assert len(bins) == 3 and len(split_until(bins, [x[0] for x in items], 4)) == 4
     assert first_fit_decreasing([(4, "rl", False), (4, "sft", False)], 16) == [[0], [1]]
     groups = balanced([100, 90, 80, 70], 2)
     assert sorted(sum([100, 90, 80, 70][i] for i in g) for g in groups) == [170, 170]
@@ -130,11 +131,82 @@ def test_cat_and_stack(spark):
     assert [(r["batch"], r["bucket"], r["sample_id"]) for r in rows] == [(0, 256, i) for i in range(4)]
 
 
-def test_round_robin():
-    buffers = {"a": [(1, 4, 0), (2, 4, 0), (3, 4, 1)], "b": [(4, 100, 0), (5, 3, 0)]}
-    taken, position = round_robin_selection(buffers, {"a": 0, "b": 0}, 12)
-    assert taken == [("a", 1), ("a", 2)] and position == 0
-    assert buffers == {"a": [(3, 4, 1)], "b": [(4, 100, 0), (5, 3, 0)]}
+def plain_selection(buffers, steps, budget, position):
+    """Run after run, sample after sample."""
+    queues, names, taken, used = {r: list(b) for r, b in buffers.items()}, list(buffers), [], 0
+    for _ in range(len(names) + 1):
+        ready = [k for k in ((position + d) % len(names) for d in range(len(names))) if queues[names[k]] and queues[names[k]][0][2] <= steps[names[k]]]
+        if used >= budget or not ready:
+            return taken, position
+        run, position = names[ready[0]], (ready[0] + 1) % len(names)
+        while queues[run] and queues[run][0][2] <= steps[run]:
+            sample, tokens, _ = queues[run][0]
+            if used and used + tokens > budget:
+                return taken, position
+            queues[run].pop(0)
+            if used + tokens <= budget:
+                taken.append((run, sample))
+                used += tokens
+    return taken, position
+
+
+def test_round_robin(spark):
+    cases = [({"a": [(1, 4, 0), (2, 4, 0), (3, 4, 1)], "b": [(4, 100, 0), (5, 3, 0)]}, 12, 0)]
+    rng = random.Random(4)
+    for _ in range(12):
+        at = iter(range(1000))
+        cases.append(({r: [(next(at), rng.choice([2, 3, 5, 30]), rng.choice([0, 0, 0, 1])) for _ in range(rng.randrange(5))] for r in "abc"}, rng.choice([4, 9, 16]), rng.randrange(3)))
+    for buffers, budget, position in cases:
+        steps = {r: 0 for r in buffers}
+        rows = [(r, n, s, t, k) for r, b in buffers.items() for n, (s, t, k) in enumerate(b)]
+        samples = spark.createDataFrame(rows, "run string, arrival long, sample long, tokens long, step long")
+        runs = spark.createDataFrame([(r, n, steps[r]) for n, r in enumerate(buffers)], "run string, place long, current_step long")
+        want, after = plain_selection(buffers, steps, budget, position)
+        got, place = round_robin_selection(samples, runs, budget, position)
+        assert [(r["run"], r["sample"]) for r in got.orderBy("used", "sample").collect()] == want
+        assert place == after or not any(t <= budget for b in buffers.values() for _, t, k in b if not k)
+
+
+def plain_fit(items, capacity):
+    bins, free, kinds = [], [], []
+    for i in sorted(range(len(items)), key=lambda i: -items[i][0]):
+        length, kind, alone = items[i]
+        at = None if alone else next((b for b in range(len(bins)) if kinds[b] == kind and free[b] >= length), None)
+        if at is None:
+            bins.append([])
+            free.append(capacity)
+            kinds.append(("alone", i) if alone else kind)
+            at = len(bins) - 1
+        bins[at].append(i)
+        free[at] -= length
+    return bins
+
+
+def test_first_fit_and_swaps_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        items = [(rng.randrange(1, 20), rng.choice("ab"), rng.random() < 0.1) for _ in range(rng.randrange(40))]
+        assert first_fit_decreasing(items, 20) == plain_fit(items, 20)
+        parts = rng.randrange(1, 5)
+        weights = [rng.randrange(1, 50) for _ in range(parts * rng.randrange(1, 6))]
+        groups = balanced(weights, parts)
+        assert sorted(i for g in groups for i in g) == list(range(len(weights))) and len({len(g) for g in groups}) == 1
+        loads = [sum(weights[i] for i in g) for g in groups]
+        now = (max(loads), max(loads) - min(loads))
+        for a in range(parts):
+            for b in range(a + 1, parts):
+                for x in groups[a]:
+                    for y in groups[b]:
+                        after = list(loads)
+                        after[a] += weights[y] - weights[x]
+                        after[b] -= weights[y] - weights[x]
+                        assert (max(after), max(after) - min(after)) >= now
+
+
+def test_walks_keep_null_keys_together(spark):
+    df = spark.createDataFrame([(None, i, i, 5) for i in range(4)] + [(7, i, 10 + i, 4) for i in range(4)], "run long, sample_id long, arrival long, length int")
+    rows = cat_packs(df, 8, ["run"], "arrival").orderBy("run", "pack", "start").collect()
+    assert [(r["run"], r["pack"], r["sample_id"]) for r in rows] == [(None, 0, 0), (None, 0, 1), (None, 1, 2), (None, 1, 3), (7, 0, 0), (7, 0, 1), (7, 1, 2), (7, 1, 3)]
 
 
 @pytest.mark.parametrize("ids, bounds, longest", [(range(8), [0, 8], 8), (range(8, 16), [0, 8], 8), ([0, 1, 2, 3, 0, 1, 2], [0, 4, 7], 4), ([5, 6, 7, 0, 1, 2], [0, 3, 6], 3)])
