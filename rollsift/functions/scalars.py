@@ -106,3 +106,9 @@ def problem_id(example_id, sample_id) -> Column:
 def training_label(kind, lora_rank) -> Column:
     """Label of a training type: its name, with the adapter's rank if it has one."""
     return F.when(_c(lora_rank).isNull(), F.concat(F.upper(_c(kind)), F.lit(" Full"))).otherwise(F.concat(F.upper(_c(kind)), F.lit(" LoRA(r="), _c(lora_rank).cast("string"), F.lit(")")))
+
+
+def utc_stamp(epoch_seconds) -> Column:
+    """Seconds since 1970 as UTC text with a Z, whatever the session's time zone."""
+    at = F.timestamp_seconds(_c(epoch_seconds).cast("long"))
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

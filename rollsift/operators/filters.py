@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Defaults of the filters.
 TOKEN_ID_THRESHOLD = 100_000
@@ -179,3 +183,47 @@ def io_row(df: DataFrame, raw: str, drop: list[str] = ("samples",), rename: dict
     names = {c: rename.get(c, c) for c in typed}
     fields = [f.name for f in df.schema[raw].dataType.fields if f.name not in names.values()]
     return df.select(*[F.col(f"{raw}.{f}").alias(f) for f in fields], *[F.col(c).alias(n) for c, n in names.items()])
+
+
+def finite_json(df: DataFrame, column: str, out: str = "finite", dropped: str = "dropped") -> DataFrame:
+    """JSON text without the numbers that aren't finite, at any depth, and the paths of those: ``a.b[2]``, places as
+    in the text before. Null and unreadable text stay as they are, with no paths."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(dropped, T.ArrayType(T.StringType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pairs = [_finite(x) for x in frame[column]]
+            yield frame.assign(**{out: [p[0] for p in pairs], dropped: [p[1] for p in pairs]})
+
+    return df.mapInPandas(run, schema)
+
+
+def _finite(text: str | None) -> tuple[str | None, list[str]]:
+    if text is None:
+        return None, []
+    try:
+        root = [json.loads(text)]
+    except ValueError:
+        return text, []
+    paths: list[str] = []
+    # containers still to be gone through, each with its path; the root's own path is empty
+    todo: list[tuple[dict | list, str | None]] = [(root, None)]
+    while todo:
+        held, path = todo.pop()
+        children = list(held.items()) if isinstance(held, dict) else list(enumerate(held))
+        gone = []
+        for key, value in children:
+            if path is None:
+                at = ""
+            elif isinstance(held, dict):
+                at = f"{path}.{key}" if path else str(key)
+            else:
+                at = f"{path}[{key}]"
+            if isinstance(value, float) and not math.isfinite(value):
+                gone.append(key)
+                paths.append(at)
+            elif isinstance(value, dict | list):
+                todo.append((value, at))
+        for key in reversed(gone):
+            del held[key]
+    return (json.dumps(root[0]) if root else None), sorted(paths)

@@ -252,3 +252,30 @@ def streak_failures(df: DataFrame, order: str, empty: str, limit: int = 10, keys
     island = F.sum(F.when(F.col(empty), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
     marked = df.withColumn("_island", island).withColumn("_run", F.sum(F.col(empty).cast("int")).over(W.partitionBy(*keys, "_island").orderBy(order)))
     return marked.where(F.col(empty) & (F.col("_run") >= limit)).drop("_island", "_run")
+
+
+def pre_filter_rates(df: DataFrame, names: list[str], hits: str = "filter_results", dropped: str = "is_filtered") -> DataFrame:
+    """One row over all rollouts that the filter before batching has seen: how many, the share it dropped, and for each
+    filter the share that it hit among those."""
+    gone = F.coalesce(F.col(dropped), F.lit(False))
+    hit = lambda n: gone & F.coalesce(F.try_element_at(F.col(hits), F.lit(n)), F.lit(False))
+    return df.agg(F.count("*").alias("seen"), F.avg(gone.cast("double")).alias("dropped_rate"), *[F.avg(hit(n).cast("double")).alias(f"{n}_rate") for n in names])
+
+
+def routing_confidence(scores, k: int) -> Column:
+    """Share of a token's routing scores that its k best experts hold; null without scores."""
+    s = F.col(scores) if isinstance(scores, str) else scores
+    add = lambda acc, x: acc + x.cast("double")
+    whole = F.aggregate(s, F.lit(0.0), add)
+    return F.when(whole != 0, F.aggregate(F.slice(F.sort_array(s, asc=False), 1, k), F.lit(0.0), add) / whole)
+
+
+def utilisation(tokens_a_second, flops_a_token: float, peak_flops: float, devices: int = 1) -> Column:
+    """Percent of the devices' peak that the training work takes."""
+    t = F.col(tokens_a_second) if isinstance(tokens_a_second, str) else tokens_a_second
+    return t * F.lit(100.0 * flops_a_token / (peak_flops * devices))
+
+
+def stale_labels(before: DataFrame, now: DataFrame, label: str = "run_id") -> DataFrame:
+    """Labels whose gauges are to be taken off: they had a row and have none now."""
+    return before.select(label).distinct().join(now.select(label), label, "left_anti")

@@ -22,7 +22,8 @@ def least_loaded(df: DataFrame, keys: list[str], client: str = "client", load: s
 
 def oldest_step(df: DataFrame, run: str = "run_id", step: str = "step") -> DataFrame:
     """Rows of each run's oldest pending step."""
-    return df.withColumn("_oldest", F.min(step).over(W.partitionBy(run))).where(F.col(step) == F.col("_oldest")).drop("_oldest")
+    oldest = df.groupBy(run).agg(F.min(step).alias(step))
+    return df.join(oldest, [run, step], "left_semi")
 
 
 def longest_prefix(queries: DataFrame, prefixes: DataFrame, key: str, query: str = "ids", prefix: str = "prefix", order: str = "prefix_id") -> DataFrame:

@@ -66,3 +66,25 @@ def to_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 def merged_columns(required: list[str], extra: list[str]) -> list[str]:
     """State columns, required ones first, each once."""
     return list(dict.fromkeys([*required, *extra]))
+
+
+def concatenated_items(df: DataFrame, keys: list[str], order: str, items: str = "items") -> DataFrame:
+    """Each key's lists one after the other in the order of their rows; equal items stay as often as they come."""
+    rows = F.array_sort(F.collect_list(F.struct(order, F.coalesce(items, F.array().cast(df.schema[items].dataType)).alias(items))))
+    return df.groupBy(*keys).agg(F.flatten(F.transform(rows, field(items))).alias(items))
+
+
+def discovered_runs(paths: DataFrame, evicted: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """Names of the folders ``run_*`` directly under the output folder, but for evicted ones."""
+    found = paths.select(F.regexp_extract(path, r"(?:^|/)(run_[^/]+)(?:/|$)", 1).alias("run_id")).where("run_id <> ''").distinct()
+    return found if evicted is None else found.join(evicted.select("run_id"), "run_id", "left_anti")
+
+
+def with_markers(expected: DataFrame, arrived: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
+    """Arrived rows, and for each expected member that has none a row with an error, so that groups always complete.
+
+    expected: keys and ``cancelled``. A member is marked once, however often it is expected or comes."""
+    asked = expected.groupBy(*keys).agg(F.max("cancelled").alias("cancelled"))
+    missing = asked.join(arrived.select(*keys).distinct(), keys, "left_anti")
+    marks = missing.withColumn(error, F.when(F.col("cancelled"), F.lit("Cancelled")).otherwise(F.lit("EmptyTrajectory"))).drop("cancelled")
+    return arrived.unionByName(marks, allowMissingColumns=True)

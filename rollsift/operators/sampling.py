@@ -154,3 +154,12 @@ def evaluation_fires(step: Column, interval: Column, first_step: int, skip_first
 def round_robin(df: DataFrame, source: str, order: str) -> DataFrame:
     """``turn`` and ``source``: A1, B1, A2, ...; sources that have ended are skipped."""
     return df.withColumn("turn", F.row_number().over(W.partitionBy(source).orderBy(order)))
+
+
+def resumed(df: DataFrame, step: int, index: str = "__index") -> DataFrame:
+    """What a reader that has given ``step`` rows gives next in its epoch: rows from there on, with epoch and step."""
+    n = df.agg(F.max(index)).first()[0]
+    if n is None:
+        return df.withColumn("epoch", F.lit(0).cast("long")).withColumn("step", F.lit(0).cast("long"))
+    epoch, at = divmod(step, int(n) + 1)
+    return df.where(F.col(index) >= at).withColumn("epoch", F.lit(epoch).cast("long")).withColumn("step", (F.col(index) + epoch * (int(n) + 1) + 1).cast("long"))

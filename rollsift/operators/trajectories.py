@@ -75,3 +75,47 @@ def interleaved(df: DataFrame, keep: tuple[str, ...] = ("rollout_id",), steps: s
             yield pd.DataFrame(rows, columns=schema.names)
 
     return picked.mapInPandas(run, schema)
+
+
+def stitched_routes(steps: list[dict]) -> list[list | None]:
+    """The expert rows of each step's whole sequence (prompt and completion), from payloads that begin where an earlier
+    step's sequence had none left.
+
+    A payload that starts at s > 0 needs an earlier sequence of s + 1 tokens, all at the start of the prompt; of several
+    the first counts, and its rows before s come first. The row at s is the payload's own: a sequence's last token had
+    none yet. Rows beyond the sequence go, missing ones are zero. None for a step without payload."""
+    known: dict[tuple, list] = {}
+    out: list[list | None] = []
+    for s in steps:
+        routed, start = s["routed"], s["routed_start"]
+        if routed is None:
+            out.append(None)
+            continue
+        whole = (*s["prompt_ids"], *s["completion_ids"])
+        rows = [list(r) for r in routed]
+        if start:
+            before = known.get(tuple(s["prompt_ids"][: start + 1])) if len(s["prompt_ids"]) > start else None
+            if before is None or len(before) < start:
+                raise ValueError(f"no earlier sequence gives the {start} rows before a payload")
+            rows = before[:start] + rows
+        known.setdefault(whole, rows)
+        width = len(rows[0]) if rows else 0
+        out.append((rows + [[0] * width] * (len(whole) - len(rows)))[: len(whole)])
+    return out
+
+
+def routed(df: DataFrame, keep: tuple[str, ...] = ("rollout_id",), steps: str = "steps") -> DataFrame:
+    """keep, step (from 0) and the rows of its whole sequence. steps: structs with prompt_ids, completion_ids, routed
+    (array of arrays of experts, or null) and routed_start."""
+    picked = df.select(*keep, steps)
+    schema = T.StructType([*picked.schema.fields[: len(keep)], *T._parse_datatype_string("step int, routed array<array<int>>").fields])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples(index=False, name=None):
+                held = [] if row[-1] is None else [s if isinstance(s, dict) else s.asDict() for s in row[-1]]
+                rows += [(*row[:-1], k, r) for k, r in enumerate(stitched_routes(held))]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return picked.mapInPandas(run, schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ALIGNED = [
@@ -119,7 +118,8 @@ def pending_batches(batches: DataFrame, runs: DataFrame) -> DataFrame:
 
 def oldest_pending(messages: DataFrame, sender: str = "sender", step: str = "step") -> DataFrame:
     """Buffered messages of each sender's oldest step."""
-    return messages.withColumn("_oldest", F.min(step).over(W.partitionBy(sender))).where(F.col(step) == F.col("_oldest")).drop("_oldest")
+    oldest = messages.groupBy(sender).agg(F.min(step).alias(step))
+    return messages.join(oldest, [sender, step], "left_semi")
 
 
 def for_rank(micro_batches: DataFrame, rank: int, column: str = "worker") -> DataFrame:

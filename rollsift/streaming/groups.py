@@ -74,3 +74,15 @@ def lead_gate(step, version, lead: int = 1):
 def gauges(progress: list[dict]) -> list[tuple[str, int, float]]:
     """(query, batch, input rows a second) of progress records, for periodic logs."""
     return [(p["name"] or p["id"], p["batchId"], float(p.get("inputRowsPerSecond") or 0.0)) for p in progress]
+
+
+def sink(df: DataFrame, group_size: int, batch_size: int, before, after, group: str = "group_id", order: str = "arrival", env: tuple[str, ...] = ()) -> DataFrame:
+    """Rollouts to groups to batches: whole groups, filters that drop, full batches of what is left, filters that mark.
+
+    before, after: functions of a frame that add ``is_filtered``. The result has batch_id and the marks of the second
+    one; ``shipped`` are the rows that it doesn't mark."""
+    from rollsift.operators.ordering import batches_of
+
+    whole = before(finished_groups(df, group_size, group, order))
+    left = whole.where(~F.coalesce("is_filtered", F.lit(False))).drop("is_filtered")
+    return after(batches_of(left, batch_size, order, list(env))).withColumn("shipped", ~F.coalesce("is_filtered", F.lit(False)))
