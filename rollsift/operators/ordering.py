@@ -27,10 +27,15 @@ def oldest_step(df: DataFrame, run: str = "run_id", step: str = "step") -> DataF
 
 
 def longest_prefix(queries: DataFrame, prefixes: DataFrame, key: str, query: str = "ids", prefix: str = "prefix", order: str = "prefix_id") -> DataFrame:
-    """For each query of a key the longest of the key's prefixes that it starts with; ties go to the first."""
-    pairs = queries.join(prefixes, key).where(F.slice(F.col(query), F.lit(1), F.size(prefix)) == F.col(prefix))
+    """For each query of a key the longest of the key's prefixes that it starts with; ties go to the first.
+
+    Equal prefixes are one. A query asks once for each length that its key's prefixes have, by the hash of its start,
+    so that it meets equal prefixes only, however many begin alike."""
+    unique = prefixes.groupBy(key, F.col(prefix).alias("_prefix")).agg(F.min(order).alias(order)).select(key, F.size("_prefix").alias("_n"), F.xxhash64("_prefix").alias("_start"), "_prefix", order)
+    asked = queries.join(prefixes.select(key, F.size(prefix).alias("_n")).distinct(), key).where(F.col("_n") <= F.size(query)).withColumn("_start", F.xxhash64(F.slice(query, F.lit(1), F.col("_n"))))
+    pairs = asked.join(unique, [key, "_n", "_start"]).where(F.slice(F.col(query), F.lit(1), F.col("_n")) == F.col("_prefix"))
     rest = [c for c in queries.columns if c != key]
-    return pairs.groupBy(key, *rest).agg(F.max_by(order, F.struct(F.size(prefix), -F.col(order))).alias(order))
+    return pairs.groupBy(key, *rest).agg(F.max_by(order, F.struct("_n")).alias(order))
 
 
 def batches_of(df: DataFrame, size: int, order: str, keys: list[str], out: str = "batch_id") -> DataFrame:

@@ -204,8 +204,8 @@ def t10_top_experts(spark, sf_dir):
 
 
 @query("""SELECT doc_id, left(sha256(text), 16) AS hash, CASE WHEN n_chars < 1000 THEN printf('%.2f', n_chars::DOUBLE) ELSE printf('%.2f', floor(n_chars / 10.0 + 0.5) / 100) || 'K' END AS short,
-    CASE WHEN n_chars >= 3600 THEN (n_chars // 3600) || 'h ' || (n_chars // 60 % 60) || 'm' WHEN n_chars >= 60 THEN (n_chars // 60) || 'm ' || (n_chars % 60) || 's' ELSE printf('%.2fs', n_chars::DOUBLE) END AS duration,
-    CASE WHEN starts_with(source, 'src1') THEN source[5:] ELSE source END AS cut FROM documents WHERE n_chars BETWEEN 1 AND 80000""")
+    CASE WHEN n_chars >= 86400 THEN (n_chars // 86400) || 'd ' || (n_chars // 3600 % 24) || 'h' WHEN n_chars >= 3600 THEN (n_chars // 3600) || 'h ' || (n_chars // 60 % 60) || 'm' WHEN n_chars >= 60 THEN (n_chars // 60) || 'm ' || (n_chars % 60) || 's' WHEN n_chars >= 1 THEN printf('%.2fs', n_chars::DOUBLE) WHEN n_chars IS NOT NULL THEN printf('%.0fms', n_chars * 1000.0) END AS duration,
+    CASE WHEN starts_with(source, 'src1') THEN source[5:] ELSE source END AS cut FROM documents""")
 def s8_text_functions(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     return d.select("doc_id", sc.content_hash("text").alias("hash"), sc.format_number("n_chars").alias("short"), sc.format_seconds("n_chars").alias("duration"), sc.remove_prefix("source", "src1").alias("cut"))

@@ -42,13 +42,13 @@ def j7_paired_by_position(spark, sf_dir):
     return rl.paired_by_position(r.select("step", "rollout_id"), right, ["step"], "rollout_id", "o").select("step", "rollout_id", "teacher")
 
 
-@query("""WITH p AS (SELECT doc_id, string_split(left(text, 60), ' ') AS ids FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id AS prefix_id, ids[1:1 + doc_id % 3] AS prefix FROM p WHERE doc_id % 5 = 0),
+@query("""WITH p AS (SELECT doc_id, string_split(text, ' ')[1:3] AS ids FROM documents WHERE text IS NOT NULL), q AS (SELECT min(doc_id) AS prefix_id, ids[1:1 + doc_id % 3] AS prefix FROM p GROUP BY 2),
     m AS (SELECT p.doc_id, q.prefix_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY len(q.prefix) DESC, q.prefix_id) AS r FROM p JOIN q ON p.ids[1] = q.prefix[1] AND p.ids[1:len(q.prefix)] = q.prefix)
     SELECT doc_id, prefix_id FROM m WHERE r = 1""")
 def j9_longest_prefix(spark, sf_dir):
     # a prefix has three words at most: later words never decide, so they aren't moved
     d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.slice(F.split("text", " "), 1, 3).alias("ids")).withColumn("head", F.element_at("ids", 1))
-    prefixes = d.where("doc_id % 5 = 0").select("head", F.col("doc_id").alias("prefix_id"), F.slice("ids", F.lit(1), (1 + F.col("doc_id") % 3).cast("int")).alias("prefix"))
+    prefixes = d.select("head", F.col("doc_id").alias("prefix_id"), F.slice("ids", F.lit(1), (1 + F.col("doc_id") % 3).cast("int")).alias("prefix"))
     return od.longest_prefix(d, prefixes, "head").select("doc_id", "prefix_id")
 
 

@@ -27,11 +27,21 @@ def w3_histogram_average(spark, sf_dir):
     return ts.histogram_average(renamed, "wait", ["role"])
 
 
-@query()
+@query(f"""WITH {SCRAPES}, two AS (SELECT 'agg' AS scope, * FROM scrapes UNION ALL SELECT role, * FROM scrapes),
+    e AS (SELECT endpoint, role, ts, sum(value) FILTER (metric = 'signup') AS p, sum(value) FILTER (metric = 'error') AS g, sum(value) FILTER (metric = 'purchase') AS c FROM scrapes WHERE metric IN ('signup', 'error', 'purchase') GROUP BY ALL),
+    d AS (SELECT role, ts, p - lag(p) OVER w AS dp, g - lag(g) OVER w AS dg, c - lag(c) OVER w AS dc, ts - lag(ts) OVER w AS dt FROM e WINDOW w AS (PARTITION BY endpoint ORDER BY ts)),
+    r AS (SELECT scope, ts, sum(dp / dt) FILTER (dp >= 0 AND dt > 0) AS p, sum(dg / dt) FILTER (dg >= 0 AND dt > 0) AS g, sum(dc / dt) FILTER (dc >= 0 AND dt > 0) AS c FROM (SELECT 'agg' AS scope, * FROM d UNION ALL SELECT role, * FROM d) GROUP BY ALL),
+    m AS (SELECT scope, ts, coalesce(sum(value) FILTER (metric = 'view'), 0)::DOUBLE AS running, coalesce(sum(value) FILTER (metric = 'click'), 0)::DOUBLE AS waiting,
+        max(value) FILTER (metric = 'view') AS rmax, avg(value) FILTER (metric = 'view') AS ravg, max(value) FILTER (metric = 'click') AS wmax, avg(value) FILTER (metric = 'click') AS wavg FROM two WHERE metric IN ('view', 'click') GROUP BY ALL)
+    SELECT scope, ts, running AS running_requests, waiting AS waiting_requests, CASE WHEN running IS NOT NULL THEN round(coalesce((rmax - ravg) / nullif(ravg, 0), 0), 6) + 0 END AS running_imbalance,
+        CASE WHEN running IS NOT NULL THEN round(coalesce((wmax - wavg) / nullif(wavg, 0), 0), 6) + 0 END AS waiting_imbalance, NULL::DOUBLE AS kv_cache_usage_mean, NULL::DOUBLE AS kv_cache_usage_max, NULL::DOUBLE AS prefix_cache_hit_rate,
+        round(CASE scope WHEN 'prefill' THEN p WHEN 'decode' THEN g ELSE coalesce(p + g, p, g) END, 6) + 0 AS throughput, NULL::DOUBLE AS avg_time_seconds, round(c, 6) + 0 AS completed_requests
+    FROM m FULL JOIN r USING (scope, ts)""")
 def w4_scope_metrics(spark, sf_dir):
     names = {"view": "running_requests", "click": "waiting_requests", "signup": "prompt_tokens_total", "error": "generation_tokens_total", "purchase": "request_success_total"}
     df = scrapes(spark, sf_dir).replace(names, subset=["metric"]).withColumn("value", F.col("value").cast("double"))
-    return ts.scope_metrics(df)
+    rounded = ("running_imbalance", "waiting_imbalance", "throughput", "completed_requests")
+    return ts.scope_metrics(df).withColumns({c: tidy(c, 6) for c in rounded})
 
 
 @query(f"""WITH {SCRAPES}, g AS (SELECT ts, metric, sum(value)::DOUBLE AS value FROM scrapes GROUP BY ALL), a AS (SELECT ts, metric, CASE WHEN ts % 30 <> 0 THEN value END AS value FROM g),
