@@ -4,8 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
 
-Edge cases, beside those of the operators: rows without id pass the stages that
-join on ids; rows that share an id are one document and stay or go together.
+Edge cases, beside those of the operators: an empty table gives empty stages;
+rows without id pass the stages that join on ids; rows that share an id are one
+document and stay or go together where near duplicates are sought; of a group
+of equal texts the smallest id stays; null, empty and very long texts are
+decided on like any other; columns that a table has beside its own stay, whatever
+their names.
 """
 
 from __future__ import annotations
