@@ -48,8 +48,8 @@ from rollsift.llm.common import chunks, discard, give_back, materialise, spread_
 from rollsift.llm.graphs import components
 from rollsift.llm.words import mix, words_of
 
-#: Elements of the sets of a tile; a cell multiplies two tiles.
-TILE_ELEMENTS = 200_000
+#: Elements and rows of the sets of a tile at most, as dealt by hash; a cell multiplies two tiles.
+TILE_ELEMENTS, TILE_ROWS = 200_000, 96
 #: Elements of a tile that is multiplied with one row only: its work is linear, so small tiles cost little.
 STAR_ELEMENTS = 10_000
 #: Parts of the hash space that are exchanged one after another.
@@ -271,8 +271,8 @@ def spanning(links: np.ndarray) -> np.ndarray:
     return links[keep]
 
 
-def tiles(elements: Column, size: int) -> Column:
-    return F.greatest(F.ceil(elements / size).cast("int"), F.lit(1))
+def tiles(amount: Column, size: int) -> Column:
+    return F.greatest(F.ceil(amount / size).cast("int"), F.lit(1))
 
 
 def _stars(sets: list[np.ndarray], cell: np.ndarray, center: np.ndarray) -> np.ndarray:
@@ -555,7 +555,7 @@ def _family_cells(nodes: DataFrame, percent: int) -> DataFrame:
     by_component = nodes.groupBy("family", "component").agg(F.sum("n").alias("n"))
     main = by_component.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several")).where("several > 1")
     dealt = spread_join(nodes, main.select("family", "main"), "family", "node").withColumn("is_main", F.col("component") == F.col("main"))
-    strata = dealt.groupBy("family", "is_main", "class").agg(tiles(F.sum("n"), TILE_ELEMENTS).alias("parts"))
+    strata = dealt.groupBy("family", "is_main", "class").agg(F.greatest(tiles(F.sum("n"), TILE_ELEMENTS), tiles(F.count("*"), TILE_ROWS)).alias("parts"))
     name = 2 * F.col("class") + F.col("is_main").cast("int")
     strata = strata.select("family", name.alias("stratum"), "parts")
     other = strata.select("family", F.col("stratum").alias("other"), F.col("parts").alias("other_parts"))
