@@ -59,26 +59,58 @@ def interleave(frames: list[DataFrame], index: str = "__index", until: str = "fi
     return out
 
 
-def interleave_by_probability(frames: list[DataFrame], probabilities: list[float], draws: int, seed: int = 0, index: str = "__index") -> DataFrame:
-    """``draws`` places; each picks a dataset by its probability and takes that dataset's next row, wrapping around."""
+def interleave_by_probability(frames: list[DataFrame], probabilities: list[float], draws: int | None = None, seed: int = 0, index: str = "__index", until: str = "first_exhausted") -> DataFrame:
+    """Each place picks a dataset by its probability and takes that dataset's next row, wrapping around.
+
+    It ends after ``draws`` places, or without them with the place that takes the last row of the first dataset to end,
+    or of the last one (``all_exhausted``). A dataset without rows gives no places, as in ``interleave``."""
     spark = frames[0].sparkSession
-    picks = weighted_schedule(spark, [(str(i), p) for i, p in enumerate(probabilities)], draws, seed)
+    sizes = [f.count() for f in frames]
+    if not all(sizes):
+        return frames[0].limit(0).withColumn("__place", F.lit(0).cast("long"))
+    weights = [(str(i), p) for i, p in enumerate(probabilities)]
+    if draws is None:
+        draws = draws_until(spark, weights, sizes, until, seed)
+    picks = weighted_schedule(spark, weights, draws, seed)
     out = None
-    for d, f in enumerate(frames):
-        n = f.count()
+    for d, (f, n) in enumerate(zip(frames, sizes, strict=True)):
         wanted = picks.where(F.col("source") == str(d)).select(F.col("draw").alias("__place"), (F.col("position") % n).alias(index))
         rows = f.join(wanted, index)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def draws_until(spark: SparkSession, weights: list[tuple[str, float]], sizes: list[int], until: str = "first_exhausted", seed: int = 0) -> int:
+    """Draws after which the first source, or every one, has been drawn as often as its size.
+
+    The schedule doesn't depend on its length, so a guess that is too short is doubled; a number a source is collected."""
+    total = sum(w for _, w in weights)
+    expected = [n * total / w for (_, w), n in zip(weights, sizes, strict=True) if w > 0]
+    every = until == "all_exhausted"
+    if not expected or every and len(expected) < len(weights):
+        raise ValueError("a source of no weight is never exhausted")
+    guess = int(1.1 * (max if every else min)(expected)) + 100
+    last = F.create_map(*[F.lit(x) for (name, _), n in zip(weights, sizes, strict=True) for x in (name, n - 1)])
+    while True:
+        ends = [r["draw"] for r in weighted_schedule(spark, weights, guess, seed).where(F.col("position") == F.try_element_at(last, F.col("source"))).select("draw").collect()]
+        if len(ends) == len(weights) or ends and not every:
+            return (max if every else min)(ends) + 1
+        guess *= 2
+
+
 def uniform(*key: Column, seed: int = 0) -> Column:
     """A number in [0, 1) from a hash of the key."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") / F.lit(float(1 << 53))
 
 
+#: Draws of a block of the schedule, as a power of two.
+BLOCK_BITS = 16
+
+
 def weighted_schedule(spark: SparkSession, weights: list[tuple[str, float]], draws: int, seed: int = 0) -> DataFrame:
-    """(draw, source, position): sources with replacement by weight; position counts a source's draws."""
+    """(draw, source, position): sources with replacement by weight; position counts a source's draws.
+
+    Ranks are taken inside blocks of draws and moved by the blocks' counts: no task holds all draws of a source."""
     total = sum(w for _, w in weights)
     u, case, acc = F.col("_u"), F.lit(weights[-1][0]), 0.0
     bounds = []
@@ -88,7 +120,12 @@ def weighted_schedule(spark: SparkSession, weights: list[tuple[str, float]], dra
     for name, upper in reversed(bounds[:-1]):
         case = F.when(u < upper, F.lit(name)).otherwise(case)
     picked = spark.range(draws).withColumnRenamed("id", "draw").withColumn("_u", uniform(F.col("draw"), seed=seed)).withColumn("source", case).drop("_u")
-    return picked.withColumn("position", F.row_number().over(W.partitionBy("source").orderBy("draw")).cast("long") - 1)
+    picked = picked.withColumn("_block", F.shiftright("draw", BLOCK_BITS))
+    counts = picked.groupBy("source", "_block").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select("source", "_block", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    ranked = picked.withColumn("_at", F.row_number().over(W.partitionBy("source", "_block").orderBy("draw")) - 1)
+    return ranked.join(before, ["source", "_block"]).select("draw", "source", (F.col("_before") + F.col("_at")).alias("position"))
 
 
 def scheduled_examples(schedule: DataFrame, datasets: DataFrame, source: str = "env_name", key: str = "example_id", seed: int = 0) -> DataFrame:

@@ -116,14 +116,14 @@ def o4_interleave_first(spark, sf_dir):
 def o1_weighted_schedule(spark, sf_dir):
     data = read(spark, sf_dir, "part").select(F.col("p_type").alias("env_name"), F.col("p_partkey").alias("example_id"))
     weights = [(r[0], float(r[1])) for r in data.groupBy("env_name").count().orderBy("env_name").collect()]  # a number a source
-    return sp.scheduled_examples(sp.weighted_schedule(spark, weights, 5000, 3), data, seed=3)
+    return sp.scheduled_examples(sp.weighted_schedule(spark, weights, data.count(), 3), data, seed=3)
 
 
 @query()
 def o5_interleave_by_probability(spark, sf_dir):
     a = sp.dense_index(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k", "__index")
     b = sp.dense_index(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k", "__index")
-    return sp.interleave_by_probability([a, b], [0.8, 0.2], 2000, 5).select("__place", "k")
+    return sp.interleave_by_probability([a, b], [0.8, 0.2], seed=5, until="all_exhausted").select("__place", "k")
 
 
 @query("SELECT s AS step, i AS every, CASE WHEN s = 0 THEN false ELSE s % i = 0 END AS fires FROM (SELECT unnest(range(100)) AS s), (VALUES (3), (10)) t(i)")

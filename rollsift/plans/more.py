@@ -14,11 +14,12 @@ from rollsift.operators import ordering as od
 from rollsift.operators import relations as rl
 from rollsift.operators import sampling as sp
 from rollsift.operators import trajectories as tj
+from rollsift.operators.advantage import custom_advantage
 from rollsift.plans.queries import query
 from rollsift.plans.views import ROLLOUTS, SEQUENCES, read, rollouts, sequences, tidy
 from rollsift.sources import readers as rd
 from rollsift.sources import writers as wr
-from rollsift.streaming.groups import sink
+from rollsift.streaming.groups import lead_gate, sink
 
 
 @query(f"""WITH {ROLLOUTS} SELECT rollout_id, CASE WHEN error IS NULL AND cents % 3 = 0 THEN 'EmptyTrajectory' ELSE error END AS error FROM rollouts""")
@@ -256,3 +257,56 @@ def s9_for_rank(spark, sf_dir):
 @query("SELECT n_nationkey, [x FOR x IN [1, 2, 4, 8, 16, 32] IF x <= n_nationkey] AS powers FROM nation")
 def f_powers(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", F.transform(ar.powers_of_two("n_nationkey"), lambda x: x.cast("int")).alias("powers"))
+
+
+def _ids_text(ids):
+    return F.concat_ws(",", F.transform(ids, lambda x: x.cast("string")))
+
+
+@query(f"""WITH {SEQUENCES}, g AS (SELECT id, unnest(range(1, 5)) AS i FROM (SELECT DISTINCT id FROM places) d)
+    SELECT g.id, string_agg(coalesce(p.token, 0)::VARCHAR, ',' ORDER BY g.i) AS ids FROM g LEFT JOIN places p ON p.id = g.id AND p.pos = g.i GROUP BY g.id""")
+def f_align_length(spark, sf_dir):
+    ids = F.transform("xs", lambda x: x["token"])
+    return sequences(spark, sf_dir).select("id", _ids_text(ar.align_length(ids, 4, F.lit(0).cast("long"))).alias("ids"))
+
+
+@query(f"""WITH {SEQUENCES}, k AS (SELECT *, token % 5 = 0 AS hit FROM places)
+    SELECT id, coalesce(string_agg(token::VARCHAR, ',' ORDER BY pos) FILTER (hit), string_agg(supp::VARCHAR, ',' ORDER BY pos)) AS ids FROM k GROUP BY id""")
+def f_first_non_empty(spark, sf_dir):
+    hits = F.filter(F.transform("xs", lambda x: x["token"]), lambda t: t % 5 == 0)
+    return sequences(spark, sf_dir).select("id", _ids_text(ar.first_non_empty(F.lit(None).cast("array<bigint>"), hits, F.transform("xs", lambda x: x["supp"]))).alias("ids"))
+
+
+@query(f"""WITH {SEQUENCES}, e AS (SELECT id, max(q) FILTER (pos = 1) AS head, max(q) FILTER (pos = size) AS tail FROM places GROUP BY id)
+    SELECT id, round(2.5 * head / (head + tail), 6) + 0.0 AS head_weight, round(2.5 * tail / (head + tail), 6) + 0.0 AS tail_weight FROM e""")
+def t10_normalised_weights(spark, sf_dir):
+    scores = F.transform("xs", lambda x: x["q"])
+    w = od.normalised_weights(scores, F.array(F.lit(0), F.size("xs") - 1), 2.5)
+    return sequences(spark, sf_dir).select("id", tidy(w[0], 6).alias("head_weight"), tidy(w[1], 6).alias("tail_weight"))
+
+
+@query(f"""WITH {ROLLOUTS} SELECT rollout_id, concat_ws(',', CASE WHEN cents % 3 <> 0 THEN 'a' END, CASE WHEN cents % 5 <> 0 THEN 'b' END, CASE WHEN cents % 7 <> 0 THEN 'c' END) AS kept FROM rollouts""")
+def o19_finite_values(spark, sf_dir):
+    c = F.col("cents")
+    bad = lambda k, x: F.when(c % k == 0, F.lit(x).cast("double")).otherwise(c.cast("double"))
+    values = F.create_map(F.lit("a"), bad(3, "NaN"), F.lit("b"), bad(5, "-Infinity"), F.lit("c"), bad(7, None))
+    return rollouts(spark, sf_dir).select("rollout_id", F.concat_ws(",", F.map_keys(ar.drop_non_finite_values(values))).alias("kept"))
+
+
+@query(f"""WITH {ROLLOUTS} SELECT rollout_id, round(2 * (reward - avg(reward) OVER (PARTITION BY group_id)), 6) + 0.0 AS advantage FROM rollouts""")
+def a2_custom_advantage(spark, sf_dir):
+    r = rollouts(spark, sf_dir).select("rollout_id", "group_id", "reward")
+    return custom_advantage(r, lambda g: 2 * (g["reward"] - g["reward"].mean())).select("rollout_id", tidy(F.col("advantage"), 6).alias("advantage"))
+
+
+@query(f"""WITH {ROLLOUTS} SELECT rollout_id, step + 1 - policy_version > 3 AS paused FROM rollouts""")
+def x6_lead_gate(spark, sf_dir):
+    return rollouts(spark, sf_dir).select("rollout_id", lead_gate("step", "policy_version", 3).alias("paused"))
+
+
+@query(f"""WITH {SEQUENCES} SELECT id, round(sum(-d / 10.0) - (4 - count(*) % 4) % 4 * ln(128), 6) + 0.0 AS logprobs, round((4 - count(*) % 4) % 4 * ln(128), 6) + 0.0 AS entropy FROM places GROUP BY id""")
+def l7_uniform_pads(spark, sf_dir):
+    lp = F.transform("xs", lambda x: -x["d"] / 10.0)
+    none = F.transform("xs", lambda x: F.lit(0.0))
+    s = sequences(spark, sf_dir).select("id", ar.pad_to_multiple(lp, 4, ar.uniform_logprob_pad(128)).alias("lp"), ar.pad_to_multiple(none, 4, ar.uniform_entropy_pad(128)).alias("ent"))
+    return s.select("id", tidy(ar.total("lp"), 6).alias("logprobs"), tidy(ar.total("ent"), 6).alias("entropy"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from rollsift.functions import scalars as sc
 from rollsift.operators import batches as bt
 from rollsift.operators import filters as fl
+from rollsift.operators import sampling as sp
 from rollsift.operators import trajectories as tj
 from rollsift.plans import groups, queries
+from rollsift.sources import readers as rd
 from tests.test_golden import plain_fit
 
 SF = "/root/testdata/sf0.01"
@@ -155,3 +157,46 @@ def test_stamps_are_utc(spark):
         assert spark.range(1).select(sc.utc_stamp(F.lit(86399))).first()[0] == "1970-01-01T23:59:59Z"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_weighted_interleave(spark):
+    """Rows of each source in order, wrapping around, up to the place that exhausts the last source; blocks of draws don't show."""
+    n = [spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("customer", "supplier")]
+    weights = [("0", 0.8), ("1", 0.2)]
+    for until, stop in (("all_exhausted", all), ("first_exhausted", any)):
+        length = sp.draws_until(spark, weights, n, until, 5)
+        plan = [r["source"] for r in sp.weighted_schedule(spark, weights, length, 5).orderBy("draw").collect()]
+        at, ended = [0, 0], [False, False]
+        for k, source in enumerate(map(int, plan)):
+            assert not stop(ended), (until, k)
+            at[source] += 1
+            ended[source] |= at[source] % n[source] == 0
+        assert stop(ended) and len(plan) == length
+    length = sp.draws_until(spark, weights, n, "all_exhausted", 5)
+    got = {r["__place"]: r["k"] for r in queries.QUERIES["o5_interleave_by_probability"](spark, SF).collect()}
+    assert sorted(got) == list(range(length))
+    keys = [sorted(r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()) for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"))]
+    seen = [0, 0]
+    for r in sp.weighted_schedule(spark, weights, length, 5).orderBy("draw").collect():
+        s = int(r["source"])
+        assert r["position"] == seen[s] and got[r["draw"]] == keys[s][seen[s] % n[s]]
+        seen[s] += 1
+    with pytest.raises(ValueError):
+        sp.draws_until(spark, [("0", 1.0), ("1", 0.0)], [3, 3], "all_exhausted")
+
+
+def test_positions_across_blocks(spark, monkeypatch):
+    weights = [("a", 2.0), ("b", 1.0), ("c", 1.0)]
+    whole = sorted(tuple(r) for r in sp.weighted_schedule(spark, weights, 300, 2).collect())
+    monkeypatch.setattr(sp, "BLOCK_BITS", 4)
+    assert sorted(tuple(r) for r in sp.weighted_schedule(spark, weights, 300, 2).collect()) == whole
+
+
+def test_small_helpers(spark, tmp_path):
+    assert bt.attention_coefficients(8, 2, 1, 4, 16, 3, 10) == (3 * (2 * 8 * 4 * 6 + 6 * 8 * 16) + 2 * 8 * 10, 3 * 2 * 2 * 4)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "log.jsonl").write_text('{"level": "INFO", "message": "m", "step": 3, "progress": 0.5, "other": 1}\n{"message": "n"}\n')
+    listed = rd.listed_files(spark, str(tmp_path)).collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in listed] == ["log.jsonl"] and listed[0]["length"] > 50
+    entries = [(r["level"], r["message"], r["step"], r["progress"]) for r in rd.log_entries(spark, str(tmp_path / "deep")).orderBy("message").collect()]
+    assert entries == [("INFO", "m", 3, 0.5), (None, "n", None, None)]
