@@ -505,3 +505,21 @@ def test_top_k(spark):
     single = [(i, None if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert got == brute_top(single, 5, 50)
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_toxicity_blocks_do_not_show(monkeypatch):
+    """Scores are the same however the words are cut into blocks, at ends of texts and inside long ones."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 2, 3, 50, 0, 7, 200, 1, 1)]
+    ids, counts = toxicity.word_ids(pa.array(texts))
+    keys = np.unique(ids)[::2]
+    draw = lambda *shape: rng.normal(size=shape).astype(np.float32)
+    sizes = toxicity.FILTERS
+    net = toxicity.Network(keys, draw(len(keys) + 1, 16), {w: draw(w, 16, k) for w, k in sizes.items()}, {w: draw(k) for w, k in sizes.items()}, {w: draw(k) for w, k in sizes.items()}, 0.5).freeze()
+    whole = net.log_odds(ids, counts)
+    alone = [net.log_odds(*toxicity.word_ids(pa.array([t])))[0] for t in texts]
+    assert np.allclose(whole, alone)
+    for block in (1, 2, 3, 7):
+        monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", block)
+        assert np.array_equal(net.log_odds(ids, counts), whole)
