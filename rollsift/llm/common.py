@@ -102,6 +102,20 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def with_texts(df: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """The frame and its column that workers read texts from, by way of ``filled``: the text itself where it is a
+    string, so that nothing is sent twice, and else a column of strings beside the others."""
+    if dict(df.dtypes).get(text) == "string":
+        return df, text
+    name = beside(df, "_text")
+    return df.withColumn(name, whole_text(text)), name
+
+
+def filled(texts: pa.Array) -> pa.Array:
+    """A null text counts as empty."""
+    return pa.compute.fill_null(texts, "") if texts.null_count else texts
+
+
 def id_bucket(column: str = "doc_id", parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string")) % F.lit(parts)

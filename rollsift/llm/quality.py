@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollsift.llm.common import beside, chunks, discard, held_out, materialise, whole_text
+from rollsift.llm.common import beside, chunks, discard, filled, held_out, materialise, whole_text, with_texts
 from rollsift.llm.words import mix, words_of
 
 FEATURES = [
@@ -220,17 +220,18 @@ def accepted(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Every text is measured once: rows and statistics are written side by side, the fit reads the statistics, the
     filter both. No join carries texts."""
-    names, whole, beside_stats = df.columns, beside(df, "_text"), beside(df, "_stats")
+    names, beside_stats = df.columns, beside(df, "_stats")
+    sent, whole = with_texts(df, text)
     width = len(FEATURES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, whole):
-            x = statistics(b.column(whole))
+            x = statistics(filled(b.column(whole)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(x.astype(np.float64).ravel()))
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], lists], [*names, beside_stats])
 
     schema = T.StructType([*df.schema.fields, T.StructField(beside_stats, T.ArrayType(T.DoubleType()))])
-    rows, _ = materialise(df.withColumn(whole, whole_text(text)).mapInArrow(measure, schema), "measured-rows")
+    rows, _ = materialise(sent.mapInArrow(measure, schema), "measured-rows")
     model = fit(rows.select(F.col(doc_id).alias("doc_id"), F.col(beside_stats).alias("stats")), labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

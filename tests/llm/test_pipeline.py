@@ -4,11 +4,13 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rollsift.llm import quality, secrets, toxicity
+from rollsift.llm.common import filled, with_texts
 
 SF = "/root/testdata/sf0.001"
 EXTRA = [(10_000_001, None, "en", "s", 0), (None, "text without id", None, None, None), (10_000_002, "", "de", "s", 0), (10_000_003, "short one", "en", "s", 9), (10_000_003, "short one", "en", "s", 9)]
@@ -115,3 +117,12 @@ def test_clashing_columns_survive(spark):
         assert out.columns == docs.columns
         assert all(r["_text"] == "_text" and r["_hex"] == "_hex" and r["id"] == "id" for r in out.collect())
     assert corpus_pipeline.packing(spark, docs, SF).select("doc_id").distinct().count() == 30
+
+
+def test_texts_are_sent_once(spark):
+    """A string column is its own text; others are read as strings; null is empty."""
+    same = spark.createDataFrame([("a",), (None,)], "text string")
+    assert with_texts(same, "text") == (same, "text")
+    sent, name = with_texts(spark.createDataFrame([(1, "x"), (None, "y")], "text int, _text string"), "text")
+    assert name == "__text" and sorted(r[name] for r in sent.collect()) == ["", "1"]
+    assert filled(pa.array(["a", None, "ü"])).to_pylist() == ["a", "", "ü"]
