@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollsift.llm.common import table
-from rollsift.llm.sql import JACCARD, secret_spans
+from rollsift.llm.sql import DECONTAMINATION, JACCARD, secret_spans
 
 
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +85,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_main_text": op2_main_text, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op7_unigram": op7_unigram, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing}
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every text."""
+    from rollsift.llm.decontaminate import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_main_text": op2_main_text, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op7_unigram": op7_unigram, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing, "op13_decontamination": op13_decontamination}
 
 SQL: dict[str, str] = {
     "op5_secrets": secret_spans(),
     "op8_jaccard": JACCARD,
+    "op13_decontamination": DECONTAMINATION,
     "op9_topk": """
         WITH valid AS (
             SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
