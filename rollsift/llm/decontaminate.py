@@ -29,7 +29,7 @@ WINDOW, SHINGLE = 10, 5
 #: Rows of shingles or windows that are broadcast at once; more of them come in several blocks.
 BLOCK = 200_000
 #: What stands between words, in either case.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
