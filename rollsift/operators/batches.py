@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollsift.functions.arrays import concat_tokens, field, positions, spread, truncate
+from rollsift.operators.scans import restarting
 
 Cost = Callable[[Sequence[int]], float]
 
@@ -296,18 +297,10 @@ def cat_packs(df: DataFrame, seq_len: int, keys: list[str], order: str, sample:
     """Samples appended until a pack is full; what runs over is cut off, an unfinished pack isn't given.
 
     Returns keys, pack, sample_id, start, taken."""
-
-    def feed(state: dict, row: tuple) -> list[tuple]:
-        item, n = row
-        state["held"].append((item, state["used"], min(n, seq_len - state["used"])))
-        state["used"] += n
-        if state["used"] < seq_len:
-            return []
-        done = [(state["pack"], *x) for x in state["held"]]
-        state.update(held=[], used=0, pack=state["pack"] + 1)
-        return done
-
-    return _walk(df, keys, order, [sample, length], "pack bigint, sample_id bigint, start int, taken int", lambda: {"held": [], "used": 0, "pack": 0}, feed)
+    rows = df.select(*keys, order, F.col(sample).cast("long").alias("sample_id"), F.col(length).alias("_length"))
+    packs = restarting(rows, seq_len, keys, [order], "_length", "pack", "start")
+    taken = F.least(F.col("_length").cast("long"), F.lit(seq_len) - F.col("start"))
+    return packs.select(*keys, "pack", "sample_id", F.col("start").cast("int").alias("start"), taken.cast("int").alias("taken"))
 
 
 def bucket_sizes(area: int) -> list[int]:

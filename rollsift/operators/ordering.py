@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollsift.operators.scans import restarting, scanned
+
 
 def by_run_and_length(df: DataFrame, run: str = "run_idx", length: str = "length", arrival: str = "arrival") -> DataFrame:
     """Runs in order, longest first, ties by arrival."""
@@ -40,36 +38,13 @@ def longest_prefix(queries: DataFrame, prefixes: DataFrame, key: str, query: str
 
 def batches_of(df: DataFrame, size: int, order: str, keys: list[str], out: str = "batch_id") -> DataFrame:
     """Numbers of full batches in arrival order within each key; rows of the incomplete last one are left out."""
-    w = W.partitionBy(*keys)
-    at = F.row_number().over(w.orderBy(order)) - 1
-    numbered = df.withColumn(out, F.floor(at / size).cast("long")).withColumn("_n", F.count(F.lit(1)).over(w))
-    return numbered.where(F.col(out) < F.floor(F.col("_n") / size)).drop("_n")
+    numbered = scanned(df, keys, [order], at="_place", size="_rows").withColumn(out, F.floor(F.col("_place") / size).cast("long"))
+    return numbered.where(F.col(out) < F.floor(F.col("_rows") / size)).drop("_place", "_rows")
 
 
 def token_batches(df: DataFrame, budget: int, order: str, keys: list[str], tokens: str = "tokens", out: str = "batch_id") -> DataFrame:
-    """Shortest runs of rows with ``budget`` tokens or more, each starting afresh; the incomplete last one is left out.
-
-    The sum restarts at each cut, so a key's rows are read in order, one at a time, in constant memory."""
-    names = df.columns
-    cut = df.repartition(*keys).sortWithinPartitions(*keys, order)
-    schema = df.withColumn(out, F.lit(0).cast("long")).schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, batch, held = None, 0, 0
-        for frame in frames:
-            numbers = []
-            for k, t in zip(frame[list(keys)].itertuples(index=False, name=None), frame[tokens], strict=True):
-                if k != key:
-                    key, batch, held = k, 0, 0
-                numbers.append(batch)
-                held += t
-                if held >= budget:
-                    batch, held = batch + 1, 0
-            yield frame.assign(**{out: numbers})
-
-    numbered = cut.mapInPandas(run, schema)
-    w = W.partitionBy(*keys, out)
-    return numbered.withColumn("_total", F.sum(tokens).over(w)).where(F.col("_total") >= budget).select(*names, out)
+    """Shortest runs of rows with ``budget`` tokens or more, each starting afresh; the incomplete last one is left out."""
+    return restarting(df, budget, keys, [order], tokens, out)
 
 
 def report_order(df: DataFrame) -> DataFrame:

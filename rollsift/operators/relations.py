@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollsift.functions.arrays import field
+from rollsift.operators.scans import scanned
 
 
 def changes(discovered: DataFrame, known: DataFrame, key: str, evicted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,10 +36,7 @@ def paired_by_position(left: DataFrame, right: DataFrame, keys: list[str], left_
 
 def previous(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Each row with the same key's previous values."""
-    w = W.partitionBy(*keys).orderBy(order)
-    for c in columns:
-        df = df.withColumn(f"previous_{c}", F.lag(c).over(w))
-    return df
+    return scanned(df, keys, [order], previous={f"previous_{c}": c for c in columns})
 
 
 def env_union(*frames: DataFrame, env: str = "env_name") -> DataFrame:

@@ -10,25 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollsift.operators.scans import dense_index, scanned
 
-def tagged(df: DataFrame, subset: str | None, split: str | None, order: str) -> DataFrame:
-    """Lineage columns and a dense index from 0 in the order of a key.
 
-    The index comes from partition-wise ranks and partition offsets: no global sort in one task."""
+def tagged(df: DataFrame, subset: str | None, split: str | None, order: str) -> DataFrame:
+    """Lineage columns and a dense index from 0 in the order of a key."""
     return dense_index(df.withColumn("__subset", F.lit(subset).cast("string")).withColumn("__split", F.lit(split).cast("string")), order, "__index")
 
 
-def dense_index(df: DataFrame, order: str, out: str) -> DataFrame:
-    """0, 1, ... by ``order``: a range exchange, ranks inside the ranges, and the ranges' offsets (a number each)."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_mono", F.monotonically_increasing_id())
-    part = F.shiftright("_mono", 33)
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.col("_mono").bitwiseAND((1 << 33) - 1)
-    joined = ranged.withColumn("_part", part).join(F.broadcast(offsets.select("_part", "_before")), "_part")  # a row a partition
-    return joined.withColumn(out, inside + F.col("_before")).drop("_mono", "_part", "_before")
-
-
 def subset_splits(subsets: list[str] | None, splits: list[str] | None) -> list[tuple[str | None, str]]:
     """Pairs to read: none gives the train split; both lists pair up and must be equally long."""
     if subsets and splits:
@@ -190,7 +179,7 @@ def evaluation_fires(step: Column, interval: Column, first_step: int, skip_first
 
 def round_robin(df: DataFrame, source: str, order: str) -> DataFrame:
     """``turn`` and ``source``: A1, B1, A2, ...; sources that have ended are skipped."""
-    return df.withColumn("turn", F.row_number().over(W.partitionBy(source).orderBy(order)))
+    return scanned(df, [source], [order], at="turn").withColumn("turn", F.col("turn") + 1)
 
 
 def resumed(df: DataFrame, step: int, index: str = "__index") -> DataFrame:
