@@ -32,7 +32,7 @@ def dense_index(df: DataFrame, order: str | Column | list, out: str) -> DataFram
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
     offsets = sizes.select("_part", before.alias("_before"))
-    return rows.join(F.broadcast(offsets), "_part", "left").withColumn(out, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    return rows.join(F.broadcast(offsets), "_part", "left").select(*[c for c in df.columns if c != out], (F.col("_at") + F.col("_before")).alias(out))
 
 
 def scanned(df: DataFrame, keys: list[str], order: list[str], at: str | None = None, size: str | None = None, sums: dict[str, str] | None = None, previous: dict[str, str] | None = None) -> DataFrame:
