@@ -92,6 +92,13 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the texts with its near words, form and root."""
+    from rollsift.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every text."""
     from rollsift.llm.decontaminate import report
@@ -99,7 +106,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_main_text": op2_main_text, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op7_unigram": op7_unigram, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing, "op11_importance": op11_importance, "op13_decontamination": op13_decontamination}
+QUERIES = {"op1_quality": op1_quality, "op2_main_text": op2_main_text, "op3_toxicity": op3_toxicity, "op5_secrets": op5_secrets, "op4_token_files": op4_token_files, "op6_ogg": op6_ogg, "op7_unigram": op7_unigram, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_packing": op10_packing, "op11_importance": op11_importance, "op12_spelling": op12_spelling, "op13_decontamination": op13_decontamination}
 
 SQL: dict[str, str] = {
     "op5_secrets": secret_spans(),
