@@ -94,7 +94,7 @@ def _places(documents: DataFrame, shingles: DataFrame, sizes: list[int], block:
 
 def _rarest(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """Windows all of whose shingles some document holds: (wid, k, n, sids, sid, offset), with the shingle in the fewest documents."""
-    seen = docs.select("copies", F.explode(F.array_distinct(F.col("places.sid"))).alias("sid")).groupBy("sid").agg(F.sum("copies").alias("_docs"))
+    seen = docs.select("copies", F.explode(F.array_distinct("sids")).alias("sid")).groupBy("sid").agg(F.sum("copies").alias("_docs"))
     each = windows.select("wid", "k", F.size("words").alias("n"), "sids", F.posexplode("sids").alias("offset", "sid"))
     rare = F.min_by(F.struct("sid", "offset"), F.struct("_docs", "offset"))
     kept = each.join(seen, "sid").groupBy("wid", "k", "n", "sids").agg(F.count("*").alias("_met"), rare.alias("_rare")).where(F.col("_met") == F.size("sids"))
@@ -116,20 +116,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     one = ["doc_id", "text_key", "n_words"]
     found = _places(documents, shingles, sizes, block)
-    docs, _ = materialise(found.groupBy(*one).agg(F.count_if("first").alias("copies"), F.sort_array(F.collect_set("place")).alias("places")), "places")
+    places = found.groupBy(*one).agg(F.count_if("first").alias("copies"), F.sort_array(F.collect_set("place")).alias("p"))
+    docs, _ = materialise(places.select(*one, "copies", F.col("p.k").alias("ks"), F.col("p.pos").alias("places"), F.col("p.sid").alias("sids")), "places")
     rare, _ = materialise(_rarest(windows, docs), "rarest")
 
     one = [*one, "copies"]
-    at = docs.select(*one, "places", F.posexplode_outer("places").alias("i", "p"))
+    # no lambdas here: without them the rows of a document are generated, joined and dropped where its arrays are
+    at = docs.select(*one, "ks", "places", F.col("sids").alias("_sids"), F.posexplode_outer("places").alias("i", "pos")).withColumn("_sid", F.get("_sids", "i"))
     first, count = F.col("i") - F.col("offset"), F.size("sids")
-    start = F.col("p.pos") - F.col("offset")
+    start, last = F.col("pos") - F.col("offset"), first + count - 1
     bounds = (first >= 0) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-    head, last = F.get("places", first), F.get("places", first + count - 1)
-    row = (head["k"] == F.col("k")) & (head["pos"] == start) & (last["k"] == F.col("k")) & (last["pos"] == start + count - 1)
-    same = F.transform(F.slice("places", F.greatest(first, F.lit(0)) + 1, count), lambda x: x["sid"]) == F.col("sids")
+    row = (F.get("ks", first) == F.col("k")) & (F.get("places", first) == start) & (F.get("ks", last) == F.col("k")) & (F.get("places", last) == start + count - 1)
+    same = F.slice("_sids", F.greatest(first, F.lit(0)) + 1, count) == F.col("sids")
     hits = []
     for i, part in enumerate(_blocks(rare, "wid", block)):
-        met = (at if i == 0 else at.where("p is not null")).join(F.broadcast(part), (F.col("p.sid") == F.col("sid")) & bounds & row & same, "left" if i == 0 else "inner")  # at most about BLOCK rows
+        met = (at if i == 0 else at.where("pos is not null")).join(F.broadcast(part), (F.col("_sid") == F.col("sid")) & bounds & row & same, "left" if i == 0 else "inner")  # at most about BLOCK rows
         hits.append(met.select(*one, F.when(F.col("wid").isNotNull(), F.struct(start.alias("start"), (start + F.col("n")).alias("end"), "wid")).alias("hit")))
     gathered = reduce(DataFrame.unionByName, hits).groupBy(*one).agg(F.collect_set("hit").alias("hits"))
 
