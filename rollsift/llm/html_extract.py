@@ -83,7 +83,7 @@ class Node:
         self.label: int | None = None
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
+def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes, parents first, and the text runs as (node, text) with " " where blocks begin or end."""
     nodes = [Node("html", -1, 0)]
     runs: list[tuple[int, str]] = []
@@ -149,7 +149,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 runs.append((-1, " "))
             continue
         if tag == "html":
-            if 'data-y="1"' in (attributes or ""):
+            if labelled and 'data-y="1"' in (attributes or ""):
                 nodes[0].label = 1
             continue
         if opened.get("head") and tag not in IN_HEAD:
@@ -186,7 +186,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     whole = value.lower()
                     words += [*whole.split(), *_TOKENS.findall(whole)]
                 elif key == "data-y":
-                    node.label = int(value)
+                    node.label = int(value) if labelled and value in ("0", "1") else None
                 elif key == "hidden" and value.lower() != "until-found" or key == "style" and "display:none" in value.replace(" ", "").lower():
                     node.gone = True
                 elif key == "aria-hidden" and value.lower() == "true":
@@ -313,7 +313,7 @@ def labels_of(nodes: list[Node]) -> np.ndarray:
 
 def fit(pages: list[str]) -> Model:
     """Maximises the likelihood of the labelled pages, by Adam."""
-    parsed = [parse(p)[0] for p in pages]
+    parsed = [parse(p, labelled=True)[0] for p in pages]
     t, y = trees(parsed), np.concatenate([labels_of(x) for x in parsed])
     child = np.flatnonzero((t.parent >= 0) & (t.kind != NEUTRAL))
     model = Model(np.zeros(WIDTH), np.zeros((NEUTRAL + 1, 2, 2)))
