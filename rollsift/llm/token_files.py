@@ -9,7 +9,8 @@ view on it without copying or scanning. A second Arrow file lists the
 documents: id, first id's position in the file, number of ids.
 
 Edge cases: a null text counts as empty and has the end id alone; null document
-ids come first; equal document ids are ordered by text; a very long text is one
+ids come first; equal document ids are ordered by the first 64 characters of the text,
+and inside a file by the whole text; a very long text is one
 document like any other; an empty table gives no rows; other columns, whatever
 their names, are ignored.
 """
@@ -34,6 +35,8 @@ from rollsift.llm.tokens import encoder
 END_ID = 1
 SEQUENCE_LENGTH = 2048
 BATCH_ROWS = 256
+#: Characters of a text that part the rows of one id.
+TIE_CHARACTERS = 64
 #: Stored input for a file. A plan without figures claims more than any input has: MOST_BYTES.
 FILE_BYTES, MOST_BYTES = 64 << 20, 1 << 50
 
@@ -60,6 +63,8 @@ class SequenceWriter:
     """Appends ids and writes full batches as they fill; memory is one batch."""
 
     def __init__(self, out, dtype, length: int = SEQUENCE_LENGTH, batch_rows: int = BATCH_ROWS):
+        if length % 8:
+            raise ValueError("a sequence's mask must fill whole bytes")
         self.length, self.room = length, length * batch_rows
         self.value = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(self.value, length)), ("mask", pa.list_(pa.bool_(), length))])
@@ -105,9 +110,16 @@ class SequenceFile:
         return self.reader.get_batch(i).column("ids").flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view) and mask of sequence ``i``."""
-        row = self.reader.get_batch(i // self.rows).slice(i % self.rows, 1)
-        return row.column("ids").flatten().to_numpy(zero_copy_only=True), row.column("mask").flatten().to_numpy(zero_copy_only=False)
+        """Ids and mask of sequence ``i``, both views: the mask has eight places a byte, lowest bit first; see ``unpacked``."""
+        batch = self.reader.get_batch(i // self.rows)
+        at = i % self.rows
+        ids = batch.column("ids").slice(at, 1).flatten().to_numpy(zero_copy_only=True)
+        bits = batch.column("mask").values.buffers()[1]  # a batch of a file begins at bit 0
+        return ids, np.frombuffer(bits, np.uint8, self.length // 8, at * self.length // 8)
+
+    @staticmethod
+    def unpacked(mask: np.ndarray) -> np.ndarray:
+        return np.unpackbits(mask, bitorder="little").astype(bool)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from position ``start``; a view unless they cross batches."""
@@ -128,7 +140,10 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, doc_id: str =
     spark = df.sparkSession
     stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's figure, without a scan
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // FILE_BYTES) if stored < MOST_BYTES else 1)
-    ordered = df.select(F.col(doc_id).alias("_id"), whole_text(text).alias("_text")).repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
+    ordered = df.select(F.col(doc_id).alias("_id"), whole_text(text).alias("_text"))
+    # rows of one id, however many, are ranges too; only the beginning of a text is sampled for their ends
+    ends = ["_id", F.substring("_text", 1, TIE_CHARACTERS), "_row"]
+    ordered = ordered.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *ends).sortWithinPartitions("_id", "_text").select("_id", "_text")
     id_type = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
