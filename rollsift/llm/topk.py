@@ -18,7 +18,7 @@ result; ties then go to the smaller id.
 Edge cases: vectors that are null, empty, or hold null or non-finite components,
 or ones whose 256-fold is none, take no part, nor do rows without id; vectors of different lengths have no
 score; a query's own row is the one with its id, so repeated ids don't find
-each other, and a repeated query id gives its rows once; a query with fewer
+each other, and a repeated query id asks once, with the smallest of its vectors; a query with fewer
 than k candidates returns all; an empty table gives no rows; other columns,
 whatever their names, are ignored.
 """
@@ -214,7 +214,9 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", ve
     spark = df.sparkSession
     candidates = df.select(F.col(vec_id).cast("long").alias("_id"), F.col(vector).alias("_vector"))
     schema = "query_id long, rank int, vec_id long, score long"
-    asked = candidates.where(F.pmod("_id", F.lit(every)) == 0)
+    sound = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    asked = candidates.where((F.pmod("_id", F.lit(every)) == 0) & (F.size("_vector") > 0) & sound)
+    asked = asked.groupBy("_id").agg(F.min("_vector").alias("_vector"))
     n_queries = asked.count()
     if not n_queries:
         return spark.createDataFrame([], schema)
