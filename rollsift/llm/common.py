@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -38,22 +40,39 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
+_LOCK, _ACTIVE = threading.Lock(), {"writes": 0, "before": {}}
+
+
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """The session's settings while any thread writes: the first write sets them, the last one to end restores them.
+
+    Queries that other threads start then lose their shuffle files as they end, never sooner."""
+    with _LOCK:
+        if not _ACTIVE["writes"]:
+            _ACTIVE["before"] = {k: spark.conf.get(k, None) for k in _WRITING}
+            for k, v in _WRITING.items():
+                spark.conf.set(k, v)
+        _ACTIVE["writes"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _ACTIVE["writes"] -= 1
+            if not _ACTIVE["writes"]:
+                for k, v in _ACTIVE["before"].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, label: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there,
     and a lost executor costs a re-read. The second value is the path, for ``discard``.
 
-    The write's shuffle files go when it ends; nothing else reads them. The settings for that hold for the session
-    while the write lasts: queries that other threads start then lose their shuffle files as they end, never sooner."""
+    The write's shuffle files go when it ends; nothing else reads them."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    for k, v in _WRITING.items():
-        spark.conf.set(k, v)
-    try:
+    with _writing(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path), path
 
 
