@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollsift.llm.common import beside, materialise, table
+from rollsift.llm.common import beside, discard, materialise, table
 from rollsift.llm.jaccard import near_duplicates
 from rollsift.llm.packing import pack
 from rollsift.llm.quality import accepted as good
@@ -62,10 +62,15 @@ STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicate", near_
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, written = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if path:
+            discard(spark, path)  # the next stage is written
+        path = written
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(spark, path)  # packing reads its own pieces from here on
+    return packed
 
 
 #: The classifiers and the packing aren't expressible in SQL; tests hold the stages against brute force.
