@@ -112,3 +112,14 @@ def utc_stamp(epoch_seconds) -> Column:
     """Seconds since 1970 as UTC text with a Z, whatever the session's time zone."""
     at = F.timestamp_seconds(_c(epoch_seconds).cast("long"))
     return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+#: Bits of ``hash_number``.
+HASH_BITS = 60
+
+
+def hash_number(*key: Column, seed: int = 0) -> Column:
+    """A whole number of 60 bits from the key's values, the same in any engine: the first 15 digits of the MD5 of
+    ``seed:value:value``. A null value counts as no text."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollsift.functions.scalars import HASH_BITS, hash_number
+from rollsift.operators.selection import smallest
+
 # Defaults of the filters.
 TOKEN_ID_THRESHOLD = 100_000
 LOGPROB_OFFSET = 2.0
@@ -133,13 +136,16 @@ def metric_key_allowed(key, keep_prefixes: list[str] = (), drop_prefixes: list[s
 
 
 def exact_sample(df: DataFrame, ratio: float | None, key: str, seed: int = 0) -> DataFrame:
-    """max(1, floor(n * ratio)) rows by the hash of their key; all for null or 1 and more, none for 0 and less."""
+    """max(1, floor(n * ratio)) rows by the hash of their key; all for null or 1 and more, none for 0 and less.
+
+    The bound on the hash comes from histograms, so that no task sees the sample and nothing is sorted; rows of the one
+    key at the bound, which differ in nothing that counts, are taken as they come."""
     if ratio is None or ratio >= 1:
         return df
     if ratio <= 0:
         return df.limit(0)
     n = df.count()
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(max(1, int(n * ratio)) if n else 0)
+    return smallest(df, hash_number(F.col(key), seed=seed), max(1, int(n * ratio)) if n else 0, HASH_BITS, key)
 
 
 def kept_steps(df: DataFrame, step: str = "step", last: int | None = None, interval: int | None = None, partition: str | None = None) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollsift.operators.scans import restarting, scanned
+from rollsift.sources.scratch import written
 
 
 def by_run_and_length(df: DataFrame, run: str = "run_idx", length: str = "length", arrival: str = "arrival") -> DataFrame:
@@ -27,13 +29,23 @@ def oldest_step(df: DataFrame, run: str = "run_id", step: str = "step") -> DataF
 def longest_prefix(queries: DataFrame, prefixes: DataFrame, key: str, query: str = "ids", prefix: str = "prefix", order: str = "prefix_id") -> DataFrame:
     """For each query of a key the longest of the key's prefixes that it starts with; ties go to the first.
 
-    Equal prefixes are one. A query asks once for each length that its key's prefixes have, by the hash of its start,
-    so that it meets equal prefixes only, however many begin alike."""
-    unique = prefixes.groupBy(key, F.col(prefix).alias("_prefix")).agg(F.min(order).alias(order)).select(key, F.size("_prefix").alias("_n"), F.xxhash64("_prefix").alias("_start"), "_prefix", order)
-    asked = queries.join(prefixes.select(key, F.size(prefix).alias("_n")).distinct(), key).where(F.col("_n") <= F.size(query)).withColumn("_start", F.xxhash64(F.slice(query, F.lit(1), F.col("_n"))))
-    pairs = asked.join(unique, [key, "_n", "_start"]).where(F.slice(F.col(query), F.lit(1), F.col("_n")) == F.col("_prefix"))
-    rest = [c for c in queries.columns if c != key]
-    return pairs.groupBy(key, *rest).agg(F.max_by(order, F.struct("_n")).alias(order))
+    Equal prefixes are one. A token's mark is a hash of its place and value, and a prefix's mark the exclusive or of its
+    tokens' marks, so that one running aggregate over a query's tokens has the marks of all its beginnings: a query of n
+    tokens costs n, whatever lengths there are, and no key's queries meet in a task. What is found is compared."""
+    marks = lambda tokens: F.transform(tokens, lambda x, i: F.xxhash64(i, x))
+    both = lambda hashes: F.aggregate(hashes, F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), lambda s, h: F.struct(s["a"].bitwiseXOR(h).alias("a"), s["b"].bitwiseXOR(F.xxhash64(h, F.lit(1))).alias("b")))
+    unique = prefixes.groupBy(key, F.col(prefix).alias("_prefix")).agg(F.min(order).alias(order)).withColumn("_mark", both(marks("_prefix")))
+    unique = written(unique.select(F.col(key).alias("_key"), F.size("_prefix").alias("_n"), "_mark.a", "_mark.b", "_prefix", order).withColumn("_prefix_row", F.monotonically_increasing_id()), "prefixes")
+    rows = written(queries.withColumn("_row", F.monotonically_increasing_id()), "prefix-queries")
+    # place 0 is the empty beginning
+    tokens = rows.select("_row", F.col(key).alias("_key"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), marks(query))).alias("_n", "_h"))
+    so_far = W.partitionBy("_row").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
+    running = lambda h: F.coalesce(F.bit_xor(h).over(so_far), F.lit(0).cast("long"))
+    asked = tokens.select("_row", "_key", "_n", running(F.col("_h")).alias("a"), running(F.when(F.col("_h").isNotNull(), F.xxhash64("_h", F.lit(1)))).alias("b"))
+    met = asked.join(unique.drop("_prefix"), ["_key", "_n", "a", "b"]).groupBy("_row").agg(F.max_by(F.struct("_prefix_row", order), "_n").alias("_best"))
+    found = rows.join(met, "_row").withColumn("_prefix_row", F.col("_best._prefix_row")).join(unique.select("_prefix_row", "_prefix"), "_prefix_row")
+    same = F.slice(query, F.lit(1), F.size("_prefix")) == F.col("_prefix")
+    return found.where(same).select(*queries.columns, F.col(f"_best.{order}").alias(order))
 
 
 def batches_of(df: DataFrame, size: int, order: str, keys: list[str], out: str = "batch_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollsift.functions.scalars import HASH_BITS, hash_number
 from rollsift.operators.scans import dense_index, scanned
 
 
@@ -89,7 +90,7 @@ def draws_until(spark: SparkSession, weights: list[tuple[str, float]], sizes: li
 
 def uniform(*key: Column, seed: int = 0) -> Column:
     """A number in [0, 1) from a hash of the key."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") / F.lit(float(1 << 53))
+    return hash_number(*key, seed=seed).cast("double") / F.lit(float(1 << HASH_BITS))
 
 
 #: Draws of a block of the schedule, as a power of two.
@@ -126,14 +127,14 @@ def scheduled_examples(schedule: DataFrame, datasets: DataFrame, source: str = "
     wanted = wanted.withColumn("epoch", F.floor(F.col("position") / F.col("_size"))).withColumn("_at", F.col("position") % F.col("_size")).drop("_size")
     epochs = wanted.select("source", "epoch").distinct()
     shuffled = datasets.withColumnRenamed(source, "source").join(epochs, "source")
-    order = W.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), F.col("epoch"), F.col(key)), key)
+    order = W.partitionBy("source", "epoch").orderBy(hash_number(F.col("epoch"), F.col(key), seed=seed), key)
     ranked = shuffled.withColumn("_at", F.row_number().over(order).cast("long") - 1)
     return wanted.join(ranked, ["source", "epoch", "_at"]).drop("_at")
 
 
 def epoch_order(df: DataFrame, epoch: int, seed: int = 0, key: str = "__index") -> DataFrame:
     """The epoch's order: ``__shuffle`` to sort by."""
-    return df.withColumn("__shuffle", F.xxhash64(F.lit(seed + epoch), F.col(key)))
+    return df.withColumn("__shuffle", hash_number(F.lit(epoch), F.col(key), seed=seed))
 
 
 def rank_share(df: DataFrame, rank: int, world: int, step: str = "step") -> DataFrame:

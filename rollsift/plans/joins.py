@@ -42,13 +42,14 @@ def j7_paired_by_position(spark, sf_dir):
     return rl.paired_by_position(r.select("step", "rollout_id"), right, ["step"], "rollout_id", "o").select("step", "rollout_id", "teacher")
 
 
-@query("""WITH p AS (SELECT doc_id, string_split(text, ' ')[1:3] AS ids FROM documents WHERE text IS NOT NULL), q AS (SELECT min(doc_id) AS prefix_id, ids[1:1 + doc_id % 3] AS prefix FROM p GROUP BY 2),
+@query("""WITH p AS (SELECT doc_id, string_split(text, ' ') AS ids FROM documents WHERE text IS NOT NULL), q AS (SELECT min(doc_id) AS prefix_id, ids[1:greatest(1, len(ids) * (1 + doc_id % 3) // 3)] AS prefix FROM p GROUP BY 2),
     m AS (SELECT p.doc_id, q.prefix_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY len(q.prefix) DESC, q.prefix_id) AS r FROM p JOIN q ON p.ids[1] = q.prefix[1] AND p.ids[1:len(q.prefix)] = q.prefix)
     SELECT doc_id, prefix_id FROM m WHERE r = 1""")
 def j9_longest_prefix(spark, sf_dir):
-    # a prefix has three words at most: later words never decide, so they aren't moved
-    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.slice(F.split("text", " "), 1, 3).alias("ids")).withColumn("head", F.element_at("ids", 1))
-    prefixes = d.select("head", F.col("doc_id").alias("prefix_id"), F.slice("ids", F.lit(1), (1 + F.col("doc_id") % 3).cast("int")).alias("prefix"))
+    """Each text's words against a third, two thirds or all of the words of every text."""
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("ids")).withColumn("head", F.element_at("ids", 1))
+    length = F.greatest(F.floor(F.size("ids") * (1 + F.col("doc_id") % 3) / 3), F.lit(1)).cast("int")
+    prefixes = d.select("head", F.col("doc_id").alias("prefix_id"), F.slice("ids", F.lit(1), length).alias("prefix"))
     return od.longest_prefix(d, prefixes, "head").select("doc_id", "prefix_id")
 
 
@@ -112,23 +113,38 @@ def o4_interleave_first(spark, sf_dir):
     return sp.interleave([a, b]).select(F.col("__place").alias("place"), "k")
 
 
-@query()
+# draws and orders are hashes that SQL has too
+_NUMBER = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH s AS (SELECT p_type AS env_name, count(*) AS n, row_number() OVER (ORDER BY p_type) AS pos FROM part GROUP BY 1),
+    u AS (SELECT env_name, n, sum(n::DOUBLE / (SELECT sum(n)::DOUBLE FROM s)) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upper, pos FROM s),
+    d AS (SELECT draw, {_NUMBER.format("'3:' || draw")}::DOUBLE / 1152921504606846976 AS x FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS draw)),
+    p AS (SELECT draw, coalesce((SELECT arg_min(env_name, pos) FROM u WHERE x < upper), (SELECT arg_max(env_name, pos) FROM u)) AS source FROM d),
+    q AS (SELECT draw, source, row_number() OVER (PARTITION BY source ORDER BY draw) - 1 AS position FROM p),
+    e AS (SELECT draw, source, position, position // n AS epoch, position % n AS pos FROM q JOIN s ON env_name = source),
+    o AS (SELECT p_type AS source, epoch, p_partkey, row_number() OVER (PARTITION BY p_type, epoch ORDER BY {_NUMBER.format("'3:' || epoch || ':' || p_partkey")}, p_partkey) - 1 AS pos FROM part JOIN (SELECT DISTINCT source, epoch FROM e) x ON x.source = p_type)
+    SELECT draw, source, position, epoch, p_partkey AS example_id FROM e JOIN o USING (source, epoch, pos)""")
 def o1_weighted_schedule(spark, sf_dir):
     data = read(spark, sf_dir, "part").select(F.col("p_type").alias("env_name"), F.col("p_partkey").alias("example_id"))
     weights = [(r[0], float(r[1])) for r in data.groupBy("env_name").count().orderBy("env_name").collect()]  # a number a source
-    return sp.scheduled_examples(sp.weighted_schedule(spark, weights, data.count(), 3), data, seed=3)
+    return sp.scheduled_examples(sp.weighted_schedule(spark, weights, data.count(), 3), data, seed=3).select("draw", "source", "position", "epoch", "example_id")
 
 
-@query()
+@query(f"""WITH a AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer), b AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier),
+    d AS (SELECT draw, CASE WHEN {_NUMBER.format("'5:' || draw")}::DOUBLE / 1152921504606846976 < 0.8 THEN 0 ELSE 1 END AS source FROM (SELECT unnest(range(20 * ((SELECT count(*) FROM a) + (SELECT count(*) FROM b)))) AS draw)),
+    p AS (SELECT draw, source, row_number() OVER (PARTITION BY source ORDER BY draw) - 1 AS position FROM d),
+    e AS (SELECT max(draw) AS last FROM p WHERE (source = 0 AND position = (SELECT max(i) FROM a)) OR (source = 1 AND position = (SELECT max(i) FROM b)))
+    SELECT draw AS __place, coalesce(a.k, b.k) AS k FROM p JOIN e ON draw <= last LEFT JOIN a ON source = 0 AND a.i = position % a.n LEFT JOIN b ON source = 1 AND b.i = position % b.n""")
 def o5_interleave_by_probability(spark, sf_dir):
     a = sp.dense_index(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k", "__index")
     b = sp.dense_index(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k", "__index")
     return sp.interleave_by_probability([a, b], [0.8, 0.2], seed=5, until="all_exhausted").select("__place", "k")
 
 
-@query("SELECT s AS step, i AS every, CASE WHEN s = 0 THEN false ELSE s % i = 0 END AS fires FROM (SELECT unnest(range(100)) AS s), (VALUES (3), (10)) t(i)")
+@query(f"WITH {ROLLOUTS} SELECT env_name, s AS step, i AS every, CASE WHEN s = 0 THEN false ELSE s % i = 0 END AS fires FROM (SELECT DISTINCT env_name, step AS s FROM rollouts), (VALUES (3), (10)) t(i)")
 def o2_evaluation_fires(spark, sf_dir):
-    grid = spark.range(100).select(F.col("id").alias("step"), F.explode(F.array(F.lit(3), F.lit(10))).alias("every"))
+    grid = rollouts(spark, sf_dir).select("env_name", "step").distinct().withColumn("every", F.explode(F.array(F.lit(3), F.lit(10))))
     return grid.withColumn("fires", sp.evaluation_fires(F.col("step"), F.col("every"), 0, skip_first=True))
 
 

@@ -28,9 +28,9 @@ def o14_promoted(spark, sf_dir):
     return fl.promote_empty(r).select("rollout_id", "error")
 
 
-@query("SELECT count(*)::BIGINT AS n, count(DISTINCT o_orderkey)::BIGINT AS different FROM (SELECT o_orderkey FROM orders LIMIT (SELECT greatest(1, floor(count(*) * 0.3))::BIGINT FROM orders))")
+@query("""SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (ORDER BY substr(md5('0:' || o_orderkey), 1, 15)) <= (SELECT greatest(1, floor(count(*) * 0.3))::BIGINT FROM orders)""")
 def o18_exact_sample(spark, sf_dir):
-    return fl.exact_sample(read(spark, sf_dir, "orders"), 0.3, "o_orderkey").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("different"))
+    return fl.exact_sample(read(spark, sf_dir, "orders"), 0.3, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 @query(f"""WITH {ROLLOUTS} SELECT rollout_id, kind AS env_name, cents AS reward, is_truncated AS filters FROM rollouts""")
@@ -201,11 +201,12 @@ def x8_resumed(spark, sf_dir):
     return sp.resumed(o, 2 * n + n // 3).select("o_orderkey", "epoch", "step")
 
 
-@query("SELECT count(*)::BIGINT AS n, count(DISTINCT o_orderkey)::BIGINT AS different FROM orders")
+@query("""SELECT epoch, row_number() OVER (PARTITION BY epoch ORDER BY substr(md5('0:' || epoch || ':' || o_orderkey), 1, 15), o_orderkey) - 1 AS place, o_orderkey FROM orders, (VALUES (3), (4)) e(epoch)""")
 def o6_epoch_order(spark, sf_dir):
-    """Each epoch has every row once, in an order of its own."""
-    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "__index")
-    return sp.epoch_order(o, 3).groupBy().agg(F.count("__shuffle").alias("n"), F.countDistinct("__index").alias("different"))
+    """Two epochs: each has every row once, in an order of its own."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("__index"))
+    epoch = lambda e: sp.dense_index(sp.epoch_order(o, e), ["__shuffle", "__index"], "place").select(F.lit(e).alias("epoch"), "place", F.col("__index").alias("o_orderkey"))
+    return epoch(3).unionByName(epoch(4))
 
 
 @query("SELECT o_orderkey, o_comment AS text, split_part(o_orderstatus || '-env@v1.2', '@', 1) AS base, CASE WHEN o_orderkey % 2 = 0 THEN 'SFT LoRA(r=8)' ELSE 'SFT Full' END AS label, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE 'x:y' END AS o_comment FROM orders)")

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from rollsift.plans import arrays, groups, joins, more, rollout_metrics, series  # noqa: E402, F401  (they register)
+from rollsift.plans import arrays, groups, joins, more, rollout_metrics, series, state  # noqa: E402, F401  (they register)

@@ -46,14 +46,14 @@ def tabular(spark: SparkSession, path: str, kind: str, schema: str | None = None
 
 
 def stable_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the step folders with a STABLE marker, under the path or one level deeper.
+    """The step folders with a STABLE marker, under the path or one level deeper (a run's).
 
     Listed by the file system: markers are empty files, which file sources skip."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     found = []
     for pattern in (f"{path}/step_*/STABLE", f"{path}/*/step_*/STABLE"):
-        found += ["/" + s.getPath().getParent().getName() for s in fs.globStatus(hadoop(pattern)) or []]
+        found += [s.getPath().getParent().toString() for s in fs.globStatus(hadoop(pattern)) or []]
     return sorted(set(found))
 
 
@@ -61,11 +61,12 @@ def token_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good records, counts of bad ones by file) of step folders that have a STABLE marker.
 
     A record is bad if it is no JSON or an aligned field's length differs from its mask's; blank lines don't count."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "rank_*.jsonl").text(path).select("value", F.input_file_name().alias("file")).where(F.trim("value") != "")
-    folder = F.regexp_extract("file", r"^(.*/step_\d+)/", 1)
-    markers = spark.createDataFrame([(s,) for s in stable_folders(spark, path)], "_step string")
-    rows = raw.withColumn("_step", F.regexp_extract(folder, r"(/step_\d+)$", 1)).join(F.broadcast(markers.distinct()), "_step", "left_semi")  # a row a folder
-    parsed = rows.withColumn("_r", F.from_json("value", TOKEN_EXPORT + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    folders = stable_folders(spark, path)
+    if folders:  # only those are listed and read
+        raw = spark.read.option("pathGlobFilter", "rank_*.jsonl").text(folders).select("value", F.input_file_name().alias("file")).where(F.trim("value") != "")
+    else:
+        raw = spark.createDataFrame([], "value string, file string")
+    parsed = raw.withColumn("_r", F.from_json("value", TOKEN_EXPORT + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     even = F.lit(True)
     for c in ALIGNED:
         even = even & (F.col(f"_r.{c}").isNull() | (F.size(f"_r.{c}") == F.size("_r.loss_mask")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,8 +13,9 @@ from rollsift.functions.scalars import finite_or_null, json_text
 
 
 def rollouts(df: DataFrame, path: str, exclude: tuple[str, ...] = ("trajectory",), partition: tuple[str, ...] = ("step",)) -> None:
-    """JSON lines by step; an overwritten step replaces only itself."""
-    df.drop(*exclude).write.mode("append").partitionBy(*[p for p in partition if p in df.columns]).json(path)
+    """JSON lines by step; a step that is written again replaces only itself. Without such a column all is replaced."""
+    by = [p for p in partition if p in df.columns]
+    df.drop(*exclude).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
 
 
 def exportable(df: DataFrame, mask: str = "loss_mask", env: str = "env_names", arrays: tuple[str, ...] = ()) -> DataFrame:
@@ -26,9 +29,48 @@ def exportable(df: DataFrame, mask: str = "loss_mask", env: str = "env_names", a
     return rows.drop("_n")
 
 
-def token_export(df: DataFrame, path: str) -> None:
-    """JSON lines by export step and rank."""
-    df.write.mode("append").partitionBy("export_step", "rank").json(path)
+def staged_export(df: DataFrame, path: str, order: tuple[str, ...] = ("micro_step", "micro_sequence_idx")) -> str:
+    """First phase of an export: JSON lines, a file for each step and rank, in a folder of this attempt. Returns it.
+
+    A step's rank is one file and so one task; its rows are sorted by ``order`` where those columns are there. Null
+    fields are kept. Nothing that readers see has changed yet, whatever becomes of the attempt."""
+    attempt = f"{path.rstrip('/')}/_attempts/{uuid.uuid4().hex}"
+    by = ["export_step", "rank"]
+    rows = df.repartition(*by).sortWithinPartitions(*by, *[c for c in order if c in df.columns])
+    lines = rows.select(*by, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.partitionBy(*by).text(attempt)
+    return attempt
+
+
+def commit_export(spark: SparkSession, attempt: str, path: str) -> list[int]:
+    """Second phase: files move to ``step_N/rank_R.jsonl``, then a step's STABLE marker is made. Returns the steps published.
+
+    A step with a marker isn't touched, so that a second attempt adds nothing; a commit that was broken off can be done
+    again, with the same attempt or another. One process commits a path at a time."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = []
+    for step in fs.globStatus(hadoop(f"{attempt}/export_step=*")) or []:
+        n = step.getPath().getName().partition("=")[2]
+        folder, marker = hadoop(root, f"step_{n}"), hadoop(root, f"step_{n}/STABLE")
+        if fs.exists(marker):
+            continue
+        fs.mkdirs(folder)
+        for file in fs.globStatus(hadoop(f"{attempt}/export_step={n}/rank=*/part-*")) or []:
+            target = hadoop(folder, f"rank_{file.getPath().getParent().getName().partition('=')[2]}.jsonl")
+            fs.delete(target, False)
+            if not fs.rename(file.getPath(), target):
+                raise OSError(f"{target} can't be published")
+        fs.create(marker, True).close()
+        done.append(int(n))
+    fs.delete(hadoop(attempt), True)
+    return sorted(done)
+
+
+def token_export(df: DataFrame, path: str) -> list[int]:
+    """Both phases: an export that ``readers.token_export`` reads. Returns the steps that are new."""
+    return commit_export(df.sparkSession, staged_export(df, path), path)
 
 
 def sample_rows(df: DataFrame, run_id: str, step: int, tag: str) -> DataFrame:

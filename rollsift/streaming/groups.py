@@ -8,15 +8,15 @@ given exactly once, as state and output commit together.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-STATE = "rows array<string>"
+from rollsift.sources.scratch import scratch_path
 
 
 def finished_groups(df: DataFrame, size: int | str, group: str = "group_id", order: str = "arrival") -> DataFrame:
@@ -27,29 +27,124 @@ def finished_groups(df: DataFrame, size: int | str, group: str = "group_id", ord
     return rows.where((F.col("_n") >= limit) & (F.col("_rn") <= limit)).drop("_rn", "_n")
 
 
-def stream_groups(stream: DataFrame, size: int, group: str = "group_id") -> DataFrame:
-    """Stream: a group's rows, when its ``size``-th has come. Later rows of a finished group begin a new one."""
-    names, schema = stream.columns, stream.schema
-    held = T.StructType([T.StructField("rows", T.ArrayType(T.StringType()))])
+class _Gathered(StatefulProcessor):
+    """Holds a key's rows, typed as they came, until there are enough."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = list(state.get[0]) if state.exists else []
-        out: list[str] = []
-        for frame in frames:
-            for line in frame.to_json(orient="records", lines=True, date_format="iso", date_unit="us").splitlines():
-                rows.append(line)
-                if len(rows) == size:
-                    out += rows
-                    rows = []
-        if rows:
-            state.update((rows,))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame({"_row": out})
+    def __init__(self, schema: T.StructType, size: int, order: str | None):
+        self.schema, self.size, self.order = schema, size, order
 
-    encoded = stream.groupBy(group).applyInPandasWithState(step, "_row string", held, "append", GroupStateTimeout.NoTimeout)
-    return encoded.select(F.from_json("_row", schema).alias("_r")).select(*[F.col(f"_r.{n}").alias(n) for n in names])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = [tuple(r) for r in rows]
+        if self.order is not None:
+            at = self.schema.fieldNames().index(self.order)
+            came.sort(key=lambda r: (r[at] is not None, r[at]))
+        held = [*(tuple(r) for r in self.held.get()), *came] if self.held.exists() else came
+        whole = len(held) // self.size * self.size
+        if whole < len(held):
+            self.held.put(held[whole:])
+        else:
+            self.held.clear()
+        for r in held[:whole]:
+            yield Row(**dict(zip(self.schema.fieldNames(), r, strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+class _Previous(StatefulProcessor):
+    """Holds a key's last values."""
+
+    def __init__(self, schema: T.StructType, columns: list[str], order: str):
+        self.schema, self.columns, self.order = schema, columns, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", T.StructType([self.schema[c] for c in self.columns]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = tuple(self.last.get()) if self.last.exists() else (None,) * len(self.columns)
+        for r in sorted(rows, key=lambda r: (r[self.order] is not None, r[self.order])):
+            yield Row(**r.asDict(recursive=False), **{f"previous_{c}": v for c, v in zip(self.columns, last, strict=True)})
+            last = tuple(r[c] for c in self.columns)
+        self.last.update(last)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_groups(stream: DataFrame, size: int, group: str | tuple[str, ...] = "group_id", order: str | None = None) -> DataFrame:
+    """Stream: a group's rows, when its ``size``-th has come. Later rows of a finished group begin a new one.
+
+    Rows of one micro-batch are taken by ``order``, nulls first. They are held with their own types, so that they come
+    out as they went in. Start the query with ``started``, whose state store keeps lists."""
+    keys = [group] if isinstance(group, str) else [*group]
+    return stream.groupBy(*keys).transformWithState(_Gathered(stream.schema, size, order), stream.schema, "append", "none")
+
+
+def stream_evaluations(stream: DataFrame, examples: int, group_size: int, keys: tuple[str, ...] = ("env_name", "eval_step"), order: str | None = None) -> DataFrame:
+    """Stream: an evaluation's rows, when all ``examples * group_size`` have come."""
+    return stream_groups(stream, examples * group_size, keys, order)
+
+
+def stream_previous(stream: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Stream: each row with the same key's previous values, across micro-batches. Rows that come late follow those given."""
+    schema = T.StructType([*stream.schema.fields, *[T.StructField(f"previous_{c}", stream.schema[c].dataType) for c in columns]])
+    return stream.groupBy(*keys).transformWithState(_Previous(stream.schema, columns, order), schema, "append", "none")
+
+
+#: The state store that keeps lists and values of their own types.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def _store(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def started(stream: DataFrame, path: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Starts a query that takes what is there and appends to a Parquet table; one with the same checkpoint goes on from it."""
+    with _store(stream.sparkSession):  # a query keeps the settings that it starts with
+        writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+        return (writer.queryName(name) if name else writer).trigger(availableNow=True).start()
+
+
+def drained(stream: DataFrame, label: str) -> DataFrame:
+    """What the stream gives for all that is there now, as a table in the shared folder."""
+    root = scratch_path(stream.sparkSession, label)
+    started(stream, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+class Gauges(StreamingQueryListener):
+    """Appends a row (query, batch, input_rows, rows_a_second) of each micro-batch to a table."""
+
+    SCHEMA = "query string, batch long, input_rows long, rows_a_second double"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = (p.name or str(p.id), p.batchId, p.numInputRows, float(p.inputRowsPerSecond or 0.0))
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def finished_evaluations(df: DataFrame, examples: int, group_size: int, keys: tuple[str, ...] = ("env_name", "eval_step"), order: str = "arrival") -> DataFrame:
@@ -63,7 +158,8 @@ def write_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     for k, v in options.items():
         writer = writer.option(k, v)
-    return writer.trigger(availableNow=True).start()
+    with _store(stream.sparkSession):
+        return writer.trigger(availableNow=True).start()
 
 
 def lead_gate(step, version, lead: int = 1):

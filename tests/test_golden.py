@@ -24,17 +24,19 @@ def advantages(spark, rewards, lengths=None, **kw):
 
 
 def test_advantage_sums_to_zero(spark):
-    assert sum(advantages(spark, [1, 0.5, 0.8])) == pytest.approx(0)
-    assert advantages(spark, [0.7]) == [0]
+    assert advantages(spark, [0.25, 2, -0.75, 0.5]) == pytest.approx([-0.25, 1.5, -1.25, 0])
+    assert advantages(spark, [3]) == [0]
 
 
 def test_length_penalty(spark):
-    got = advantages(spark, [1, 1, 0, 0], [10, 20, 30, 40], length_penalty=2, max_seq_len=100)
-    shaped = [r - 2 * 0.5 * n / 100 for r, n in zip([1, 1, 0, 0], [10, 20, 30, 40], strict=True)]
-    assert got == pytest.approx([x - sum(shaped) / 4 for x in shaped])
-    gated = advantages(spark, [1, 1, 0, 0], [10, 20, 30, 40], length_penalty=2, max_seq_len=100, gate_by_reward=True)
-    shaped = [r - r * 2 * 0.5 * n / 100 for r, n in zip([1, 1, 0, 0], [10, 20, 30, 40], strict=True)]
-    assert gated == pytest.approx([x - sum(shaped) / 4 for x in shaped])
+    rewards, lengths = [1, 0, 0.5], [64, 8, 16]
+    mean = sum(rewards) / 3
+    got = advantages(spark, rewards, lengths, length_penalty=3, max_seq_len=128)
+    shaped = [r - 3 * mean * n / 128 for r, n in zip(rewards, lengths, strict=True)]
+    assert got == pytest.approx([x - sum(shaped) / 3 for x in shaped])
+    gated = advantages(spark, rewards, lengths, length_penalty=3, max_seq_len=128, gate_by_reward=True)
+    shaped = [r - r * 3 * mean * n / 128 for r, n in zip(rewards, lengths, strict=True)]
+    assert gated == pytest.approx([x - sum(shaped) / 3 for x in shaped])
     with pytest.raises(ValueError):
         advantages(spark, [1, 0], length_penalty=1)
 
@@ -48,24 +50,25 @@ def test_custom_advantage(spark):
     assert sorted(r["advantage"] for r in adv.custom_advantage(df, lambda g: g["reward"] * 2).collect()) == [1, 2]
 
 
-L = -math.log(128000) - 2
+# a vocabulary of 1,000 and an offset of 0.5: tokens from 701 on that are less likely than this are gibberish
+RARE = -math.log(1000) - 0.5
 
 
 @pytest.mark.parametrize(
     "ids, lps, want",
     [
-        ([[50, 120000, 80]], [[-1.0, L - 1, -0.5]], 1), ([[10, 200, 5000]], [[-1.0, L - 1, -0.5]], None), ([[120000]], [[-0.5]], None),
-        ([[50, 60], [120000, 80]], [[-1.0, -0.5], [L - 1, -0.5]], 2), ([None, [120000]], [None, [L - 1]], 0),
+        ([[3, 7, 900]], [[-2.0, RARE - 3, RARE - 0.01]], 2), ([[3, 700, 650, 1]], [[RARE - 1, RARE - 1, RARE - 5, -9.0]], None), ([[999, 998]], [[RARE + 0.01, -0.1]], None),
+        ([[1], [2, 3], [701, 800]], [[-0.1], [-0.2, -0.3], [RARE, RARE - 2]], 4), ([None, None, [750]], [None, None, [RARE - 4]], 0),
     ],
 )
 def test_gibberish(spark, ids, lps, want):
     df = spark.createDataFrame([(ids, lps)], "ids array<array<bigint>>, lps array<array<double>>")
-    assert df.select(fl.gibberish_index("ids", "lps", 128000)).first()[0] == want
+    assert df.select(fl.gibberish_index("ids", "lps", 1000, 700, 0.5)).first()[0] == want
 
 
 @pytest.mark.parametrize(
     "lps, window, want",
-    [([-0.001] * 5, 5, 4), ([-0.001] * 4, 5, None), ([-0.001, -3.0] * 3, 3, None), ([-0.001] * 3 + [-2.0] + [-0.001] * 3, 5, None)],
+    [([-0.9, -0.002, -0.003, -0.004], 3, 3), ([-0.005] * 6, 7, None), ([-0.02, -0.004] * 4, 2, None), ([-0.001, -0.5, -0.001, -0.009, -1.5, -0.002, -0.001, -0.003], 3, 7)],
 )
 def test_repetition(spark, lps, window, want):
     df = spark.createDataFrame([([lps],)], "lps array<array<double>>")
