@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from rollsift.functions.arrays import concat_tokens, field, positions, spread, truncate
 from rollsift.operators.scans import restarting
+from rollsift.sources.scratch import written
 
 Cost = Callable[[Sequence[int]], float]
 
@@ -233,8 +234,11 @@ def assign(df: DataFrame, seq_len: int, workers: int, keys: tuple[str, ...] = ("
     return picked.groupBy(*keys).applyInPandas(pack, schema)
 
 
-def materialised(samples: DataFrame, assigned: DataFrame, keys: tuple[str, ...] = ("run_id", "step"), multiple: int = 1) -> DataFrame:
-    """Packed bins with concatenated arrays, padded to a multiple; dummies have no loss and no advantage."""
+def materialised(samples: DataFrame, assigned: DataFrame, keys: tuple[str, ...] = ("run_id", "step"), multiple: int = 1, adapters: int | None = None) -> DataFrame:
+    """Packed bins with concatenated arrays, padded to a multiple; dummies have no loss and no advantage.
+
+    ``adapters``: how many there are; samples then have ``adapter``, a number from 0, and bins ``adapter_tokens``, a count
+    for each. Samples may have ``type_ids``; a sample without them has zeros."""
     token_columns = ["input_ids", "loss_mask", "advantages", "inference_logprobs", "position_ids", "temperatures", "env_names", "teacher_logprobs", "rewards"]
     rows = assigned.join(samples, [*keys, "sample_id"])
     n = F.size("input_ids")
@@ -244,27 +248,39 @@ def materialised(samples: DataFrame, assigned: DataFrame, keys: tuple[str, ...]
         "teacher_logprobs": F.coalesce("teacher_logprobs", F.array_repeat(F.lit(0.0), n)),
         "rewards": F.transform("rewards", lambda r: F.coalesce(r, F.lit(float("nan")))),
     }
+    if "type_ids" in samples.columns:
+        token_columns.append("type_ids")
+        filled["type_ids"] = F.coalesce("type_ids", F.array_repeat(F.lit(0).cast("long"), n))
     for name, value in filled.items():
         rows = rows.withColumn(name, value)
-    ordered = F.array_sort(F.collect_list(F.struct("position", *token_columns)))
+    ordered = F.array_sort(F.collect_list(F.struct("position", *token_columns, *(["adapter"] if adapters else []))))
     packed = rows.groupBy(*keys, "bin", "worker", "turn", "is_dummy").agg(ordered.alias("_rows"))
     packed = packed.select(
         *keys, "bin", "worker", "turn", "is_dummy", *[F.flatten(F.transform("_rows", field(c))).alias(c) for c in token_columns],
-        F.transform("_rows", lambda r: F.size(r["input_ids"])).alias("sequence_lengths"),
+        F.transform("_rows", lambda r: F.size(r["input_ids"])).alias("sequence_lengths"), *([_adapter_tokens(adapters).alias("adapter_tokens")] if adapters else []),
     )
     return padded(packed, multiple)
 
 
+def _adapter_tokens(adapters: int) -> Column:
+    """Tokens of each adapter among a bin's ``_rows``."""
+    own = lambda a: F.filter("_rows", lambda r: r["adapter"] == a)
+    return F.transform(F.sequence(F.lit(0), F.lit(adapters - 1)), lambda a: F.aggregate(own(a), F.lit(0), lambda s, r: s + F.size(r["input_ids"])))
+
+
 def padded(df: DataFrame, multiple: int) -> DataFrame:
     """Arrays filled up to a multiple; the padding is one more sequence, with positions of its own."""
     if multiple <= 1:
         return df
     n = F.pmod(-F.size("input_ids"), F.lit(multiple))
-    fills = {"input_ids": F.lit(1).cast("long"), "loss_mask": F.lit(False), "advantages": F.lit(0.0), "inference_logprobs": F.lit(0.0), "temperatures": F.lit(1.0), "env_names": F.lit(""), "teacher_logprobs": F.lit(0.0), "rewards": F.lit(float("nan"))}
+    fills = {"input_ids": F.lit(1).cast("long"), "loss_mask": F.lit(False), "advantages": F.lit(0.0), "inference_logprobs": F.lit(0.0), "temperatures": F.lit(1.0), "env_names": F.lit(""), "teacher_logprobs": F.lit(0.0), "rewards": F.lit(float("nan")), "type_ids": F.lit(0).cast("long")}
     df = df.withColumn("_pad", n)
     for name, fill in fills.items():
         if name in df.columns:
             df = df.withColumn(name, F.concat(F.col(name), F.array_repeat(fill, F.col("_pad"))))
+    if "adapter_tokens" in df.columns:  # padding counts for the last one
+        last = F.size("adapter_tokens") - 1
+        df = df.withColumn("adapter_tokens", F.transform("adapter_tokens", lambda x, i: F.when(i == last, x + F.col("_pad")).otherwise(x)))
     places = F.when(F.col("_pad") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("_pad") - 1, F.lit(0))), lambda i: i.cast("long"))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("position_ids", F.concat("position_ids", places))
     return df.withColumn("sequence_lengths", F.when(F.col("_pad") > 0, F.concat("sequence_lengths", F.array("_pad"))).otherwise(F.col("sequence_lengths"))).drop("_pad")
@@ -333,6 +349,19 @@ class Ladder:
         self.held: dict[int, list[tuple]] = {s: [] for s in self.sizes}
         self.waits: dict[int, int] = {}
 
+    #: What ``state`` gives: the step, what waits in the buckets and since when.
+    STATE = "step long, held array<struct<bucket:int,sample_id:long,length:int>>, waits array<struct<bucket:int,step:long>>"
+
+    def state(self) -> tuple:
+        return self.step, [(s, item, n) for s in self.sizes for item, n in self.held[s]], sorted(self.waits.items())
+
+    def resume(self, state: tuple) -> Ladder:
+        self.step = state[0]
+        for s, item, n in state[1]:
+            self.held[s].append((item, n))
+        self.waits = {s: step for s, step in state[2]}
+        return self
+
     def put(self, item: int, n: int) -> list[tuple]:
         """Takes a sample in; gives a batch (step, bucket, position, item, length) when one is due."""
         n = min(n, self.area)
@@ -426,6 +455,38 @@ def packed(samples: DataFrame, runs: DataFrame, budget: int, seq_len: int, worke
     return materialised(prepared(chosen, seq_len), plan, ("pack",), multiple), after
 
 
+def next_step(buffer: DataFrame, runs: DataFrame, budget: int, position: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
+    """One training step from what is buffered: (selected, buffer, runs, position), the last three as the next step finds
+    them; None if fewer tokens than the budget are ready.
+
+    buffer: (run, arrival, sample, tokens, step), arrivals in order within a run; runs: (run, place, current_step). Selected
+    samples leave, and so do those that are over the budget by themselves while nothing is taken. A run whose buffer is
+    empty or goes on with a later step has its step counted up. All three are written tables: the steps of a long run
+    have no lineage, and whoever resumes reads them."""
+    if not enough_tokens(buffer, runs, budget).first()["enough"]:
+        return None
+    taken, after = round_robin_selection(buffer, runs, budget, position)
+    taken = written(taken, "selected")
+    # in the order of turns, everything up to the last row taken has left
+    n = runs.count()
+    at = F.struct(F.pmod(F.col("place") - position, F.lit(n)).alias("turn"), "arrival", "sample")
+    placed = buffer.join(runs, "run").withColumn("_at", at)
+    first = placed.join(taken.select("sample"), "sample", "left_semi").agg(F.min("_at").alias("at")).first()["at"]
+    gone = taken.select("run", "sample")
+    ready = ready_samples(buffer, runs).withColumn("_at", at)
+    if first is not None:
+        start = F.struct(F.lit(first["turn"]).alias("turn"), F.lit(first["arrival"]).alias("arrival"), F.lit(first["sample"]).alias("sample")).cast(ready.schema["_at"].dataType)
+        gone = gone.unionByName(ready.where(F.col("_at") < start).select("run", "sample"))
+    else:
+        gone = ready.select("run", "sample")
+    rest = written(buffer.join(gone.hint("shuffle_hash"), ["run", "sample"], "left_anti").select(*buffer.columns), "buffer")
+    heads = rest.groupBy("run").agg(F.min_by("step", F.struct("arrival", "sample")).alias("_head"))
+    moved = runs.join(taken.select("run").distinct().withColumn("_took", F.lit(True)), "run", "left").join(heads, "run", "left")
+    done = F.coalesce("_took", F.lit(False)) & (F.col("_head").isNull() | (F.col("_head") > F.col("current_step")))
+    progress = moved.select("run", "place", (F.col("current_step") + done.cast("int")).cast(runs.schema["current_step"].dataType).alias("current_step"))
+    return taken, rest, written(progress, "runs"), after
+
+
 def run_progress(selected: DataFrame, pending: DataFrame, run: str = "run_id", tokens: str = "tokens") -> DataFrame:
     """Samples and tokens of each run, and whether its step is done: nothing of it is pending."""
     used = selected.groupBy(run).agg(F.count("*").alias("samples"), F.sum(tokens).alias("tokens"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rollsift.functions import arrays as ar
+from rollsift.operators import batches as bt
+from rollsift.plans.groups import _lengths, _samples
 from rollsift.plans.queries import query
-from rollsift.plans.views import ROLLOUTS, read, rollouts
+from rollsift.plans.views import ROLLOUTS, SEQUENCES, read, rollouts, sequences
 from rollsift.sources import readers as rd
 from rollsift.sources import writers as wr
 from rollsift.sources.scratch import scratch_path
@@ -85,3 +91,90 @@ def x9_gauges(spark, sf_dir):
     finally:
         spark.streams.removeListener(listener)
     return spark.read.schema(st.Gauges.SCHEMA).parquet(f"{root}/gauges").where("query = 'gauged'").agg(F.sum("input_rows").alias("input_rows"))
+
+
+@query()
+def p15_packed_steps(spark, sf_dir):
+    """Training steps until too few tokens are left: (train_step, run, sample). Samples over the budget go."""
+    samples = _lengths(spark, sf_dir).select(F.col("run_id").alias("run"), "arrival", F.col("sample_id").alias("sample"), F.col("length").cast("long").alias("tokens"), F.floor(F.col("sample_id") / 8000).cast("long").alias("step"))
+    runs = samples.groupBy("run").agg(F.min("step").alias("current_step")).select("run", F.expr("cast(substr(run, 4) as long)").alias("place"), "current_step")
+    budget = samples.agg(F.sum("tokens")).first()[0] // 6 + 1
+    steps, position = [], 0
+    while True:
+        taken = bt.next_step(samples, runs, budget, position)
+        if taken is None:
+            break
+        chosen, samples, runs, position = taken
+        steps.append(chosen.select(F.lit(len(steps)).alias("train_step"), "run", "sample"))
+    return reduce(DataFrame.unionByName, steps)
+
+
+@query(f"""WITH {ROLLOUTS}, m AS (SELECT step, 'reward' AS key, sum(reward) AS value FROM rollouts GROUP BY step UNION ALL SELECT step, 'tokens', sum(len)::DOUBLE FROM rollouts GROUP BY step)
+    SELECT 'full' AS kind, step, key, value FROM m UNION ALL SELECT 'last', step, key, value FROM m WHERE step = (SELECT max(step) FROM m)""")
+def k5_metric_history(spark, sf_dir):
+    """All steps' metrics and the last step's, as a run's monitor keeps them."""
+    root = scratch_path(spark, "metrics")
+    r = rollouts(spark, sf_dir)
+    sums = r.groupBy("step").agg(F.sum("reward").alias("reward"), F.sum("len").cast("double").alias("tokens"))
+    rows = sums.unpivot("step", ["reward", "tokens"], "key", "value")
+    wr.metric_history(rows, f"{root}/full")
+    wr.metric_history(rows, f"{root}/last", last_only=True)
+    read_back = lambda kind: spark.read.schema(rows.schema).parquet(f"{root}/{kind}").select(F.lit(kind).alias("kind"), "step", "key", "value")
+    return read_back("full").unionByName(read_back("last"))
+
+
+@query(f"WITH {ROLLOUTS} SELECT max(step) AS step, count(*)::BIGINT AS samples, sum(len)::BIGINT AS tokens FROM rollouts")
+def k9_progress(spark, sf_dir):
+    """A run's counters, written after a half of its steps and again after all: the last ones stay."""
+    path = scratch_path(spark, "progress")
+    r = rollouts(spark, sf_dir)
+    counters = lambda df: df.agg(F.max("step").alias("step"), F.count("*").alias("samples"), F.sum("len").alias("tokens"))
+    wr.progress(counters(r.where("step % 2 = 0")), path)
+    wr.progress(counters(r), path)
+    return spark.read.schema("step long, samples long, tokens long").parquet(path)
+
+
+@query("SELECT p_brand AS model_name, count(*)::INT AS seq_len, round(sum(p_partkey)::DOUBLE, 3) AS throughput FROM part GROUP BY 1")
+def s12_benchmarks(spark, sf_dir):
+    """A tree of benchmark records, a file each, and files that are none."""
+    path = scratch_path(spark, "benchmarks")
+    p = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").cast("int").alias("n"), F.sum("p_partkey").cast("double").alias("keys"))
+    record = F.to_json(F.struct(F.struct(F.lit("rl").alias("type"), F.col("p_brand").alias("model_name"), F.col("n").alias("seq_len")).alias("config"), F.struct(F.struct(F.col("keys").alias("mean")).alias("throughput")).alias("metrics")))
+    lines = p.select("p_brand", F.explode(F.array(F.struct(F.lit("good").alias("kind"), record.alias("value")), F.struct(F.lit("broken").alias("kind"), F.lit("{no record").alias("value")))).alias("x"))
+    lines.select(F.col("x.kind").alias("kind"), "p_brand", "x.value").repartition("kind", "p_brand").write.partitionBy("kind", "p_brand").text(path)
+    got = rd.benchmarks(spark, path)
+    return got.select(F.col("config.model_name").alias("model_name"), F.col("config.seq_len").alias("seq_len"), F.round("metrics.throughput.mean", 3).alias("throughput"))
+
+
+@query(f"""WITH {SEQUENCES} SELECT id, string_agg(q, ',' ORDER BY pos) || CASE WHEN last(q ORDER BY pos) = 7 THEN '' ELSE ',7' END AS ids FROM places GROUP BY id""")
+def m8_appended_end(spark, sf_dir):
+    return sequences(spark, sf_dir).select("id", F.array_join(ar.append_if_missing(F.transform("xs", lambda x: x["q"]), F.lit(7)), ",").alias("ids"))
+
+
+_BINS = f"""{SEQUENCES}, s AS (SELECT id, 'run' || (id % 2) AS run_id, id // 500 AS step, row_number() OVER (PARTITION BY id % 2, id // 500 ORDER BY id) - 1 AS rk FROM (SELECT DISTINCT id FROM items)),
+    t AS (SELECT run_id, step, rk // 3 AS bin, rk % 3 AS position, p.*, (rk // 3) % 5 = 4 AS dummy, max(CASE WHEN pos = 3 THEN 5 + t END) OVER (PARTITION BY id) AS first3 FROM s JOIN places p USING (id))"""
+
+
+@query(f"""WITH {_BINS}, b AS (SELECT run_id, step, bin, count(*) AS n, string_agg(token, ',' ORDER BY position, pos) AS ids, string_agg((NOT dummy AND pos > 2 AND q % 3 <> 0)::INT, ',' ORDER BY position, pos) AS mask,
+        string_agg(CASE WHEN dummy THEN 0 ELSE id % 5 END, ',' ORDER BY position, pos) AS advantages, string_agg(CASE WHEN pos > 2 THEN -d ELSE 0 END, ',' ORDER BY position, pos) AS logprobs,
+        string_agg(CASE WHEN pos > 2 THEN 5 + t ELSE coalesce(first3, 10) END, ',' ORDER BY position, pos) AS temperatures, string_agg(pos - 1, ',' ORDER BY position, pos) AS positions,
+        string_agg('env' || (id % 3), ',' ORDER BY position, pos) AS envs, string_agg(id % 2, ',' ORDER BY position, pos) AS rewards, string_agg(CASE WHEN id % 4 = 0 THEN 0 ELSE token % 2 END, ',' ORDER BY position, pos) AS types,
+        count(*) FILTER (id % 3 = 0) AS a0, count(*) FILTER (id % 3 = 1) AS a1, count(*) FILTER (id % 3 = 2) AS a2 FROM t GROUP BY ALL), f AS (SELECT *, (-n) % 8 + CASE WHEN n % 8 = 0 THEN 0 ELSE 8 END AS pad FROM b)
+    SELECT run_id, step, bin, ids || repeat(',1', pad) AS ids, mask || repeat(',0', pad) AS mask, advantages || repeat(',0', pad) AS advantages, logprobs || repeat(',0', pad) AS logprobs, temperatures || repeat(',10', pad) AS temperatures,
+        positions || CASE WHEN pad > 0 THEN ',' || array_to_string(range(pad), ',') ELSE '' END AS positions, envs || repeat(',', pad) AS envs, rewards || repeat(',nan', pad) AS rewards, types || repeat(',0', pad) AS types,
+        a0 || ',' || a1 || ',' || (a2 + pad) AS adapter_tokens FROM f""")
+def p6_bins(spark, sf_dir):
+    """Every array of bins of three samples, padded to eights, with adapters and type ids; each fifth bin is a dummy."""
+    s = _samples(spark, sf_dir)
+    at = F.row_number().over(W.partitionBy("run_id", "step").orderBy("arrival")).cast("long") - 1
+    plan = s.select("run_id", "step", "sample_id", at.alias("at")).select("run_id", "step", "sample_id", F.floor(F.col("at") / 3).alias("bin"), (F.col("at") % 3).alias("position"))
+    plan = plan.withColumn("worker", F.col("bin") % 4).withColumn("turn", F.col("bin")).withColumn("is_dummy", F.col("bin") % 5 == 4)
+    rows = bt.prepared(s, 24).withColumn("adapter", (F.col("sample_id") % 3).cast("int"))
+    rows = rows.withColumn("type_ids", F.when(F.col("sample_id") % 4 != 0, F.transform("input_ids", lambda x: x % 2)))
+    bins = bt.materialised(rows, plan, multiple=8, adapters=3)
+    whole = lambda c, scale=1: F.array_join(F.transform(c, lambda x: F.when(F.isnan(x.cast("double")), F.lit("nan")).otherwise(F.round(x.cast("double") * scale).cast("long").cast("string"))), ",")
+    return bins.select(
+        "run_id", "step", "bin", whole("input_ids").alias("ids"), F.array_join(F.transform("loss_mask", lambda x: x.cast("int")), ",").alias("mask"), whole("advantages").alias("advantages"),
+        whole("inference_logprobs", 10).alias("logprobs"), whole("temperatures", 10).alias("temperatures"), whole("position_ids").alias("positions"), F.array_join("env_names", ",").alias("envs"),
+        whole("rewards").alias("rewards"), whole("type_ids").alias("types"), F.array_join("adapter_tokens", ",").alias("adapter_tokens"),
+    )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
+from rollsift.operators.batches import Ladder
 from rollsift.sources.scratch import scratch_path
 
 
@@ -74,6 +75,73 @@ class _Previous(StatefulProcessor):
         pass
 
 
+class _Stacked(StatefulProcessor):
+    """Holds a key's ladder of buckets."""
+
+    def __init__(self, keys: list[str], area: int, timeout: int, order: str, sample: str, length: str):
+        self.keys, self.area, self.timeout, self.order, self.sample, self.length = keys, area, timeout, order, sample, length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("ladder", Ladder.STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ladder = Ladder(self.area, self.timeout)
+        if self.kept.exists():
+            ladder.resume(self.kept.get())
+        for r in sorted(rows, key=lambda r: (r[self.order] is not None, r[self.order])):
+            for batch, bucket, place, item, n in ladder.put(r[self.sample], r[self.length]):
+                yield Row(**dict(zip(self.keys, key, strict=True)), batch=batch, bucket=bucket, position=place, sample_id=item, taken=n)
+        self.kept.update(ladder.state())
+
+    def close(self) -> None:
+        pass
+
+
+class _Packed(StatefulProcessor):
+    """Holds a key's open pack."""
+
+    STATE = "pack long, used int, held array<struct<sample_id:long,start:int,taken:int>>"
+
+    def __init__(self, keys: list[str], seq_len: int, order: str, sample: str, length: str):
+        self.keys, self.seq_len, self.order, self.sample, self.length = keys, seq_len, order, sample, length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("pack", self.STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        pack, used, held = self.kept.get() if self.kept.exists() else (0, 0, [])
+        held = [tuple(x) for x in held]
+        for r in sorted(rows, key=lambda r: (r[self.order] is not None, r[self.order])):
+            n = r[self.length] or 0
+            held.append((r[self.sample], used, min(n, self.seq_len - used)))
+            used += n
+            if used >= self.seq_len:
+                for item, start, taken in held:
+                    yield Row(**dict(zip(self.keys, key, strict=True)), pack=pack, sample_id=item, start=start, taken=taken)
+                pack, used, held = pack + 1, 0, []
+        self.kept.update((pack, used, held))
+
+    def close(self) -> None:
+        pass
+
+
+def _of_keys(stream: DataFrame, keys: list[str], columns: str) -> T.StructType:
+    return T.StructType([*[stream.schema[k] for k in keys], *T._parse_datatype_string(columns).fields])
+
+
+def stream_stacked(stream: DataFrame, area: int, keys: list[str], order: str, timeout: int = 10, sample: str = "sample_id", length: str = "length") -> DataFrame:
+    """Stream: the batches of ``batches.stacked``. Buckets, their timers and what waits in them are state: a query that
+    goes on from its checkpoint gives the batches of one that never stopped. Rows of a micro-batch come by ``order``."""
+    out = _of_keys(stream, keys, "batch long, bucket int, position int, sample_id long, taken int")
+    return stream.groupBy(*keys).transformWithState(_Stacked(keys, area, timeout, order, sample, length), out, "append", "none")
+
+
+def stream_cat_packs(stream: DataFrame, seq_len: int, keys: list[str], order: str, sample: str = "sample_id", length: str = "length") -> DataFrame:
+    """Stream: the packs of ``batches.cat_packs``, the open one being state."""
+    out = _of_keys(stream, keys, "pack long, sample_id long, start int, taken int")
+    return stream.groupBy(*keys).transformWithState(_Packed(keys, seq_len, order, sample, length), out, "append", "none")
+
+
 def stream_groups(stream: DataFrame, size: int, group: str | tuple[str, ...] = "group_id", order: str | None = None) -> DataFrame:
     """Stream: a group's rows, when its ``size``-th has come. Later rows of a finished group begin a new one.
 

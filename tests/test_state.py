@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from rollsift.functions import scalars as sc
+from rollsift.operators import batches as bt
 from rollsift.operators import filters as fl
 from rollsift.operators import ordering as od
 from rollsift.operators import selection as sel
@@ -164,3 +165,80 @@ def test_longest_prefixes_of_many_lengths(spark):
         if fits:
             want.append((i, -max(fits)[1]))
     assert sorted((x["qid"], x["prefix_id"]) for x in od.longest_prefix(q, p, "key").collect()) == sorted(want)
+
+
+def test_bucketing_and_packing_resume(spark, tmp_path):
+    """Stopped and resumed four times, the stream gives what one run over the table gives."""
+    r = random.Random(11)
+    rows = [(r.choice(["a", "a", "a", None]), i, i + 1000, r.choice([5, 130, 256, 300, 700, 1024, 3000])) for i in range(600)]
+    df = spark.createDataFrame(rows, "run string, arrival long, sample_id long, length int")
+    for k in range(4):
+        df.where(F.col("arrival").between(150 * k, 150 * k + 149)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        st.started(st.stream_stacked(stream, 2048, ["run"], "arrival", timeout=3), f"{tmp_path}/stacked", f"{tmp_path}/ck1").awaitTermination()
+        st.started(st.stream_cat_packs(stream, 2048, ["run"], "arrival"), f"{tmp_path}/packs", f"{tmp_path}/ck2").awaitTermination()
+    plain = lambda d: sorted((tuple(x) for x in d.collect()), key=repr)
+    stacked = bt.stacked(df, 2048, ["run"], "arrival", timeout=3)
+    assert plain(spark.read.parquet(f"{tmp_path}/stacked").select(*stacked.columns)) == plain(stacked) and stacked.where("sample_id is null").count() > 0
+    packs = bt.cat_packs(df, 2048, ["run"], "arrival")
+    assert plain(spark.read.parquet(f"{tmp_path}/packs").select(*packs.columns)) == plain(packs)
+
+
+def plain_steps(queues, steps, budget):
+    """Queues (sample, tokens, step) a run, in turns from step to step."""
+    out, position, names = [], 0, sorted(queues)
+    ready = lambda q, run: [x for k, x in enumerate(q) if all(y[2] <= steps[run] for y in q[: k + 1])]
+    while sum(x[1] for run in names for x in ready(queues[run], run)) >= budget:
+        used, taken, full, idle = 0, [], False, 0
+        while used < budget and not full and idle < len(names):
+            run = names[position]
+            if not ready(queues[run], run):
+                position, idle = (position + 1) % len(names), idle + 1
+                continue
+            position, idle = (position + 1) % len(names), 0
+            while queues[run] and queues[run][0][2] <= steps[run]:
+                sample, tokens, _ = queues[run][0]
+                if used + tokens > budget:
+                    if not used:
+                        queues[run].pop(0)
+                        continue
+                    full = True
+                    break
+                queues[run].pop(0)
+                taken.append((run, sample))
+                used += tokens
+        for run in {x[0] for x in taken}:
+            if not queues[run] or queues[run][0][2] > steps[run]:
+                steps[run] += 1
+        out.append(sorted(taken))
+        if not taken:
+            break
+    return out
+
+
+def test_steps_carry_their_queues(spark):
+    r = random.Random(2)
+    for budget in (40, 90):
+        queues, ids = {}, iter(range(10_000))
+        for run in "abc":
+            sizes = [r.choice([3, 9, 20, 60]) for _ in range(70)]
+            queues[run] = [(next(ids), t, k // 12) for k, t in enumerate(sizes)]
+        rows = [(run, n, s, t, k) for run in queues for n, (s, t, k) in enumerate(queues[run])]
+        buffer = spark.createDataFrame(rows, "run string, arrival long, sample long, tokens long, step long")
+        runs = spark.createDataFrame([(run, n, 0) for n, run in enumerate("abc")], "run string, place long, current_step long")
+        want, position = plain_steps(queues, dict.fromkeys("abc", 0), budget)[:6], 0
+        for k, chosen in enumerate(want):
+            got, buffer, runs, position = bt.next_step(buffer, runs, budget, position)
+            assert sorted((x["run"], x["sample"]) for x in got.collect()) == chosen, (budget, k)
+        assert len(want) == 6
+
+
+def test_packed_steps_of_the_whole_table(spark):
+    from rollsift.plans import queries
+    from rollsift.plans.groups import _lengths
+
+    rows = sorted(_lengths(spark, SF).select("run_id", "sample_id", "length").collect(), key=lambda r: r["sample_id"])
+    queues = {run: [(r["sample_id"], r["length"], r["sample_id"] // 8000) for r in rows if r["run_id"] == run] for run in ("run0", "run1")}
+    want = plain_steps(queues, dict.fromkeys(queues, 0), sum(r["length"] for r in rows) // 6 + 1)
+    got = queries.QUERIES["p15_packed_steps"](spark, SF).collect()
+    assert [sorted((r["run"], r["sample"]) for r in got if r["train_step"] == k) for k in range(len(want))] == want and len(want) == 5
