@@ -16,6 +16,7 @@ from rollsift.plans.views import ROLLOUTS, SEQUENCES, read, rollouts, sequences
 from rollsift.sources import readers as rd
 from rollsift.sources import writers as wr
 from rollsift.sources.scratch import scratch_path
+from rollsift.sources.transport import transported
 from rollsift.streaming import groups as st
 
 
@@ -52,11 +53,11 @@ def j8_stream_previous(spark, sf_dir):
     return got.select("rollout_id", "previous_wide", "previous_third")
 
 
-@query(f"""WITH {ROLLOUTS} SELECT step, (rollout_id % 4)::INT AS rank, env_name, [rollout_id, len] AS token_ids, [len % 2 = 0, true] AS loss_mask FROM rollouts""")
+@query(f"""WITH {ROLLOUTS} SELECT step // 20 AS step, (rollout_id % 4)::INT AS rank, env_name, [rollout_id, len] AS token_ids, [len % 2 = 0, true] AS loss_mask FROM rollouts""")
 def x7_published_export(spark, sf_dir):
     """An export is staged twice and committed three times; readers see every row once."""
     path = scratch_path(spark, "export")
-    step = F.col("step").cast("int")
+    step = F.floor(F.col("step") / 20).cast("int")
     rows = rollouts(spark, sf_dir).select(
         step.alias("step"), step.alias("export_step"), (F.col("rollout_id") % 4).cast("int").alias("rank"), F.col("rollout_id").cast("int").alias("micro_step"), "env_name",
         F.array("rollout_id", "len").alias("token_ids"), F.array(F.col("len") % 2 == 0, F.lit(True)).alias("loss_mask"),
@@ -178,3 +179,15 @@ def p6_bins(spark, sf_dir):
         whole("inference_logprobs", 10).alias("logprobs"), whole("temperatures", 10).alias("temperatures"), whole("position_ids").alias("positions"), F.array_join("env_names", ",").alias("envs"),
         whole("rewards").alias("rewards"), whole("type_ids").alias("types"), F.array_join("adapter_tokens", ",").alias("adapter_tokens"),
     )
+
+
+@query(f"WITH {ROLLOUTS} SELECT 'run_' || env_name AS run_id, step // 20 AS step, rollout_id, len FROM rollouts WHERE env_name <> 'env2' OR step // 20 < 3")
+def s7_transported(spark, sf_dir):
+    """Each environment's steps as a run's folders; the third run's step 3 isn't whole, and what follows waits."""
+    root = scratch_path(spark, "transport")
+    r = rollouts(spark, sf_dir).withColumn("step", F.floor(F.col("step") / 20))
+    for env in ("env0", "env1", "env2"):
+        mine = r.where(F.col("env_name") == env).select(F.col("step").alias("export_step"), F.lit(0).alias("rank"), "rollout_id", "len")
+        whole = mine.where("export_step <> 3") if env == "env2" else mine
+        wr.token_export(whole, f"{root}/run_{env}")
+    return st.drained(transported(spark, root, "rollout_id long, len long"), "transported").select("run_id", "step", "rollout_id", "len")

@@ -242,3 +242,30 @@ def test_packed_steps_of_the_whole_table(spark):
     want = plain_steps(queues, dict.fromkeys(queues, 0), sum(r["length"] for r in rows) // 6 + 1)
     got = queries.QUERIES["p15_packed_steps"](spark, SF).collect()
     assert [sorted((r["run"], r["sample"]) for r in got if r["train_step"] == k) for k in range(len(want))] == want and len(want) == 5
+
+
+def test_steps_come_in_run_order_once(spark, tmp_path):
+    """Folders that arrive out of order, over restarts, an unfinished one and a run that comes late."""
+    from rollsift.sources.transport import transported
+
+    def put(run, step, stable=True):
+        folder = tmp_path / "in" / f"run_{run}" / f"step_{step}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / "rank_0.jsonl").write_text("".join(f'{{"n": {i}}}\n' for i in range(step + 1)))
+        (folder / "rank_1.jsonl").write_text('{"n": 99}')
+        if stable:
+            (folder / "STABLE").touch()
+
+    def drain():
+        stream = transported(spark, f"file://{tmp_path}/in", "n int")
+        st.started(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+        return sorted((r["run_id"], r["step"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    of = lambda run, steps: [(f"run_{run}", s, n) for s in steps for n in [*range(s + 1), 99]]
+    put("a", 0), put("a", 2), put("b", 1)
+    assert drain() == of("a", [0])
+    put("a", 1), put("b", 0, stable=False)
+    assert drain() == of("a", [0, 1, 2])
+    put("b", 0), put("c", 0), put("a", 4)
+    assert drain() == sorted([*of("a", [0, 1, 2]), *of("b", [0, 1]), *of("c", [0])])
+    assert drain() == sorted([*of("a", [0, 1, 2]), *of("b", [0, 1]), *of("c", [0])])
