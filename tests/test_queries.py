@@ -27,6 +27,16 @@ def plain(v):
     return str(v)
 
 
+#: Queries whose results hang on an order along many rows.
+ORDERED = "s1_tagged o1_weighted_schedule o3_round_robin o4_interleave_all o4_interleave_first o5_interleave_by_probability o6_epoch_order o18_exact_sample t1_by_run_and_length t7_report_order t8_batches t9_token_batches j8_previous j9_longest_prefix p11_cat_packs x2_sink x8_resumed".split()
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_many_ranges_give_the_same(ranges, sql, name):
+    """The same over sixteen partitions that nothing puts together again."""
+    test_same_as_sql(ranges, sql, name)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, sql, name):
     df = queries.QUERIES[name](spark, SF_DIR)

@@ -12,18 +12,6 @@ from rollsift.operators import scans
 from rollsift.operators.batches import cat_packs
 
 
-@pytest.fixture()
-def ranges(spark):
-    """Many small ranges, whatever the table."""
-    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    yield spark
-    for k, v in before.items():
-        spark.conf.set(k, v)
-
-
 def test_dense_index_of_a_wide_table(ranges):
     """600,000 rows of a wide payload: every index once, in order."""
     n = 600_000
