@@ -453,7 +453,9 @@ def _members(keyed: DataFrame) -> tuple[DataFrame, list[str]]:
         keys = keyed.select("node", F.explode(column).alias("key"))
         counted = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows"))
         shared, shared_path = materialise(counted.where("lo < hi").select("key", "rows"), "shared-keys")
-        part, path = materialise(keys.join(shared.hint("shuffle_hash"), "key").distinct(), "members")
+        rows = keyed.agg(F.sum(F.size(column))).first()[0] or 0
+        # a key that very many rows have is dealt over many tasks by their nodes
+        part, path = materialise(spread_join(keys, shared.select("key", "rows"), "key", "node", sizes=shared.withColumnRenamed("rows", "n"), rows=rows).distinct(), "members")
         discard(spark, shared_path)
         parts.append(part)
         paths.append(path)
