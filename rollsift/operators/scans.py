@@ -35,10 +35,11 @@ def dense_index(df: DataFrame, order: str | Column | list, out: str) -> DataFram
     return rows.join(F.broadcast(offsets), "_part", "left").select(*[c for c in df.columns if c != out], (F.col("_at") + F.col("_before")).alias(out))
 
 
-def scanned(df: DataFrame, keys: list[str], order: list[str], at: str | None = None, size: str | None = None, sums: dict[str, str] | None = None, previous: dict[str, str] | None = None) -> DataFrame:
+def scanned(df: DataFrame, keys: list[str], order: list[str], at: str | None = None, size: str | None = None, sums: dict[str, str] | None = None, previous: dict[str, str] | None = None, mins: dict[str, str] | None = None) -> DataFrame:
     """Adds what asks for a key's rows in order: ``at`` (place from 0), ``size`` (rows of the key), ``sums`` (name:
-    column; the sum over the earlier rows) and ``previous`` (name: column; the value of the row before, null at the first)."""
-    sums, previous = sums or {}, previous or {}
+    column; the sum over the earlier rows), ``mins`` (name: column; the least value so far, the row's own included) and
+    ``previous`` (name: column; the value of the row before, null at the first)."""
+    sums, previous, mins = sums or {}, previous or {}, mins or {}
     names = df.columns
     rows = ranged(df, [*keys, *order]).withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0)))
     w = W.partitionBy("_part", "_key").orderBy("_at")
@@ -48,13 +49,16 @@ def scanned(df: DataFrame, keys: list[str], order: list[str], at: str | None = N
         inside = inside.withColumn(o, F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long")))
     for o, c in previous.items():
         inside = inside.withColumn(o, F.lag(c).over(w))
-    last = [F.max_by(c, "_at").alias(f"_last_{o}") for o, c in previous.items()]
+    for o, c in mins.items():
+        inside = inside.withColumn(o, F.min(c).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    last = [F.max_by(c, "_at").alias(f"_last_{o}") for o, c in previous.items()] + [F.min(c).alias(f"_min_{o}") for o, c in mins.items()]
     blocks = rows.groupBy("_part", "_key").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()], *last)
     over = W.partitionBy("_key").orderBy("_part")  # a row for each range that holds the key
     before = over.rowsBetween(W.unboundedPreceding, -1)
     carried = blocks.select(
         F.col("_part").alias("_p"), F.col("_key").alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"), F.sum("_n").over(W.partitionBy("_key")).alias("_size"),
         *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_before_{o}") for o in sums], *[F.lag(f"_last_{o}").over(over).alias(f"_carry_{o}") for o in previous],
+        *[F.min(f"_min_{o}").over(before).alias(f"_least_{o}") for o in mins],
     )
     # the rows are already dealt by (_part, _key), so that only the blocks move
     met = inside.join(carried.hint("shuffle_hash"), (F.col("_part") == F.col("_p")) & (F.col("_key") == F.col("_k")))
@@ -65,6 +69,7 @@ def scanned(df: DataFrame, keys: list[str], order: list[str], at: str | None = N
     if size:
         values.append(F.col("_size").alias(size))
     values += [(F.col(o) + F.col(f"_before_{o}")).alias(o) for o in sums]
+    values += [F.least(o, f"_least_{o}").alias(o) for o in mins]
     values += [F.when(F.col("_row") == 0, F.col(f"_carry_{o}")).otherwise(F.col(o)).alias(o) for o in previous]
     return met.select(*out, *values)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rollsift.functions import arrays as ar
 from rollsift.operators import batches as bt
+from rollsift.operators.admission import rate_limited
 from rollsift.plans.groups import _lengths, _samples
 from rollsift.plans.queries import query
 from rollsift.plans.views import ROLLOUTS, SEQUENCES, read, rollouts, sequences
@@ -191,3 +192,15 @@ def s7_transported(spark, sf_dir):
         whole = mine.where("export_step <> 3") if env == "env2" else mine
         wr.token_export(whole, f"{root}/run_{env}")
     return st.drained(transported(spark, root, "rollout_id long, len long"), "transported").select("run_id", "step", "rollout_id", "len")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS at_s, round(value * 100)::BIGINT % 900 AS cost FROM events),
+    s AS (SELECT *, at_s - sum(cost) OVER (PARTITION BY event_type ORDER BY at_s, event_id ROWS UNBOUNDED PRECEDING) AS s FROM e),
+    l AS (SELECT *, s + min(600 - cost - s) OVER (PARTITION BY event_type ORDER BY at_s, event_id ROWS UNBOUNDED PRECEDING) AS level FROM s)
+    SELECT event_id, level::BIGINT AS level, greatest(-level, 0)::BIGINT AS wait FROM l""")
+def x6_rate_limited(spark, sf_dir):
+    """Events of a type share a bucket of 600 that gains one a second."""
+    e = read(spark, sf_dir, "events")
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    rows = e.select("event_id", "event_type", seconds.alias("at_s"), (F.round(F.col("value") * 100).cast("long") % 900).alias("cost"))
+    return rate_limited(rows, ["event_type"], "at_s", ["event_id"], "cost", 1, 600).select("event_id", "level", "wait")

@@ -117,3 +117,20 @@ def test_operators_on_a_hot_key(ranges):
     packs = sorted((at, run, held, min(dict(xs[k])[at] or 0, 20 - held)) for k in xs for at, run, held in _runs(xs[k], 20))
     got = cat_packs(df.fillna({"tokens": 0}), 20, ["key"], "at", sample="at", length="tokens")
     assert sorted((r["sample_id"], r["pack"], r["start"], r["taken"]) for r in got.collect()) == packs
+
+
+def test_token_buckets_of_a_hot_key(ranges):
+    """Levels and waits of a plain loop, with events at one time and idle stretches."""
+    from rollsift.operators.admission import rate_limited
+
+    r = random.Random(9)
+    rows, t = [], 0
+    for i in range(4000):
+        t += r.choice([0, 0, 1, 2, 400])
+        rows.append((r.choice([None, "a", "hot", "hot", "hot"]), t, i, r.choice([0, 1, 5, 30, None])))
+    level, at, want = {}, {}, {}
+    for k, t, i, c in rows:
+        held = min(50, level.get(k, 50) + 3 * (t - at.get(k, t))) - (c or 0)
+        level[k], at[k], want[i] = held, t, (held, max(0, -(held // 3)))
+    df = ranges.createDataFrame(rows, "key string, t long, i long, cost int").repartition(5)
+    assert {x["i"]: (x["level"], x["wait"]) for x in rate_limited(df, ["key"], "t", ["i"], "cost", 3, 50).collect()} == want
