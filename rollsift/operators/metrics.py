@@ -98,14 +98,16 @@ def eval_metrics(df: DataFrame, keys: list[str], reward: str = "reward", error:
     )
 
 
-def pass_at_k_by_example(df: DataFrame, keys: list[str], example: str = "example_id", reward: str = "reward") -> DataFrame:
-    """keys, k, pass_at_k: means over the examples with k rows or more, k = 1, 2, 4, ...
+def pass_at_k_by_example(df: DataFrame, keys: list[str], example: str = "example_id", reward: str = "reward", largest: int | None = None) -> DataFrame:
+    """keys, k, pass_at_k: means over the examples with k rows or more, k = 1, 2, 4, ... (up to ``largest``, if given)
 
     Nothing for a key that has rewards other than 0 and 1."""
     per = df.groupBy(*keys, example).agg(F.count("*").alias("n"), F.count_if(F.col(reward) == 1).alias("c"), F.bool_and(F.coalesce(F.col(reward).isin(0.0, 1.0), F.lit(False))).alias("binary"))
     gate = per.groupBy(*keys).agg(F.bool_and("binary").alias("ok")).where("ok").drop("ok")
     ks = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int")), lambda i: F.pow(F.lit(2.0), i).cast("long"))
     each = per.join(gate, keys).withColumn("k", F.explode(ks))
+    if largest is not None:
+        each = each.where(F.col("k") <= largest)
     return each.groupBy(*keys, "k").agg(F.avg(pass_at_k("n", "c", "k")).alias("pass_at_k"))
 
 

@@ -1,5 +1,6 @@
 """What shows only on larger tables, on tables made to look like them."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from rollsift.plans import queries
@@ -7,9 +8,25 @@ from rollsift.plans import queries
 SF = "/root/testdata/sf0.001"
 
 
+def sql(name, folder, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    return sorted(con.execute(queries.SQL[name]).fetchall(), key=repr)
+
+
 def test_no_training_step_is_an_empty_table(spark, tmp_path):
     """Ids far apart: too few tokens are ready for the first step."""
     items = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_orderkey", F.col("l_orderkey") * 1000)
     items.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = queries.QUERIES["p15_packed_steps"](spark, str(tmp_path))
     assert got.columns == ["train_step", "run", "sample"] and got.collect() == []
+
+
+def test_pass_at_k_of_large_examples(spark, tmp_path):
+    """An example with more than 2048 rows."""
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(1).drop("event_id", "value")
+    more = spark.range(2100).select((F.col("id") * 1200).alias("event_id"), F.when(F.col("id") < 40, 0.01).otherwise(0.02).alias("value"))
+    events.crossJoin(more).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["a18_pass_at_k"](spark, str(tmp_path)).select("env_name", "eval_step", "k", "pass_at_k").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sql("a18_pass_at_k", tmp_path, "events") and len(got) == 11
