@@ -59,15 +59,49 @@ def reward_as_advantage(df: DataFrame, reward: str = "reward", out: str = "advan
 
 
 def custom_advantage(df: DataFrame, fn, group: str = "group_id", out: str = "advantage") -> DataFrame:
-    """``fn(pandas.DataFrame) -> sequence`` per group, one value for each row in order."""
+    """``fn(pandas.DataFrame) -> sequence`` per group, one value for each row in order.
+
+    Groups lie one after another in their partition; a batch of many becomes one frame, and a group is held across
+    batches until its last row has come."""
+    import numpy as np
+    import pyarrow as pa
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    key = "_group_key"
+    simple = isinstance(df.schema[group].dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType))
+    keyed = df.withColumn(key, F.col(group) if simple else F.to_json(F.struct(group)))
+
+    def valued(table):
+        """Whole groups, one after another: a frame is made once and cut into its groups."""
+        codes = table[key].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        table = table.drop_columns([key])
+        frame, values = table.to_pandas(), []
+        for start, end in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
+            part = list(fn(frame.iloc[start:end].reset_index(drop=True)))
+            if len(part) != end - start:
+                raise ValueError("an advantage function returns one value for each row")
+            values += [float(v) for v in part]
+        # as from pandas: what isn't a number is null
+        return table.append_column(out, pa.array(values, pa.float64(), from_pandas=True)).to_batches()
 
-    def apply(pdf):
-        values = list(fn(pdf))
-        if len(values) != len(pdf):
-            raise ValueError("an advantage function returns one value for each row")
-        return pdf.assign(**{out: [float(v) for v in values]})
+    def run(batches):
+        held = []  # rows of the group that is open
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(key).dictionary_encode("encode").indices.to_numpy()
+            last = int(np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])[-1])
+            same = not last and held and len(pa.concat_arrays([held[-1].column(key)[-1:], b.column(key)[:1]]).dictionary_encode("encode").dictionary) == 1
+            if not same:
+                # the open group ends before the batch's last one begins
+                done = [*held, *([b.slice(0, last)] if last else [])]
+                if done:
+                    yield from valued(pa.Table.from_batches(done))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from valued(pa.Table.from_batches(held))
 
-    return df.groupBy(group).applyInPandas(apply, schema)
+    return keyed.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)

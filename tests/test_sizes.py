@@ -30,3 +30,26 @@ def test_pass_at_k_of_large_examples(spark, tmp_path):
     events.crossJoin(more).write.parquet(f"{tmp_path}/events.parquet")
     got = queries.QUERIES["a18_pass_at_k"](spark, str(tmp_path)).select("env_name", "eval_step", "k", "pass_at_k").collect()
     assert sorted((tuple(r) for r in got), key=repr) == sql("a18_pass_at_k", tmp_path, "events") and len(got) == 11
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_custom_advantage_cuts_groups_from_larger_frames(spark):
+    """Groups of one row to hundreds, a null one and NaN, across batches of three rows; no frame is moved for each group."""
+    from rollsift.operators.advantage import custom_advantage
+
+    key = F.when(F.col("id") % 7 > 0, F.floor(F.sqrt(F.col("id"))) % 20)
+    df = spark.range(900).select("id", F.when(key == 3, float("nan")).otherwise(key.cast("double")).alias("group_id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = custom_advantage(df, lambda g: [len(g) * 1000 + g["id"].min()] * len(g))
+        got = {r["id"]: r["advantage"] for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(repr(r["group_id"]), []).append(r["id"])
+    assert got == {i: len(g) * 1000 + min(g) for g in groups.values() for i in g} and {"None", "nan"} < set(groups)
+    assert "FlatMapGroupsInPandas" not in plan(made)
