@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,6 +76,9 @@ def collapsed_tools(df: DataFrame, keys: list[str], order: str, role: str = "rol
     return df.withColumn("_next", following).where(~((F.col(role) == "tool") & (F.coalesce(F.col("_next"), F.lit("")) == "tool"))).drop("_next")
 
 
+#: Rendered tokens that a task holds before it sends them; a longer chat is sent alone.
+TOKENS_AT_ONCE = 1 << 18
+
 Renderer = Callable[[list[dict], bool], list[int]]
 
 
@@ -102,16 +106,28 @@ def tokenised(df: DataFrame, render: Renderer, column: str = "chat", keep: tuple
     picked = df.select(*keep, F.to_json(column).alias("_chat"))
     schema = T.StructType([*picked.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("mask", T.ArrayType(T.BooleanType()))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [render_masked(json.loads(x) if x else [], render, trained) for x in frame["_chat"]]
-            good = [m is not None for m in made]
-            out = frame.loc[good, list(keep)].copy()
-            out["ids"] = [m[0] for m in made if m is not None]
-            out["mask"] = [m[1] for m in made if m is not None]
-            yield out
-
-    return picked.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, made, held = [], [], 0
+            for at, x in enumerate(b.column("_chat")):
+                one = render_masked(json.loads(x.as_py()) if x.is_valid else [], render, trained)
+                if one is not None:
+                    rows.append(at)
+                    # packed at once: Python's numbers of a batch would take many times as much
+                    made.append((np.array(one[0], np.int64), np.array(one[1], bool)))
+                    held += len(one[0])
+                if held >= TOKENS_AT_ONCE:
+                    yield packed(b, rows, made)
+                    rows, made, held = [], [], 0
+            if rows:
+                yield packed(b, rows, made)
+
+    def packed(b: pa.RecordBatch, rows: list[int], made: list[tuple]) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *[len(i) for i, _ in made]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([m[k] for m in made]))) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(rows)) for c in keep], *lists], [*keep, "ids", "mask"])
+
+    return picked.mapInArrow(run, schema)
 
 
 def backfilled(prompt_rendered: Column, full: Column, completion_all_assistant: Column) -> Column:

@@ -53,3 +53,21 @@ def test_custom_advantage_cuts_groups_from_larger_frames(spark):
         groups.setdefault(repr(r["group_id"]), []).append(r["id"])
     assert got == {i: len(g) * 1000 + min(g) for g in groups.values() for i in g} and {"None", "nan"} < set(groups)
     assert "FlatMapGroupsInPandas" not in plan(made)
+
+
+def test_tokenised_chats_are_sent_in_parts(spark):
+    """More tokens than are held at once, a chat that isn't stable among them; none of it passes through pandas."""
+    from rollsift.operators import messages as ms
+
+    text = F.concat(F.lit("x" * 30_000), F.col("id").cast("string"))
+    chats = spark.range(40).coalesce(1).select("id", F.array(F.struct(F.lit("user").alias("role"), text.alias("content")), F.struct(F.lit("assistant").alias("role"), F.lit("yes").alias("content"))).alias("chat"))
+
+    def render(messages, ask):
+        out = [b for m in messages for b in m["content"].encode()]
+        return [len(messages), *out] if messages[0]["content"].endswith("x7") else out
+
+    made = ms.tokenised(chats, render, keep=("id",))
+    got = {r["id"]: (r["ids"], r["mask"]) for r in made.collect()}
+    asked = {i: list(b"x" * 30_000 + str(i).encode()) for i in range(40) if i != 7}
+    assert got == {i: (x + list(b"yes"), [False] * len(x) + [True] * 3) for i, x in asked.items()}
+    assert "MapInPandas" not in plan(made)
