@@ -54,6 +54,17 @@ def test_streams_give_what_they_got(spark, tmp_path):
     assert {r["arrival"]: (r["previous_n"], r["previous_v"]) for r in spark.read.parquet(f"{tmp_path}/prev").collect()} == expected
 
 
+def test_a_streams_groups_are_in_no_one_task(ranges, tmp_path):
+    """Two evaluations with all rows of a micro-batch: their rows come from many tasks, and none passes through Python."""
+    df = ranges.range(40_000).select("id", (F.col("id") % 2).alias("env_name"), F.lit(1).alias("eval_step"), F.hex(F.col("id") * 7919).alias("text"))
+    df.repartition(8).write.parquet(f"{tmp_path}/in")
+    stream = ranges.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    st.started(st.stream_evaluations(stream, 64, 4, order="id"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    got = ranges.read.parquet(f"{tmp_path}/out").select("*", F.input_file_name().alias("file"))
+    assert sorted(r["id"] for r in got.collect()) == [*range(20_000 // 256 * 256 * 2)]
+    assert got.groupBy("env_name", "file").count().agg(F.max("count")).first()[0] < 10_000
+
+
 def test_gauges_count_known_rows(spark, tmp_path):
     for k in range(3):
         spark.range(10 * (k + 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
