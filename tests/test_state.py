@@ -65,6 +65,23 @@ def test_a_streams_groups_are_in_no_one_task(ranges, tmp_path):
     assert got.groupBy("env_name", "file").count().agg(F.max("count")).first()[0] < 10_000
 
 
+def test_previous_values_need_no_call_a_key(ranges, tmp_path):
+    """Nothing that a key holds is asked for by a call of its own: the stream has no Python state, and null keys, orders and
+    values are as in a table."""
+    rows = [(k, o, None if v % 5 == 0 else v) for v, (k, o) in enumerate((k, o) for k in (None, 1, 2) for o in (None, *range(12)))]
+    df = ranges.createDataFrame(rows, "k int, o int, v int")
+    df.write.parquet(f"{tmp_path}/in")
+    made = st.stream_previous(ranges.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ["k"], "o", ["v"])
+    st.started(made, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    last, want = {}, []
+    for k, o, v in rows:
+        want.append((k, o, v, last.get(k)))
+        last[k] = v
+    got = [tuple(r) for r in ranges.read.parquet(f"{tmp_path}/out").select("k", "o", "v", "previous_v").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert "transformWithState" not in made.stream._jdf.queryExecution().toString()
+
+
 def test_gauges_count_known_rows(spark, tmp_path):
     for k in range(3):
         spark.range(10 * (k + 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
