@@ -82,6 +82,19 @@ def test_previous_values_need_no_call_a_key(ranges, tmp_path):
     assert "transformWithState" not in made.stream._jdf.queryExecution().toString()
 
 
+def test_a_batch_that_is_done_again_replaces_itself(spark, tmp_path):
+    df = spark.range(10).select(F.lit("g").alias("group_id"), F.col("id").alias("arrival"))
+    df.write.parquet(f"{tmp_path}/in")
+    made = st.stream_groups(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 3, order="arrival")
+    out, ck = f"{tmp_path}/out", f"{tmp_path}/ck"
+    ids = lambda path: sorted(r["arrival"] for r in spark.read.parquet(path).collect())
+    for _ in range(2):  # the second time as if the checkpoint hadn't been reached
+        st.started(made, out, ck).awaitTermination()
+        assert ids(out) == [*range(9)] and ids(f"{ck}/held/0") == [9]
+        (tmp_path / "ck" / "commits" / "0").unlink()
+        (tmp_path / "ck" / "commits" / ".0.crc").unlink(missing_ok=True)
+
+
 def test_gauges_count_known_rows(spark, tmp_path):
     for k in range(3):
         spark.range(10 * (k + 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
