@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollsift.operators.scans import restarting, scanned
 from rollsift.sources.scratch import written
@@ -26,26 +32,69 @@ def oldest_step(df: DataFrame, run: str = "run_id", step: str = "step") -> DataF
     return df.join(oldest, [run, step], "left_semi")
 
 
+#: Bits of the table of marks that every task gets: 16 a prefix, and 32 MB at most.
+MARK_BITS, MOST_BITS = 16, 1 << 28
+#: Queries whose marks a worker scans at once.
+SCANNED_ROWS = 500
+
+
+def _beginnings(shared, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, _key, _n, _digest) of the beginnings whose mark is in the table. A beginning's mark is the running exclusive
+    or of its tokens' marks; its digest is that of its words one after the other."""
+    table = np.frombuffer(shared.value, np.uint8)
+    for b in (b.slice(i, SCANNED_ROWS) for b in batches for i in range(0, b.num_rows, SCANNED_ROWS)):
+        marks, words = b.column("_marks"), b.column("_words")
+        at, word_at = (x.offsets.to_numpy() - x.offsets[0].as_py() for x in (marks, words))
+        running = np.bitwise_xor.accumulate(marks.flatten().to_numpy())
+        earlier = np.where(at[:-1] > 0, running[at[:-1] - 1], 0) if len(running) else running
+        place = (running ^ np.repeat(earlier, np.diff(at))) & (bits - 1)
+        hits = np.flatnonzero(table[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+        row = np.searchsorted(at, hits, side="right") - 1
+        n = hits - at[row]
+        texts = words.flatten().cast(pa.large_binary())
+        data = memoryview(texts.buffers()[2] or b"")
+        byte_at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        digests, current = [], -1
+        for r, begin, end in zip(row.tolist(), byte_at[word_at[row]].tolist(), byte_at[word_at[row] + n].tolist(), strict=True):
+            if r != current:
+                current, done, digest = r, begin, hashlib.sha256()
+            digest.update(data[done:end])
+            done = end
+            digests.append(digest.copy().digest())
+        taken = b.select(["_row", "_key"]).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(n, pa.int32()), pa.array(digests, pa.binary())], names=["_row", "_key", "_n", "_digest"])
+
+
 def longest_prefix(queries: DataFrame, prefixes: DataFrame, key: str, query: str = "ids", prefix: str = "prefix", order: str = "prefix_id") -> DataFrame:
     """For each query of a key the longest of the key's prefixes that it starts with; ties go to the first.
 
     Equal prefixes are one. A token's mark is a hash of its place and value, and a prefix's mark the exclusive or of its
-    tokens' marks, so that one running aggregate over a query's tokens has the marks of all its beginnings: a query of n
-    tokens costs n, whatever lengths there are, and no key's queries meet in a task. What is found is compared."""
-    marks = lambda tokens: F.transform(tokens, lambda x, i: F.xxhash64(i, x))
-    both = lambda hashes: F.aggregate(hashes, F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), lambda s, h: F.struct(s["a"].bitwiseXOR(h).alias("a"), s["b"].bitwiseXOR(F.xxhash64(h, F.lit(1))).alias("b")))
-    unique = prefixes.groupBy(key, F.col(prefix).alias("_prefix")).agg(F.min(order).alias(order)).withColumn("_mark", both(marks("_prefix")))
-    unique = written(unique.select(F.col(key).alias("_key"), F.size("_prefix").alias("_n"), "_mark.a", "_mark.b", "_prefix", order).withColumn("_prefix_row", F.monotonically_increasing_id()), "prefixes")
+    tokens' and its key's marks, so that one running scan over a query has the marks of all its beginnings: a query of n
+    tokens costs n, whatever lengths there are, and no key's queries meet in a task. A table of bits, of bounded size,
+    says which marks prefixes have; only beginnings that it lets through are moved, as their length and SHA-256, by which
+    they are compared with the prefixes. Texts aren't moved."""
+    spark = queries.sparkSession
+    mark = lambda tokens: F.transform(tokens, lambda x, i: F.xxhash64(i, x))
+    seed = F.xxhash64(F.lit(-1), F.col(key))
+    # a word says its own length, so that no two sequences read the same
+    spelt = lambda tokens: F.transform(tokens, lambda x: F.coalesce(F.concat(F.octet_length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string")), F.lit("-")))
+    whole = prefixes.where(F.col(key).isNotNull() & F.col(prefix).isNotNull()).select(
+        F.col(key).alias("_key"), F.size(prefix).alias("_n"), F.unhex(F.sha2(F.array_join(spelt(prefix), "").cast("binary"), 256)).alias("_digest"),
+        F.aggregate(mark(prefix), seed, lambda s, h: s.bitwiseXOR(h)).alias("_mark"), order,
+    )
+    unique = written(whole.groupBy("_key", "_n", "_digest").agg(F.min(order).alias(order), F.first("_mark").alias("_mark")), "prefixes")
+    bits = min(max(1 << (unique.count() * MARK_BITS).bit_length(), 1 << 15), MOST_BITS)
+    place = F.col("_mark").bitwiseAND(bits - 1)
+    table = np.zeros(bits // 8, np.uint8)
+    for block, found in unique.groupBy(F.shiftright(place, 15).alias("block")).agg(F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1))).toLocalIterator():
+        table[block << 12 : (block + 1) << 12] = np.frombuffer(found, np.uint8)
+    shared = spark.sparkContext.broadcast(table.tobytes())
     rows = written(queries.withColumn("_row", F.monotonically_increasing_id()), "prefix-queries")
-    # place 0 is the empty beginning
-    tokens = rows.select("_row", F.col(key).alias("_key"), F.posexplode(F.concat(F.array(F.lit(None).cast("long")), marks(query))).alias("_n", "_h"))
-    so_far = W.partitionBy("_row").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
-    running = lambda h: F.coalesce(F.bit_xor(h).over(so_far), F.lit(0).cast("long"))
-    asked = tokens.select("_row", "_key", "_n", running(F.col("_h")).alias("a"), running(F.when(F.col("_h").isNotNull(), F.xxhash64("_h", F.lit(1)))).alias("b"))
-    met = asked.join(unique.drop("_prefix"), ["_key", "_n", "a", "b"]).groupBy("_row").agg(F.max_by(F.struct("_prefix_row", order), "_n").alias("_best"))
-    found = rows.join(met, "_row").withColumn("_prefix_row", F.col("_best._prefix_row")).join(unique.select("_prefix_row", "_prefix"), "_prefix_row")
-    same = F.slice(query, F.lit(1), F.size("_prefix")) == F.col("_prefix")
-    return found.where(same).select(*queries.columns, F.col(f"_best.{order}").alias(order))
+    told = rows.where(F.col(key).isNotNull() & F.col(query).isNotNull()).select("_row", F.col(key).alias("_key"), F.concat(F.array(seed), mark(query)).alias("_marks"), spelt(query).alias("_words"))
+    schema = T.StructType([told.schema["_row"], told.schema["_key"], T.StructField("_n", T.IntegerType()), T.StructField("_digest", T.BinaryType())])
+    asked = told.mapInArrow(partial(_beginnings, shared, bits), schema)
+    met = asked.join(unique.drop("_mark"), ["_key", "_n", "_digest"]).groupBy("_row").agg(F.max_by(order, "_n").alias("_best"))
+    return rows.join(met, "_row").select(*queries.columns, F.col("_best").alias(order))
 
 
 def batches_of(df: DataFrame, size: int, order: str, keys: list[str], out: str = "batch_id") -> DataFrame:

@@ -71,3 +71,21 @@ def test_tokenised_chats_are_sent_in_parts(spark):
     asked = {i: list(b"x" * 30_000 + str(i).encode()) for i in range(40) if i != 7}
     assert got == {i: (x + list(b"yes"), [False] * len(x) + [True] * 3) for i, x in asked.items()}
     assert "MapInPandas" not in plan(made)
+
+
+def test_longest_prefix_moves_no_tokens(spark):
+    """A query's tokens aren't dealt over tasks; nulls, words that look spelt and a small table of marks give the same."""
+    from rollsift.operators import ordering as od
+
+    words = [["a", None, "1:b"], ["a", "-", "1:b"], ["a", None], ["a1", ":b"], ["a"], [], ["a", None, "1", "b"], None]
+    texts = [(k, i * 2 + k, w) for i, w in enumerate(words * 200) for k in (0, 1)] + [(None, 9999, ["a"])]
+    asked = spark.createDataFrame([(k, i, w) for k, i, w in texts if i % 3], "key int, q long, ids array<string>")
+    given = spark.createDataFrame([(k, i, w) for k, i, w in texts if k and w != ["a"]], "key int, prefix_id long, prefix array<string>")
+    made = od.longest_prefix(asked, given, "key")
+    first = {}
+    for k, i, w in texts:
+        if k and w is not None and w != ["a"]:
+            first.setdefault(tuple(w), i)
+    want = {(i, first[max((p for p in first if tuple(w[: len(p)]) == p), key=len)]) for k, i, w in texts if i % 3 and k and w is not None}
+    assert {(r["q"], r["prefix_id"]) for r in made.collect()} == want
+    assert "Generate" not in plan(made)
