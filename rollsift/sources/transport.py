@@ -30,11 +30,16 @@ def _names(fs, folder: str) -> list[str]:
 
 
 @dataclass
-class RunStep(InputPartition):
-    """A step of a run: one task."""
+class StepRange(InputPartition):
+    """Steps of a run, the last one left out: one task."""
 
     run: str
-    step: int
+    first: int
+    last: int
+
+
+#: Tasks of a micro-batch, beside one more a run; with fewer steps each is a task.
+TASKS = 200
 
 
 class StepReader(DataSourceStreamReader):
@@ -53,19 +58,24 @@ class StepReader(DataSourceStreamReader):
         for run in sorted(n for n in _names(fs, root) if n.startswith("run_")):
             steps = {int(m[1]) for n in _names(fs, f"{root}/{run}") if (m := re.fullmatch(r"step_(\d+)", n))}
             at = self.known.get(run, self.first)
-            while at in steps and "STABLE" in _names(fs, f"{root}/{run}/step_{at}"):
+            while at in steps and fs.get_file_info(f"{root}/{run}/step_{at}/STABLE").is_file:
                 at += 1
             self.known[run] = at
         return dict(self.known)
 
-    def partitions(self, start: dict, end: dict) -> list[RunStep]:
+    def partitions(self, start: dict, end: dict) -> list[StepRange]:
         for run, at in start.items():
             self.known[run] = max(self.known.get(run, at), at)
-        return [RunStep(run, step) for run in sorted(end) for step in range(start.get(run, self.first), end[run])]
+        spans = [(run, start.get(run, self.first), end[run]) for run in sorted(end)]
+        width = max(1, -(-sum(last - first for _, first, last in spans) // TASKS))
+        return [StepRange(run, at, min(at + width, last)) for run, first, last in spans for at in range(first, last, width)]
 
-    def read(self, partition: RunStep) -> Iterator[tuple]:
+    def read(self, partition: StepRange) -> Iterator[tuple]:
         fs, root = _filesystem(self.path)
-        folder = f"{root}/{partition.run}/step_{partition.step}"
+        for step in range(partition.first, partition.last):
+            yield from self._lines(fs, f"{root}/{partition.run}/step_{step}", partition.run, step)
+
+    def _lines(self, fs, folder: str, run: str, step: int) -> Iterator[tuple]:
         for name in sorted(n for n in _names(fs, folder) if re.fullmatch(r"rank_\d+\.jsonl", n)):
             with fs.open_input_stream(f"{folder}/{name}") as f:
                 rest = b""
@@ -73,9 +83,9 @@ class StepReader(DataSourceStreamReader):
                     *lines, rest = (rest + block).split(b"\n")
                     for line in lines:
                         if line.strip():
-                            yield partition.run, partition.step, line.decode()
+                            yield run, step, line.decode()
                 if rest.strip():
-                    yield partition.run, partition.step, rest.decode()
+                    yield run, step, rest.decode()
 
     def commit(self, end: dict) -> None:
         pass

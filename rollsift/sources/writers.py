@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def exportable(df: DataFrame, mask: str = "loss_mask", env: str = "env_names", a
     return rows.drop("_n")
 
 
+#: Small files cost their number, not their bytes: an export names its number of tasks, so that it isn't cut by bytes, and
+#: tasks commit their own files, to a folder that nobody reads before the write is done.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+#: Steps of an export that the driver publishes at a time.
+PUBLISHERS = 16
+
+
 def staged_export(df: DataFrame, path: str, order: tuple[str, ...] = ("micro_step", "micro_sequence_idx")) -> str:
     """First phase of an export: JSON lines, a file for each step and rank, in a folder of this attempt. Returns it.
 
@@ -36,26 +44,26 @@ def staged_export(df: DataFrame, path: str, order: tuple[str, ...] = ("micro_ste
     fields are kept. Nothing that readers see has changed yet, whatever becomes of the attempt."""
     attempt = f"{path.rstrip('/')}/_attempts/{uuid.uuid4().hex}"
     by = ["export_step", "rank"]
-    rows = df.repartition(*by).sortWithinPartitions(*by, *[c for c in order if c in df.columns])
+    rows = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by, *[c for c in order if c in df.columns])
     lines = rows.select(*by, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    lines.write.partitionBy(*by).text(attempt)
+    lines.write.options(**BY_TASKS).partitionBy(*by).text(attempt)
     return attempt
 
 
 def commit_export(spark: SparkSession, attempt: str, path: str) -> list[int]:
     """Second phase: files move to ``step_N/rank_R.jsonl``, then a step's STABLE marker is made. Returns the steps published.
+    Steps are independent of each other, and several are published at a time.
 
     A step with a marker isn't touched, so that a second attempt adds nothing; a commit that was broken off can be done
     again, with the same attempt or another. One process commits a path at a time."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     root = hadoop(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = []
-    for step in fs.globStatus(hadoop(f"{attempt}/export_step=*")) or []:
-        n = step.getPath().getName().partition("=")[2]
+
+    def publish(n: str) -> int | None:
         folder, marker = hadoop(root, f"step_{n}"), hadoop(root, f"step_{n}/STABLE")
         if fs.exists(marker):
-            continue
+            return None
         fs.mkdirs(folder)
         for file in fs.globStatus(hadoop(f"{attempt}/export_step={n}/rank=*/part-*")) or []:
             target = hadoop(folder, f"rank_{file.getPath().getParent().getName().partition('=')[2]}.jsonl")
@@ -63,7 +71,11 @@ def commit_export(spark: SparkSession, attempt: str, path: str) -> list[int]:
             if not fs.rename(file.getPath(), target):
                 raise OSError(f"{target} can't be published")
         fs.create(marker, True).close()
-        done.append(int(n))
+        return int(n)
+
+    steps = [s.getPath().getName().partition("=")[2] for s in fs.globStatus(hadoop(f"{attempt}/export_step=*")) or []]
+    with ThreadPoolExecutor(PUBLISHERS) as pool:
+        done = [n for n in pool.map(publish, steps) if n is not None]
     fs.delete(hadoop(attempt), True)
     return sorted(done)
 

@@ -89,3 +89,25 @@ def test_longest_prefix_moves_no_tokens(spark):
     want = {(i, first[max((p for p in first if tuple(w[: len(p)]) == p), key=len)]) for k, i, w in texts if i % 3 and k and w is not None}
     assert {(r["q"], r["prefix_id"]) for r in made.collect()} == want
     assert "Generate" not in plan(made)
+
+
+def test_many_step_folders_are_few_tasks():
+    """A task takes a range of a run's steps; each step is in one, and few steps are a task each."""
+    from rollsift.sources.transport import TASKS, StepReader
+
+    reader = StepReader("/nowhere", 2)
+    parts = reader.partitions({"run_a": 5}, {"run_a": 9000, "run_b": 2, "run_c": 3003})
+    assert [(p.run, s) for p in parts for s in range(p.first, p.last)] == [("run_a", s) for s in range(5, 9000)] + [("run_c", s) for s in range(2, 3003)]
+    assert len(parts) <= TASKS + 2
+    assert len(reader.partitions({}, {"run_a": 9})) == 7
+
+
+def test_an_exports_tasks_arent_cut_by_bytes(spark, tmp_path):
+    """Small steps are written by as many tasks as the session names."""
+    from rollsift.sources import writers as wr
+
+    df = spark.range(400).select((F.col("id") % 40).alias("export_step"), F.lit(0).alias("rank"), "id")
+    attempt = wr.staged_export(df, f"file://{tmp_path}/out")
+    names = {r["f"] for r in spark.read.text(attempt).select(F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1).alias("f")).distinct().collect()}
+    assert len(names) > 1
+    assert wr.commit_export(spark, attempt, f"file://{tmp_path}/out") == [*range(40)]
