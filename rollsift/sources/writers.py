@@ -11,12 +11,19 @@ from pyspark.sql import types as T
 
 from rollsift.functions.arrays import trim_trailing
 from rollsift.functions.scalars import finite_or_null, json_text
+from rollsift.sources.step_files import json_folders, shared_folder
 
 
 def rollouts(df: DataFrame, path: str, exclude: tuple[str, ...] = ("trajectory",), partition: tuple[str, ...] = ("step",)) -> None:
-    """JSON lines by step; a step that is written again replaces only itself. Without such a column all is replaced."""
-    by = [p for p in partition if p in df.columns]
-    df.drop(*exclude).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
+    """JSON lines by step; a step that is written again replaces only itself. Without such a column all is replaced.
+
+    Folders and names are those of Spark's writer, which takes stores of other kinds than a shared folder."""
+    by, rows = [p for p in partition if p in df.columns], df.drop(*exclude)
+    folder = shared_folder(df.sparkSession, path)
+    if folder and by and set(by) < set(rows.columns):
+        json_folders(rows, folder, by)
+    else:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
 
 
 def exportable(df: DataFrame, mask: str = "loss_mask", env: str = "env_names", arrays: tuple[str, ...] = ()) -> DataFrame:

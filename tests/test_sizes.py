@@ -1,6 +1,9 @@
 """What shows only on larger tables, on tables made to look like them."""
 
+import os
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from rollsift.plans import queries
@@ -111,3 +114,31 @@ def test_an_exports_tasks_arent_cut_by_bytes(spark, tmp_path):
     names = {r["f"] for r in spark.read.text(attempt).select(F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1).alias("f")).distinct().collect()}
     assert len(names) > 1
     assert wr.commit_export(spark, attempt, f"file://{tmp_path}/out") == [*range(40)]
+
+
+def test_small_steps_are_written_by_the_tasks_themselves(spark, tmp_path):
+    """Names, lines and what a second writing replaces are those of Spark's writer, without its process a file and checksum."""
+    from rollsift.sources import writers as wr
+
+    odd = F.element_at(F.array(*[F.lit(x) for x in ("a/b", "", "x=1%", "é {y}", "plain", "two\nlines")]), (F.col("id") % 6 + 1).cast("int"))
+    df = spark.range(600).repartition(5).select("id", (F.col("id") % 40).alias("step"), F.when(F.col("id") % 7 > 0, odd).alias("env"), F.when(F.col("id") % 3 > 0, odd).alias("text"), F.array("id").alias("trajectory"), (F.col("id") / 0.7).alias("x"))
+    again = df.where("step = 3").withColumn("text", F.lit("again"))
+    for by in (("step",), ("step", "env")):
+        mine, want = f"{tmp_path}/mine{len(by)}", f"{tmp_path}/want{len(by)}"
+        for rows in (df, again):
+            wr.rollouts(rows, mine, partition=by)
+            rows.drop("trajectory").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(want)
+        folders = lambda path: sorted(d[len(path) :] for d, _, f in os.walk(path) if any(x.endswith(".json") for x in f))
+        rows = lambda path: sorted((repr(tuple(r)) for r in spark.read.schema("id long, x double, text string, env string, step string").json(path).collect()))
+        assert folders(mine) == folders(want) and rows(mine) == rows(want)
+        assert not [f for _, _, names in os.walk(mine) for f in names if f.endswith(".crc")] and "_attempts" not in os.listdir(mine)
+
+
+def test_a_writing_that_fails_changes_no_step(spark, tmp_path):
+    from rollsift.sources import writers as wr
+
+    df = spark.range(40).select("id", (F.col("id") % 4).alias("step"))
+    wr.rollouts(df, f"{tmp_path}/r")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|ZeroDivision"):
+        wr.rollouts(df.withColumn("id", F.udf(lambda x: 1 // (x - 39), "long")("id")), f"{tmp_path}/r")
+    assert sorted((r["id"], r["step"]) for r in spark.read.json(f"{tmp_path}/r").collect()) == [(i, i % 4) for i in range(40)]
