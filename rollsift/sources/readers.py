@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALIGNED = [
     "token_ids", "position_ids", "advantages", "rewards", "inference_logprobs", "trainer_logprobs", "entropy", "mismatch_kl",
@@ -45,6 +46,18 @@ def tabular(spark: SparkSession, path: str, kind: str, schema: str | None = None
     return reader.json(path)
 
 
+def rollouts(spark: SparkSession, path: str, schema: str, partition: tuple[str, ...] = ("step",)) -> DataFrame:
+    """What ``writers.rollouts`` wrote: JSON lines, and the partition's values from the names of their folders.
+
+    Folders are only listed: Spark's discovery of partitions takes time by the square of their number, on the driver."""
+    fields = T.StructType.fromDDL(schema).fields
+    lines = spark.read.schema(T.StructType([f for f in fields if f.name not in partition])).option("recursiveFileLookup", "true").json(path)
+    decoded = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    named = lambda c: decoded(decoded(F.regexp_extract("_metadata.file_path", rf"^.*/\Q{c}\E=([^/]*)/", 1)))  # noqa: E731  # as the path has it, and as the folder has it
+    value = lambda f: F.nullif(named(f.name), F.lit("__HIVE_DEFAULT_PARTITION__")).cast(f.dataType).alias(f.name)
+    return lines.select(*[value(f) if f.name in partition else F.col(f.name) for f in fields])
+
+
 def stable_folders(spark: SparkSession, path: str) -> list[str]:
     """The step folders with a STABLE marker, under the path or one level deeper (a run's).
 

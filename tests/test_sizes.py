@@ -142,3 +142,20 @@ def test_a_writing_that_fails_changes_no_step(spark, tmp_path):
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO|ZeroDivision"):
         wr.rollouts(df.withColumn("id", F.udf(lambda x: 1 // (x - 39), "long")("id")), f"{tmp_path}/r")
     assert sorted((r["id"], r["step"]) for r in spark.read.json(f"{tmp_path}/r").collect()) == [(i, i % 4) for i in range(40)]
+
+
+def test_step_folders_are_read_by_their_names(spark, tmp_path):
+    """Values are those that Spark's discovery of partitions finds, without it: the plan has no partition columns."""
+    from rollsift.sources import readers as rd
+    from rollsift.sources import writers as wr
+
+    odd = [None, "a/b", "x=1%", "é {y}", "two\nlines", "a+b c%20d", "__x", "plain"]
+    rows = [(i, None if i % 5 == 4 else i % 5 - 1, odd[i % len(odd)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, step int, env string")
+    by, path = ("step", "env"), f"{tmp_path}/step=9/a+b/out"
+    wr.rollouts(df, path, partition=by)
+    made = rd.rollouts(spark, path, "env string, id long, step int", by)
+    assert made.columns == ["env", "id", "step"] and sorted(map(repr, made.collect())) == sorted(map(repr, df.select("env", "id", "step").collect()))
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, spark.read.schema("id long, step int, env string").json(path).select("env", "id", "step").collect()))
+    for df in (made, queries.QUERIES["k1_written_rollouts"](spark, SF)):
+        assert df._jdf.queryExecution().analyzed().collectLeaves().head().relation().partitionSchema().length() == 0
