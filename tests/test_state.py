@@ -82,6 +82,25 @@ def test_previous_values_need_no_call_a_key(ranges, tmp_path):
     assert "transformWithState" not in made.stream._jdf.queryExecution().toString()
 
 
+def in_halves(spark, tmp_path, operator):
+    """What a stream gives whose groups of four rows come half in one micro-batch, half in the next; no key is state of its own."""
+    df = spark.range(8_000).select("id", F.expr("id div 4").alias("group_id"), (F.col("id") * 7).alias("v"))
+    for half in range(2):
+        df.where(F.col("id") % 2 == half).repartition(4).write.mode("append").parquet(f"{tmp_path}/in")
+        made = operator(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
+        q = st.started(made, f"{tmp_path}/out", f"{tmp_path}/ck")
+        q.awaitTermination()
+        assert q.recentProgress and not any(p["stateOperators"] for p in q.recentProgress)
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
+def test_previous_values_of_many_keys_are_no_state(ranges, tmp_path):
+    got = in_halves(ranges, tmp_path, lambda stream: st.stream_previous(stream, ["group_id"], "id", ["v"]))
+    before = {0: None, 2: 0, 1: 2, 3: 1}  # late rows follow those given
+    want = [(i, None if i % 4 == 0 else 7 * (i - i % 4 + before[i % 4])) for i in range(8_000)]
+    assert sorted((r["id"], r["previous_v"]) for r in got.collect()) == want
+
+
 def test_a_batch_that_is_done_again_replaces_itself(spark, tmp_path):
     df = spark.range(10).select(F.lit("g").alias("group_id"), F.col("id").alias("arrival"))
     df.write.parquet(f"{tmp_path}/in")
