@@ -101,6 +101,12 @@ def test_previous_values_of_many_keys_are_no_state(ranges, tmp_path):
     assert sorted((r["id"], r["previous_v"]) for r in got.collect()) == want
 
 
+def test_many_groups_in_halves_are_no_state(ranges, tmp_path):
+    got = in_halves(ranges, tmp_path, lambda stream: st.stream_groups(stream, 4, order="id"))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i // 4, 7 * i) for i in range(8_000)]
+    assert ranges.read.parquet(f"{tmp_path}/ck/held/0").count() == 4_000 and ranges.read.parquet(f"{tmp_path}/ck/held/1").count() == 0
+
+
 def test_a_batch_that_is_done_again_replaces_itself(spark, tmp_path):
     df = spark.range(10).select(F.lit("g").alias("group_id"), F.col("id").alias("arrival"))
     df.write.parquet(f"{tmp_path}/in")
